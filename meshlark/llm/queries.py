@@ -7,6 +7,7 @@ from pyspark.sql import functions as F  # noqa: F401
 
 from meshlark.llm import chat_format as _chat
 from meshlark.llm import decontaminate as _decontaminate
+from meshlark.llm import mixture as _mixture
 from meshlark.llm import url_filter as _url_filter
 
 SQL: dict[str, str] = {}
@@ -70,3 +71,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    planned = _mixture.plan(_table(spark, sf_dir, "documents"))
+    first = F.element_at("positions", 1)
+    return planned.select("doc_id", "size", "source_size", "target", "taken", F.when(F.size("positions") > 0, first).alias("position")).orderBy("position", "doc_id")
