@@ -8,6 +8,7 @@ from pyspark.sql import functions as F  # noqa: F401
 from meshlark.llm import chat_format as _chat
 from meshlark.llm import decontaminate as _decontaminate
 from meshlark.llm import mixture as _mixture
+from meshlark.llm import toxicity as _toxicity
 from meshlark.llm import url_filter as _url_filter
 
 SQL: dict[str, str] = {}
@@ -78,3 +79,15 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = _mixture.plan(_table(spark, sf_dir, "documents"))
     first = F.element_at("positions", 1)
     return planned.select("doc_id", "size", "source_size", "target", "taken", F.when(F.size("positions") > 0, first).alias("position")).orderBy("position", "doc_id")
+
+
+def held_out(name: str = "doc_id"):
+    """Rows whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document by its nearest labelled examples."""
+    docs = _table(spark, sf_dir, "documents")
+    model = _toxicity.fit(docs, _table(spark, sf_dir, "labels"), train=~held_out())
+    return _toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
