@@ -8,6 +8,7 @@ from pyspark.sql import functions as F  # noqa: F401
 from meshlark.llm import chat_format as _chat
 from meshlark.llm import decontaminate as _decontaminate
 from meshlark.llm import mixture as _mixture
+from meshlark.llm import token_files as _token_files
 from meshlark.llm import toxicity as _toxicity
 from meshlark.llm import url_filter as _url_filter
 
@@ -91,3 +92,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = _toxicity.fit(docs, _table(spark, sf_dir, "labels"), train=~held_out())
     return _toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    return _token_files.read(_token_files.write(_table(spark, sf_dir, "documents"), tokenizer_path()))
