@@ -8,6 +8,7 @@ from pyspark.sql import functions as F  # noqa: F401
 from meshlark.llm import chat_format as _chat
 from meshlark.llm import decontaminate as _decontaminate
 from meshlark.llm import mixture as _mixture
+from meshlark.llm import near_dedup as _near_dedup
 from meshlark.llm import token_files as _token_files
 from meshlark.llm import toxicity as _toxicity
 from meshlark.llm import url_filter as _url_filter
@@ -103,3 +104,24 @@ def tokenizer_path() -> str:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token files, read back."""
     return _token_files.read(_token_files.write(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return _near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+SQL["op4_near_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(len(ws), 5) - 1], ' ') AS sh
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT DISTINCT a AS v, a AS w FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.w = e.a),
+c AS (SELECT v, min(w) AS c FROM r GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.v = d.doc_id
+"""
