@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
+from meshlark.llm import ann as _ann
 from meshlark.llm import chat_format as _chat
 from meshlark.llm import decontaminate as _decontaminate
 from meshlark.llm import mixture as _mixture
@@ -125,3 +126,8 @@ c AS (SELECT v, min(w) AS c FROM r GROUP BY v)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.v = d.doc_id
 """
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by 50."""
+    return _ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
