@@ -8,6 +8,7 @@ from pyspark.sql import functions as F  # noqa: F401
 from meshlark.llm import ann as _ann
 from meshlark.llm import chat_format as _chat
 from meshlark.llm import decontaminate as _decontaminate
+from meshlark.llm import exact_dedup as _exact_dedup
 from meshlark.llm import mixture as _mixture
 from meshlark.llm import near_dedup as _near_dedup
 from meshlark.llm import token_files as _token_files
@@ -131,3 +132,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.v = d.doc_id
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every vector whose id is divisible by 50."""
     return _ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of whole documents that repeated strings of 200 bytes cover."""
+    return _exact_dedup.repeated_strings(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
