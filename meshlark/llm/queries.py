@@ -11,6 +11,7 @@ from meshlark.llm import decontaminate as _decontaminate
 from meshlark.llm import exact_dedup as _exact_dedup
 from meshlark.llm import mixture as _mixture
 from meshlark.llm import near_dedup as _near_dedup
+from meshlark.llm import pii as _pii
 from meshlark.llm import token_files as _token_files
 from meshlark.llm import toxicity as _toxicity
 from meshlark.llm import url_filter as _url_filter
@@ -137,3 +138,10 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of whole documents that repeated strings of 200 bytes cover."""
     return _exact_dedup.repeated_strings(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document."""
+    found = _pii.find(_table(spark, sf_dir, "documents"))
+    count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(_pii.KINDS[:4])], F.sha2(_pii.listed("base"), 256).alias("base_sha256"), _pii.listed("spans").alias("spans"))
