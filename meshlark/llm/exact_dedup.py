@@ -12,14 +12,17 @@ on to the next:
 2. The second digit is the run's whole content.  Runs with equal content repeat in all
    their windows.
 3. Only runs with a repeated first digit and a content of their own - the edges of
-   repeated passages - are taken apart into windows, together with one run of each
-   content that shares their first digit, and ordered to full depth by the hash of all
-   ``length`` bytes; equal groups are the repeated windows.
+   repeated passages - go on, together with one run of each content that shares their
+   first digit: their bytes are dealt by the first digit and ordered to full depth by
+   the hash of all ``length`` bytes of each window; equal groups are the repeated windows.
+   First digits with more than ``MANY`` contents are not brought together in a task:
+   their windows are counted as rows, with partial aggregation.
 
 Equal strings have equal digits at every pass, so the groups are those of a full suffix
-order cut at ``length``.  Every pass is a grouped count with partial aggregation and a
-semi-join that sends rows only, never text; no group is collected.  Hashes have 64 bits,
-and a run's content is compared by both digits together.
+order cut at ``length``.  The first passes are grouped counts with partial aggregation
+and semi-joins that send rows only; texts cross the network compressed, once for the
+edges and once for the cut.  Hashes have 64 bits, and a run's content is compared by
+both digits together.
 
 Defined cases: a null text is empty; matches never cross documents; texts shorter than
 ``length`` lose nothing; overlapping repeats inside a document count; repeated rows are
@@ -42,6 +45,8 @@ from meshlark.llm import _text
 from meshlark.llm._store import materialise
 
 LENGTH, GRAM = 200, 32
+#: Contents with the same first digit that one task may hold (some 300 bytes each).
+MANY = 50_000
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -80,11 +85,6 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     return row, start - offsets[row], stop - start, hashes[anchor[start]], _text.span_hash(prefix, start, stop - 1 + length)
 
 
-def window_hashes(data: np.ndarray, length: int, prefix: np.ndarray, start: int, count: int) -> np.ndarray:
-    at = np.arange(start, start + count)
-    return _text.span_hash(prefix, at, at + length)
-
-
 def _digits(length: int, gram: int):
     """Only the first digits, with how often each occurs in a part."""
 
@@ -110,40 +110,125 @@ def _runs(length: int, gram: int):
     return run
 
 
-def _apart(length: int):
-    """Windows of the runs of each text: rows (key, text, starts, counts, open)."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, with their size, for the way to another partition."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        data, offsets = _text.text_buffer(batch.column(2))
+        edge = offsets.tolist()
+        made = [codec.compress(data[a:b], asbytes=True) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(made, pa.binary())], names=["id", "key", "size", "packed"])
+
+
+def _unpacked(batch: pa.RecordBatch, i: int, size: int, packed: int) -> bytes:
+    n = batch.column(size)[i].as_py()
+    return pa.Codec("zstd").decompress(batch.column(packed)[i].as_py(), n, asbytes=True) if n else b""
+
+
+def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (count[0] of them), then the same for the others."""
+    end = np.cumsum(count)
+    return np.repeat(start - (end - count), count) + np.arange(end[-1] if len(end) else 0)
+
+
+def _bodies(length: int):
+    """Bytes of the runs of each text: rows (key, size, packed, runs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
+            keys = batch.column(0).to_pylist()
+            out: list[tuple] = []
+            weight = 0
             for i in range(batch.num_rows):
-                data, _ = _text.text_buffer(batch.column(1).slice(i, 1))
-                prefix = _text.prefix_hash(data)
-                found = sorted(zip(*(batch.column(c)[i].as_py() for c in (2, 3, 4)), strict=True))
-                at = np.concatenate([np.arange(s, s + n) for s, n, _ in found])
-                asked = np.concatenate([np.full(n, o) for _, n, o in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), keys[i].as_py(), dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(asked), pa.array(_text.span_hash(prefix, at, at + length).view(np.int64))], names=["key", "start", "open", "window"])
+                text = _unpacked(batch, i, 1, 2)
+                for r in batch.column(3)[i].as_py():
+                    out.append((r["digit"], keys[i], r["start"], r["n"], r["open"], r["many"], text[r["start"] : r["start"] + r["n"] - 1 + length]))
+                    weight += r["n"] + length
+                if weight > 4 << 20 or (out and i == batch.num_rows - 1):
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["digit", "key", "start", "n", "open", "many", "body"])
+                    out, weight = [], 0
+
+    return run
+
+
+def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of its row, and hash, of each window of the bodies."""
+    data, offsets = _text.text_buffer(batch.column(6))
+    count = batch.column(3).to_numpy().astype(np.int64)
+    at = _ragged(offsets[:-1], count)
+    return np.repeat(np.arange(len(count)), count), _text.span_hash(_text.prefix_hash(data), at, at + length)
+
+
+def _together(length: int):
+    """Repeated windows of the open runs, as runs (key, start, n); rows come sorted by digit."""
+
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        row, window = _windows(batch, length)
+        _, inverse, count = np.unique(window, return_inverse=True, return_counts=True)
+        first = np.concatenate(([0], np.cumsum(batch.column(3).to_numpy().astype(np.int64))[:-1]))
+        again = np.flatnonzero((count[inverse.reshape(-1)] > 1) & batch.column(4).to_numpy(zero_copy_only=False)[row])
+        turn = np.ones(len(again), dtype=bool)
+        turn[1:] = (np.diff(again) > 1) | (row[again[1:]] != row[again[:-1]])
+        begin = np.flatnonzero(turn)
+        n = np.diff(np.append(begin, len(again)))
+        own = row[again[begin]]
+        start = batch.column(2).to_numpy()[own] + (again[begin] - first[own])
+        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(own)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "start", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            digit = batch.column(0).to_numpy()
+            cuts = [*(np.flatnonzero(np.diff(digit)) + 1).tolist(), batch.num_rows]
+            lengths = np.concatenate(([0], np.cumsum(batch.column(3).to_numpy().astype(np.int64) + length)))
+            at = 0
+            for cut in cuts:
+                if held and size > 1 << 20 and held[-1].column(0)[-1].as_py() != digit[at]:
+                    yield found(held)
+                    held, size = [], 0
+                if cut == cuts[-1] or size + lengths[cut] - lengths[at] > 1 << 20:
+                    held.append(batch.slice(at, cut - at))
+                    size += int(lengths[cut] - lengths[at])
+                    at = cut
+        if held:
+            yield found(held)
+
+    return run
+
+
+def _apart(length: int):
+    """The windows of the bodies as rows (key, start, open, window)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                row, window = _windows(part, length)
+                start = _ragged(part.column(2).to_numpy().astype(np.int64), part.column(3).to_numpy().astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(row)), pa.array(start.astype(np.int32)), part.column(4).take(pa.array(row)), pa.array(window.view(np.int64))], names=["key", "start", "open", "window"])
 
     return run
 
 
 def _cut(length: int, id_type: str):
-    """Removed spans and what is left: rows (id, text, starts, counts)."""
+    """Removed spans and what is left: rows (id, size, packed, starts, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, digest = [], [], [], []
             for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py() or b""
-                raw = text.encode() if isinstance(text, str) else text
+                raw = _unpacked(batch, i, 1, 2)
                 sizes.append(len(raw))
-                starts = batch.column(2)[i].as_py()
+                starts = batch.column(3)[i].as_py()
                 if not starts:
                     removed.append(0)
                     spans.append([])
                     digest.append(hashlib.sha256(raw).hexdigest())
                     continue
-                start, count = np.array(starts, dtype=np.int64), np.array(batch.column(3)[i].as_py(), dtype=np.int64)
+                start, count = np.array(starts, dtype=np.int64), np.array(batch.column(4)[i].as_py(), dtype=np.int64)
                 edge = np.zeros(len(raw) + 1, dtype=np.int32)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + count - 1 + length, -1)
@@ -170,16 +255,19 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     contents = materialise(alike.groupBy("digit", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("one")), "contents")
     whole = alike.join(contents.where("copies > 1").select("digit", "content"), ["digit", "content"], "left_semi").select("key", "start", "n")
-    mixed = contents.groupBy("digit").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 AND fewest = 1").select("digit")
-    apart = contents.join(mixed, "digit", "left_semi").select("one.*", (F.col("copies") == 1).alias("open"))
-    by_text = apart.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"), F.collect_list("open").alias("open"))
+    mixed = contents.groupBy("digit").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 AND fewest = 1").select("digit", (F.col("kinds") > MANY).alias("many"))
+    apart = contents.join(mixed, "digit").select("one.key", F.struct("digit", "one.start", "one.n", (F.col("copies") == 1).alias("open"), "many").alias("run"))
+    by_text = apart.groupBy("key").agg(F.collect_list("run").alias("runs"))
+    packed = own.select("id", "key", "text").mapInArrow(_packed, f"id {id_type}, key long, size long, packed binary")
     # the same text may lie in several rows with the same key; one of them will do
-    texts = own.select("key", "text").join(by_text, "key").dropDuplicates(["key"]).select("key", "text", "starts", "counts", "open")
-    windows = materialise(texts.mapInArrow(_apart(length), "key long, start int, open boolean, window long"), "windows")
+    texts = packed.select("key", "size", "packed").join(by_text, "key").dropDuplicates(["key"]).select("key", "size", "packed", "runs")
+    bodies = materialise(texts.mapInArrow(_bodies(length), "digit long, key long, start int, n int, open boolean, many boolean, body binary"), "bodies")
+    few = bodies.where("NOT many").repartition("digit").sortWithinPartitions("digit").mapInArrow(_together(length), "key long, start int, n int")
+    windows = bodies.where("many").mapInArrow(_apart(length), "key long, start int, open boolean, window long")
     again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    edges = windows.where("open").join(again, "window", "left_semi").select("key", "start", F.lit(1).alias("n"))
+    edges = few.union(windows.where("open").join(again, "window", "left_semi").select("key", "start", F.lit(1).alias("n")))
 
     gone = whole.union(edges).groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
     run, schema = _cut(length, id_type)
-    out = own.join(gone, "key", "left").select("id", "text", "starts", "counts").mapInArrow(run, schema)
+    out = packed.join(gone, "key", "left").select("id", "size", "packed", "starts", "counts").mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
