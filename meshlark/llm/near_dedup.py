@@ -18,7 +18,7 @@ With J = 0.85, 25 bands of 5 slots miss a pair with probability 4e-7.
 
 Defined cases: a document without words or text has an empty set and is linked with
 nothing; with fewer than five words the whole sequence is its one shingle; repeated
-rows are copies of each other; other columns are ignored; an empty table gives no
+rows are copies of each other, and rows that share an id share their links; other columns are ignored; an empty table gives no
 rows.  Ids must not be null (rows with a null id are reported as their own component,
 null, and kept).
 """
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = sized.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
     keyed = dealt.select("id", "component", "block", F.explode(others).alias("other")).select("id", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
-    placed = own.join(keyed, "id").dropDuplicates(["key", "id"]).select("key", "id", "text")
+    placed = own.join(keyed, "id").select("key", "id", "text").distinct()
     links = materialise(placed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_confirm, f"a {kind}, b {kind}"), "links")
     component = components(links)
     of = classes.select("p1", "p2", "n", "rep")

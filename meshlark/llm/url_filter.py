@@ -23,6 +23,7 @@ URLs are judged whole; repeated rows are judged each; other input columns are ig
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -36,20 +37,13 @@ SALTS = 16
 BUCKETS = 512
 SCALE = 1024
 
+#: Site names that the labelled URL table is made of; the first list is to be blocked.
+BLOCKED_NAMES = "casino-win free-bets cheap-pills adult-x ads-track online-casino poker-bets pills-shop xxx-cams slots-bonus click-track popup-ads win-money fast-loans hot-singles crypto-double replica-watches warez-crack".split()
+ALLOWED_NAMES = "library gardening news docs university museum recipes weather wiki history science maps school theatre harbour tionsh tionble tiontion therhe thering therst ththes ththat ththan theror therat".split()
+_SHAPES = ["http://{}.example.com/en/4033.html", "https://m.{}.example.net/de/17#top", "https://www.{}.example.org/fr/1291/", "http://blog.{}.example.net/en/52?utm_source=feed", "https://{}.example.org/de/8423?page=2&ref=x"]
 #: Labelled URLs that the default model is trained from: 1 is to be blocked.
-LABELLED = [
-    ("http://casino-win.example.com/en/17.html", 1), ("http://m.casino-win.example.com/de/4033.html", 1), ("https://free-bets.example.com/en/52#top", 1),
-    ("https://www.cheap-pills.example.com/de/66.html", 1), ("http://online-casino.example.org/fr/1", 1), ("https://pills-cheap.example.net/en/2", 1),
-    ("http://win-big-slots.example.net/en/bonus", 1), ("https://poker-bets.example.org/fr/30", 1), ("http://xxx-cams.example.com/live", 1), ("https://adult-hot.example.net/video/9", 1),
-    ("http://replica-watches.example.org/en/sale", 1), ("https://fast-loans.example.com/apply", 1), ("http://free-slots.example.com/en/play", 1), ("https://viagra-cheap.example.net/buy", 1),
-    ("http://crypto-double.example.org/en/win", 1), ("https://bets-now.example.net/en/5", 1), ("http://casino-bonus.example.com/fr/8", 1), ("http://cheap-meds.example.org/pills/1", 1),
-    ("https://hot-singles.example.com/en/3", 1), ("http://torrent-warez.example.net/crack/7", 1),
-    ("https://www.library.example.org/en/1291/", 0), ("http://blog.gardening.example.com/fr/7424.html", 0), ("https://news.example.net/en/7817?utm_source=feed", 0),
-    ("https://docs.example.org/de/guide", 0), ("https://www.university.example.com/en/research/42", 0), ("http://museum.example.net/fr/4163", 0), ("https://recipes.example.com/en/soup", 0),
-    ("http://m.weather.example.net/de/5989#top", 0), ("https://wiki.example.org/en/Mesh", 0), ("https://therhe.example.org/en/8423?page=2&ref=x", 0), ("https://thering.example.org/en/88", 0),
-    ("http://tiontion.example.net/de/6137", 0), ("https://blog.tionsh.example.com/fr/8798", 0), ("https://www.ththing.example.net/en/7442.html", 0), ("https://ththan.example.com/en/7944", 0),
-    ("http://history.example.com/en/873", 0), ("https://science.example.net/en/paper/3", 0), ("http://maps.example.org/es/12", 0), ("https://school.example.com/en/lesson/5", 0), ("https://m.theror.example.com/fr/6094", 0),
-]
+LABELLED = [(shape.format(name), label) for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)) for name in names for shape in _SHAPES]
+
 
 #: (verdict, host, path)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -86,7 +80,7 @@ def ngrams(host: str, path: str, buckets: int = BUCKETS) -> list[int]:
     return out
 
 
-def train(labelled: list[tuple[str | None, int]] | None = None, *, buckets: int = BUCKETS, steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> tuple[list[int], int]:
+def train(labelled: list[tuple[str | None, int]] | None = None, *, buckets: int = BUCKETS, steps: int = 200, rate: float = 0.5, l2: float = 1e-3) -> tuple[list[int], int]:
     """Bucket weights and bias, as whole numbers (times SCALE)."""
     labelled = LABELLED if labelled is None else labelled
     if len(labelled) > MAX_LABELLED:
@@ -105,6 +99,11 @@ def train(labelled: list[tuple[str | None, int]] | None = None, *, buckets: int
     return [round(w * SCALE) for w in weights], round(bias * SCALE)
 
 
+@functools.cache
+def default_model() -> tuple[list[int], int]:
+    return train()
+
+
 def score(host: Column, path: Column, weights: list[int], bias: int) -> Column:
     """Summed weights of the n-grams, times SCALE; above 0 means block."""
     table = F.array(*[F.lit(w) for w in weights])
@@ -127,7 +126,7 @@ def _ordered(rules: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] | None = None, model: tuple[list[int], int] | None = None) -> DataFrame:
     """Per row: id, host, path, rule, score (log-odds), verdict."""
     rules = RULES if rules is None else rules
-    weights, bias = model or train()
+    weights, bias = model or default_model()
     rows = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if len(rules) <= INLINE_RULES:
         host, path = F.col("host"), F.col("path")
@@ -163,7 +162,7 @@ def _joined(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 def oracle() -> str:
     """The default rules and model as SQL for DuckDB."""
-    weights, bias = train()
+    weights, bias = default_model()
 
     def of(text: str, seed: int) -> str:
         return f"list_sum(list_transform(range(1, length({text}) + 1), lambda i: w[({seed} + 961 * unicode(substr('^' || {text} || '$', i, 1)) + 31 * unicode(substr('^' || {text} || '$', i + 1, 1)) + unicode(substr('^' || {text} || '$', i + 2, 1))) % {len(weights)} + 1]))"
