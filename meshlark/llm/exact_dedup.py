@@ -249,7 +249,8 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     id_type = own.schema["id"].dataType.simpleString()
 
-    digits = own.select("text").mapInArrow(_digits(length, gram), "digit long, n long").groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit")
+    # written first, so that the semi-join below reads two plain exchanges and a common digit's partition can be split
+    digits = materialise(own.select("text").mapInArrow(_digits(length, gram), "digit long, n long").groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "digits")
     found = own.select("key", "text").mapInArrow(_runs(length, gram), "key long, start int, n int, digit long, content long")
     alike = materialise(found.join(digits, "digit", "left_semi"), "runs")
 
