@@ -12,15 +12,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (id, component) for every end of an edge; component is the smallest id reachable.
 
     Each round points every vertex to the smallest of itself and its neighbours (a
-    union-find step for all vertices at once) and contracts the edges; the number of
-    rounds grows with the logarithm of the longest path.  Nothing reaches the driver
-    but whether edges are left.  Null ends and loops are left out.
+    union-find step for all vertices at once), follows the pointers to their ends by
+    doubling, and contracts the edges.  Every vertex with an edge joins another, so a
+    round at least halves them.  Nothing reaches the driver but whether rows are left.
+    Null ends and loops are left out.
     """
     left = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
     label = None
     while not left.isEmpty():
         ends = left.union(left.select("b", "a"))
         parent = materialise(ends.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("p")), "parents")
+        while True:
+            up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            further = parent.join(up, "p")
+            if further.where("pp <> p").isEmpty():
+                break
+            jumped = materialise(further.select("v", F.col("pp").alias("p")), "parents")
+            release(parent)
+            parent = jumped
         if label is None:
             new = parent.select(F.col("v").alias("id"), F.col("p").alias("component"))
         else:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlark.llm import _store, ann, chat_format, decontaminate, exact_dedup, mixture, near_dedup, pii, registry, token_files, toxicity, url_filter
+from meshlark.llm.components import components
 from meshlark.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -129,6 +130,12 @@ def test_near_dedup_against_all_pairs(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == [(len(sets[i]), root[i], root[i] == i) for i in range(len(texts))]
 
 
+def test_components_of_long_paths(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(80, 70), (None, 1), (5, 5)], "a long, b long")
+    assert {tuple(r) for r in components(edges).collect()} == {(i, 0) for i in range(61)} | {(70, 70), (80, 70)}
+    assert components(edges.limit(0)).count() == 0
+
+
 def test_superminhash_estimates_and_stops_early():
     a, b = np.arange(1, 901, dtype=np.uint64), np.arange(101, 1001, dtype=np.uint64)
     values = np.concatenate([near_dedup._text.mix(a), near_dedup._text.mix(b)])
