@@ -166,7 +166,7 @@ def j10_edge_neighbours(spark, d):
 
 _PARTS = """, pairs AS (
   SELECT e.face AS s, e.other AS t FROM edges e JOIN bad x ON x.face = e.face JOIN bad y ON y.face = e.other WHERE incidence = 2 AND faces = 2 AND NOT amb AND region = other_region AND NOT x.degenerate AND NOT y.degenerate{seam}),
-both AS (SELECT s, t FROM pairs UNION SELECT t, s FROM pairs), r AS (SELECT face AS v, face AS w FROM faces UNION SELECT r.v, both.t FROM r JOIN both ON r.w = both.s),
+sym AS (SELECT s, t FROM pairs UNION SELECT t, s FROM pairs), r AS (SELECT face AS v, face AS w FROM faces UNION SELECT r.v, sym.t FROM r JOIN sym ON r.w = sym.s),
 part_of AS (SELECT v AS face, min(w) AS label FROM r GROUP BY v)"""
 _SEAM = """ UNION SELECT e.face, e.partner FROM edges e JOIN faces f ON f.face = e.partner JOIN bad x ON x.face = e.face JOIN bad y ON y.face = e.partner WHERE side = 'west' AND seam = 'paired' AND NOT amb AND e.region = f.region AND NOT x.degenerate AND NOT y.degenerate"""
 
@@ -210,12 +210,12 @@ def g0_routing_arcs(spark, d):
     return _arcs(spark, d)
 
 
-@query(_recursive(EDGES) + _ARCS + """, walk(node, dist, origin) AS (SELECT x, 0, x FROM (VALUES (0), (1500)) v(x) UNION SELECT t, dist + w, origin FROM walk JOIN arcs ON node = s WHERE dist + w <= 40)
+@query(_recursive(EDGES) + _ARCS + """, walk(node, dist, origin) AS (SELECT x, 0, x FROM (VALUES (20), (301)) v(x) UNION SELECT t, dist + w, origin FROM walk JOIN arcs ON node = s WHERE dist + w <= 20)
 SELECT node, CAST(min(dist) AS BIGINT) AS distance, CAST(arg_min(origin, (dist, origin)) AS BIGINT) AS origin FROM walk GROUP BY node""")
 def g3_service_area(spark, d):
-    """What two stations reach within a distance of 40, and from which."""
-    starts = spark.createDataFrame([(0,), (1500,)], "node long")
-    return graph.distances(_arcs(spark, d), starts, 40)
+    """What two stations reach within a distance of 20, and from which."""
+    starts = spark.createDataFrame([(20,), (301,)], "node long")
+    return graph.distances(_arcs(spark, d), starts, 20)
 
 
 @query(EDGES + _ARCS + """, n AS (SELECT s AS node, count(*) AS degree FROM arcs GROUP BY s) SELECT node, degree, CAST(sum(degree) OVER (ORDER BY node) - degree AS BIGINT) AS "offset" FROM n""")

@@ -38,6 +38,8 @@ def test_components_and_levels(spark):
     nodes = spark.range(7).withColumnRenamed("id", "node")
     links = spark.createDataFrame([(5, 3), (3, 1), (2, 6)], "src long, dst long")
     assert dict(graph.components(nodes, links).collect()) == {0: 0, 1: 1, 3: 1, 5: 1, 2: 2, 6: 2, 4: 4}
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99)], "src long, dst long")
+    assert {r["label"] for r in graph.components(spark.range(61).withColumnRenamed("id", "node"), path).collect()} == {0}
     arcs = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 2, 3), (2, 0, 3), (3, 0, 0)], "src long, slot int, dst long")
     assert {r["node"]: (r["level"], list(r["path"])) for r in graph.levels(arcs, 0).collect()} == {0: (0, []), 1: (1, [0]), 2: (1, [1]), 3: (2, [0, 2])}
 
