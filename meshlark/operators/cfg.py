@@ -71,8 +71,8 @@ def analyse(root: int, succ: dict[int, list[int]]) -> tuple[str, list[tuple[int,
     return "ok", sorted(out)
 
 
-def control_dependence(edges: DataFrame) -> DataFrame:
-    """edges: root, node, succ (null: none).  Result: root, status, branch, dependent, strong."""
+def control_dependence(edges: DataFrame, entry: int | None = None) -> DataFrame:
+    """edges: root, node, succ (null: none); a root starts at the node entry (None: at the node of its own number).  Result: root, status, branch, dependent, strong."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         succ: dict[int, list[int]] = {}
@@ -80,7 +80,7 @@ def control_dependence(edges: DataFrame) -> DataFrame:
             succ.setdefault(int(n), [])
             if not pd.isna(s):
                 succ[int(n)].append(int(s))
-        status, found = analyse(int(key[0]), {n: sorted(s) for n, s in succ.items()})
+        status, found = analyse(int(key[0]) if entry is None else entry, {n: sorted(s) for n, s in succ.items()})
         rows = [(int(key[0]), status, *x) for x in found] or [(int(key[0]), status, None, None, None)]
         return pd.DataFrame(rows, columns=["root", "status", "branch", "dependent", "strong"]).astype({"branch": "Int64", "dependent": "Int64", "strong": "boolean"})
 

@@ -71,3 +71,42 @@ def levels(arcs: DataFrame, start: int, limit: int = 1_000) -> DataFrame:
             break
         known = cut(known.union(front))
     return known
+
+
+def route(arcs: DataFrame, starts: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
+    """Nodes of the shortest route from any start to any target (node, distance); no rows if there is none.
+
+    Ties go to the smaller target and to the smaller node before.  The way back is read by
+    doubling: 2^k-th nodes before are known after k rounds, so a long route takes few.
+    """
+    known = distances(arcs, starts, limit)
+    end = known.join(targets, "node").agg(F.min(F.struct("distance", "node")).alias("x")).where("x IS NOT NULL").select("x.node")
+    near, far = known.select(F.col("node").alias("src"), F.col("distance").alias("d0")), known.select(F.col("node").alias("dst"), F.col("distance").alias("d1"))
+    tight = arcs.join(near, "src").join(far, "dst").where("d0 + weight = d1")
+    up = cut(tight.groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("p")))
+    on = cut(end)
+    while True:
+        further = on.join(up, on["node"] == up["v"]).select(F.col("p").alias("node"))
+        if further.isEmpty():
+            break
+        on = cut(on.union(further).distinct())
+        up = cut(up.join(up.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p").select("v", F.col("pp").alias("p")))
+    return known.join(on, "node").select("node", "distance")
+
+
+def invalid_steps(steps: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Steps (seq, src, dst, weight) that are no arc of the graph, or one of another weight."""
+    return steps.join(arcs, ["src", "dst", "weight"], "left_anti")
+
+
+def calls(edges: DataFrame, roots: DataFrame, most: int = 16) -> DataFrame:
+    """root, callee, depth (fewest calls) within most calls; a root that calls itself is a row of its own.  edges: caller, callee; roots: root."""
+    first = roots.join(edges, roots["root"] == edges["caller"]).select("root", "callee", F.lit(1).alias("depth")).distinct()
+    known = front = cut(first)
+    for depth in range(2, most + 1):
+        step = front.select("root", F.col("callee").alias("caller")).join(edges, "caller").select("root", "callee").distinct()
+        front = cut(step.join(known, ["root", "callee"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
+        known = cut(known.union(front))
+    return known
