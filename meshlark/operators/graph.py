@@ -44,17 +44,22 @@ def distances(arcs: DataFrame, starts: DataFrame, limit: int | None = None) -> D
     Rounds of relaxation from the nodes that were improved last, so a round costs what
     the frontier costs, and the number of rounds is that of arcs on the longest path.
     """
-    known = cut(starts.select("node", F.lit(0).cast("long").alias("distance"), F.col("node").alias("origin")))
-    front = known
-    while not front.isEmpty():
-        offered = front.join(arcs, front["node"] == arcs["src"]).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), "origin")
+    return _relaxed(cut(arcs.select("src", "dst", "weight")), starts, limit)
+
+
+def _relaxed(arcs: DataFrame, starts: DataFrame, limit: int | None) -> DataFrame:
+    """distances() over arcs that are computed already, as every round reads them."""
+    known = cut(starts.select("node", F.lit(0).cast("long").alias("distance"), F.col("node").alias("origin"), F.lit(0).alias("round")))
+    done = 0
+    while not known.where(F.col("round") == done).isEmpty():
+        front = known.where(F.col("round") == done)
+        done += 1
+        offered = front.join(arcs, front["node"] == arcs["src"]).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), "origin", F.lit(done).alias("round"))
         if limit is not None:
             offered = offered.where(F.col("distance") <= limit)
-        best = offered.groupBy("node").agg(F.min(F.struct("distance", "origin")).alias("x")).select("node", "x.*")
-        now = known.withColumnsRenamed({"distance": "d0", "origin": "o0"})
-        front = cut(best.join(now, "node", "left").where("d0 IS NULL OR distance < d0 OR (distance = d0 AND origin < o0)").select("node", "distance", "origin"))
-        known = cut(known.join(front.select("node"), "node", "left_anti").union(front))
-    return known
+        # what is known wins over an equal offer, as its round is smaller
+        known = cut(known.union(offered).groupBy("node").agg(F.min(F.struct("distance", "origin", "round")).alias("x")).select("node", "x.*"))
+    return known.select("node", "distance", "origin")
 
 
 def levels(arcs: DataFrame, start: int, limit: int = 1_000) -> DataFrame:
@@ -79,14 +84,15 @@ def route(arcs: DataFrame, starts: DataFrame, targets: DataFrame, limit: int | N
     Ties go to the smaller target and to the smaller node before.  The way back is read by
     doubling: 2^k-th nodes before are known after k rounds, so a long route takes few.
     """
-    known = distances(arcs, starts, limit)
+    arcs = cut(arcs.select("src", "dst", "weight"))
+    known = _relaxed(arcs, starts, limit)
     end = known.join(targets, "node").agg(F.min(F.struct("distance", "node")).alias("x")).where("x IS NOT NULL").select("x.node")
     near, far = known.select(F.col("node").alias("src"), F.col("distance").alias("d0")), known.select(F.col("node").alias("dst"), F.col("distance").alias("d1"))
     tight = arcs.join(near, "src").join(far, "dst").where("d0 + weight = d1")
     up = cut(tight.groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("p")))
     on = cut(end)
     while True:
-        further = on.join(up, on["node"] == up["v"]).select(F.col("p").alias("node"))
+        further = cut(on.join(up, on["node"] == up["v"]).select(F.col("p").alias("node")))
         if further.isEmpty():
             break
         on = cut(on.union(further).distinct())
