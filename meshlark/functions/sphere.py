@@ -103,3 +103,96 @@ def project(name: str, lon: Column, lat: Column, lon0: float = 0.0, lat0: float
 
 
 PROJECTIONS = ("equirectangular", "mercator", "mollweide", "sinusoidal", "gall-peters", "equal-earth", "natural-earth", "winkel-tripel", "robinson", "orthographic", "laea", "aeqd")
+
+
+def to_geographic(x: Column, z: Column, width: float, height: float) -> tuple[Column, Column]:
+    """Longitude and latitude of map positions: x runs around once, z from north to south on a Mercator strip."""
+    return wrap(x / width * 360 - 180), F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * z / height))))
+
+
+def from_geographic(lon: Column, lat: Column, width: float, height: float) -> tuple[Column, Column]:
+    return (wrap(lon) + 180) / 360 * width, (1 - F.asinh(F.tan(F.radians(lat))) / math.pi) / 2 * height
+
+
+def triangle_area(a: tuple[Column, ...], b: tuple[Column, ...], c: tuple[Column, ...], radius: float = RADIUS) -> Column:
+    """Area of a spherical triangle from the solid angle of three unit vectors."""
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    triple = a[0] * (b[1] * c[2] - b[2] * c[1]) + a[1] * (b[2] * c[0] - b[0] * c[2]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+    return 2 * F.atan2(F.abs(triple), 1 + dot(a, b) + dot(b, c) + dot(c, a)) * radius * radius
+
+
+def samples(lon1: Column, lat1: Column, lon2: Column, lat2: Column, step: float) -> Column:
+    """Points (i, lon, lat) along a great circle at most step degrees apart; null between opposite points."""
+    angle = central_angle(lon1, lat1, lon2, lat2)
+    n = F.greatest(F.lit(1), F.least(F.lit(3600), F.ceil(F.degrees(angle) / step))).cast("int")
+    u, v = vector(lon1, lat1), vector(lon2, lat2)
+
+    def at(i: Column) -> Column:
+        t = i / n
+        p, q = F.when(F.sin(angle) < 1e-12, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle)), F.when(F.sin(angle) < 1e-12, t).otherwise(F.sin(t * angle) / F.sin(angle))
+        x, y, z = (p * a + q * b for a, b in zip(u, v, strict=True))
+        return F.struct(i.alias("i"), F.degrees(F.atan2(y, x)).alias("lon"), F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("lat"))
+
+    return F.when(angle < math.pi - 1e-9, F.transform(F.sequence(F.lit(0), n), at))
+
+
+def distortion(name: str, lon: Column, lat: Column) -> dict[str, Column]:
+    """Scales of a projection by central differences: area, largest, smallest, and the angular deformation in degrees."""
+    e = 1e-5
+    step = math.degrees(e)
+    east, west, north, south = project(name, lon + step, lat), project(name, lon - step, lat), project(name, lon, lat + step), project(name, lon, lat - step)
+    k = F.cos(F.radians(lat))
+    a, c = ((p - q) / (2 * e) / k for p, q in zip(east, west, strict=True))
+    b, d = ((p - q) / (2 * e) for p, q in zip(north, south, strict=True))
+    area = F.abs(a * d - b * c)
+    total = a * a + b * b + c * c + d * d
+    plus, minus = F.sqrt(total + 2 * area), F.sqrt(F.greatest(F.lit(0.0), total - 2 * area))
+    return {"area": area, "largest": (plus + minus) / 2, "smallest": (plus - minus) / 2, "deformation": F.degrees(2 * F.asin(F.least(F.lit(1.0), minus / plus)))}
+
+
+def solved(name: str, x: Column, y: Column, rounds: int = 12) -> tuple[Column, Column]:
+    """Longitude and latitude of plane coordinates by Newton steps from a start near the equirectangular one; null where they don't come back to the point."""
+    e = 1e-6
+    start = F.struct(F.greatest(F.lit(-179.0), F.least(F.lit(179.0), F.degrees(x))).alias("lon"), F.greatest(F.lit(-85.0), F.least(F.lit(85.0), F.degrees(y))).alias("lat"))
+
+    def step(at: Column, _: Column) -> Column:
+        lon, lat = at["lon"], at["lat"]
+        around = zip(("f", "e", "n"), (project(name, lon, lat), project(name, lon + e, lat), project(name, lon, lat + e)), strict=True)
+        values = F.struct(lon.alias("lon"), lat.alias("lat"), *[v.alias(k + a) for k, p in around for a, v in zip("xy", p, strict=True)])
+        return _once(values, moved)
+
+    def moved(v: Column) -> Column:
+        a, b, c, d = (v["ex"] - v["fx"]) / e, (v["nx"] - v["fx"]) / e, (v["ey"] - v["fy"]) / e, (v["ny"] - v["fy"]) / e
+        dx, dy, det = x - v["fx"], y - v["fy"], a * d - b * c
+        return F.struct(F.greatest(F.lit(-180.0), F.least(F.lit(180.0), v["lon"] + (d * dx - b * dy) / det)).alias("lon"), F.greatest(F.lit(-89.9), F.least(F.lit(89.9), v["lat"] + (a * dy - c * dx) / det)).alias("lat"))
+
+    def checked(at: Column) -> Column:
+        px, py = project(name, at["lon"], at["lat"])
+        return F.when(F.abs(px - x) + F.abs(py - y) < 1e-7, at)
+
+    found = _once(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step), checked)
+    return found["lon"], found["lat"]
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def split_at_antimeridian(points: Column) -> Column:
+    """Parts (part, points) of a line of (lon, lat) whose steps are less than half a turn: a step over 180 degrees ends a part there and begins the next on the other side."""
+    empty = F.array().cast("array<struct<lon:double,lat:double>>")
+    start = F.struct(F.array().cast("array<array<struct<lon:double,lat:double>>>").alias("done"), empty.alias("open"))
+    point = lambda lon, lat: F.array(F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat")))
+
+    def step(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc["open"], -1)
+        turn = p["lon"] - last["lon"]
+        side = F.when(turn < -180, 180.0).otherwise(-180.0)
+        t = (side - last["lon"]) / (turn + 2 * side)
+        lat = last["lat"] + t * (p["lat"] - last["lat"])
+        crossed = F.struct(F.concat(acc["done"], F.array(F.concat(acc["open"], point(side, lat)))).alias("done"), F.concat(point(-side, lat), point(p["lon"], p["lat"])).alias("open"))
+        kept = F.struct(acc["done"].alias("done"), F.concat(acc["open"], point(p["lon"], p["lat"])).alias("open"))
+        return F.when((F.size(acc["open"]) > 0) & (F.abs(turn) > 180), crossed).otherwise(kept)
+
+    return F.aggregate(points, start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))

@@ -56,3 +56,23 @@ def recent(rows: DataFrame, key: str, target: str, order: list[str], cap: int =
     last = rows.groupBy(key, target).agg(F.max(F.struct(*order)).alias("at"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("at"), target))
     return last.select(key, target, place.alias("place")).where(F.col("place") <= cap)
+
+
+def circular_span(intervals: DataFrame, key: str, lo: str, hi: str, period: float) -> DataFrame:
+    """Smallest arc of a circle that covers all intervals of a key: start, end, length, wraps.
+
+    The arc is the complement of the widest gap between merged intervals (ties to the
+    later gap).  Equal starts are combined before the sort.
+    """
+    rows = intervals.groupBy(key, F.col(lo).alias("lo")).agg(F.max(hi).alias("hi"))
+    w = Window.partitionBy(key).orderBy("lo")
+    rows = rows.select(key, "lo", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), "hi")
+    ends = rows.groupBy(key).agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.max(F.when(F.expr("before < lo"), F.struct((F.col("lo") - F.col("before")).alias("gap"), F.col("lo").alias("start"), F.col("before").alias("end")))).alias("inner"))
+    gap = F.greatest(F.struct((F.col("first") + period - F.col("last")).alias("gap"), F.col("first").alias("start"), F.col("last").alias("end")), "inner")
+    found = ends.select(key, gap.alias("g"))
+    return found.select(key, (F.col("g.start") % period).alias("arc_start"), (F.col("g.end") % period).alias("arc_end"), (period - F.col("g.gap")).alias("arc_length"), (F.col("g.gap") > 0).__and__(F.col("g.start") > F.col("g.end")).alias("wraps"))
+
+
+def block_leaders(code: DataFrame, key: str, at: str, leads: str) -> DataFrame:
+    """code with leader: the place of the nearest leading instruction at or before each."""
+    return code.withColumn("leader", F.last(F.when(F.col(leads), F.col(at)), ignorenulls=True).over(Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)))

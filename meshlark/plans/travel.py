@@ -89,16 +89,17 @@ def g7_invalid_steps(spark, d):
     return graph.invalid_steps(steps.join(own, ["src", "dst"], "left"), own).select("seq", "src", "dst")
 
 
-_CALLS = "WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS a, (p_partkey * 5 + s * 17) % 400 AS b FROM part, range(2) t(s) WHERE p_partkey < 400 AND p_partkey % 3 < 2)"
+#: Programs of fifty functions; two in three call two others.
+_CALLS = "WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS a, 50 * (p_partkey // 50) + (p_partkey * 5 + s * 17) % 50 AS b FROM part, range(2) t(s) WHERE p_partkey % 3 < 2)"
 
 
-@query(_CALLS + """, w(root, callee, depth) AS (SELECT a, b, 1 FROM e WHERE a % 20 = 0 UNION SELECT root, b, depth + 1 FROM w JOIN e ON callee = a WHERE depth < 16) SELECT root, callee, min(depth) AS depth, root = callee AS cycle FROM w GROUP BY root, callee""")
+@query(_CALLS + """, w(root, callee, depth) AS (SELECT a, b, 1 FROM e UNION SELECT root, b, depth + 1 FROM w JOIN e ON callee = a WHERE depth < 16) SELECT root, callee, min(depth) AS depth, root = callee AS cycle FROM w GROUP BY root, callee""")
 def g19_calls(spark, d):
-    """What each root calls within sixteen calls, and whether it calls itself."""
+    """What each function calls within sixteen calls, and whether it calls itself."""
     k = F.col("p_partkey")
-    edges = table(spark, d, "part").where("p_partkey < 400 AND p_partkey % 3 < 2").select(k.alias("caller"), F.explode(F.array(*[(k * 5 + s * 17) % 400 for s in range(2)])).alias("callee")).distinct()
-    found = graph.calls(edges, edges.where("caller % 20 = 0").select(F.col("caller").alias("root")).distinct())
-    return found.withColumn("cycle", F.expr("root = callee"))
+    callees = F.when(k % 3 < 2, F.array(*[50 * F.floor(k / 50) + (k * 5 + s * 17) % 50 for s in range(2)]))
+    edges = table(spark, d, "part").select(k.alias("caller"), F.explode(callees).alias("callee")).distinct()
+    return graph.calls(edges, edges.select(F.col("caller").alias("root")).distinct()).withColumn("cycle", F.expr("root = callee"))
 
 
 #: Acyclic scripts of twenty instructions: a node leads to the next, every third also further on.
