@@ -62,7 +62,7 @@ def circular_span(intervals: DataFrame, key: str, lo: str, hi: str, period: floa
     """Smallest arc of a circle that covers all intervals of a key: start, end, length, wraps.
 
     The arc is the complement of the widest gap between merged intervals (ties to the
-    later gap).  Equal starts are combined before the sort.
+    later gap).  Equal starts are combined before the sort, so a key has at most as many rows as different starts.
     """
     rows = intervals.groupBy(key, F.col(lo).alias("lo")).agg(F.max(hi).alias("hi"))
     w = Window.partitionBy(key).orderBy("lo")
