@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from meshlark.llm import _store, decontaminate, mixture, near_dedup, queries, token_files, toxicity
 
+#: Per cent of shared five-word shingles from which documents are near-duplicates.
+SIMILARITY = 80
+
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The same rows with columns c0, c1, ..., so that no further column can clash; and the new names by the old."""
@@ -33,7 +36,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest id."""
     _store.ship(spark)
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    gone = near_dedup.near_duplicates(docs, similarity=SIMILARITY).where("NOT kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
 
 

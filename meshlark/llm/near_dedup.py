@@ -14,7 +14,7 @@ documents gives at most m - 1 rows.  A group of more than ``BLOCK`` shingles is
 blocks by hash, and each two blocks meet in a task of their own, so that no task holds
 more than two blocks, whatever the group's size, and no pair is left out.
 
-With J = 0.85, 25 bands of 5 slots miss a pair with probability 4e-7.
+25 bands of 5 slots miss a pair at J = 0.85 with probability 4e-7 and one at J = 0.80 with 5e-5.
 
 Defined cases: a document without words or text has an empty set and is linked with
 nothing; with fewer than five words the whole sequence is its one shingle; repeated
@@ -139,8 +139,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(size.astype(np.int64)), pa.array(print1.view(np.int64)), pa.array(print2.view(np.int64)), lists], names=["id", "n", "p1", "p2", "bands"])
 
 
-def links_within(values: np.ndarray, edge: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links of 0.85 or more among sets (places of two linked sets)."""
+def links_within(values: np.ndarray, edge: np.ndarray, similarity: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of ``similarity`` per cent or more among sets (places of two linked sets)."""
     m, size = len(edge) - 1, np.diff(edge)
     root = np.arange(m)
     out: list[tuple[int, int]] = []
@@ -157,7 +157,7 @@ def links_within(values: np.ndarray, edge: np.ndarray) -> list[tuple[int, int]]:
         if not len(total) or not total[-1]:
             return
         same = np.bincount(posted[np.repeat(lo - (total - n), n) + np.arange(total[-1])], minlength=m)
-        for y in np.flatnonzero((100 * same >= 85 * (size[x] + size - same)) & (same > 0) & (root != root[x])).tolist():
+        for y in np.flatnonzero((100 * same >= similarity * (size[x] + size - same)) & (same > 0) & (root != root[x])).tolist():
             if root[y] != root[x]:
                 out.append((x, y))
                 root[root == root[y]] = root[x]
@@ -172,12 +172,12 @@ def links_within(values: np.ndarray, edge: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
     """Links inside the groups of rows (key, id, text), which come sorted by key."""
     key, ids, sets, sizes = None, [], [], []
 
     def done() -> pa.RecordBatch:
-        found = links_within(np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes))))
+        found = links_within(np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes))), similarity)
         return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in found], kind), pa.array([ids[y] for _, y in found], kind)], names=["a", "b"])
 
     for batch in batches:
@@ -198,8 +198,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id (smallest id reachable), kept."""
+def near_duplicates(docs: DataFrame, *, similarity: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_shingles, component_id (smallest id reachable over links of ``similarity`` per cent), kept."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     sketched = materialise(own.mapInArrow(_sketch, f"id {kind}, n long, p1 long, p2 long, bands array<long>"), "sketches")
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
     keyed = dealt.select("id", "component", "block", F.explode(others).alias("other")).select("id", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
     placed = own.join(keyed, "id").select("key", "id", "text").distinct()
-    links = materialise(placed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_confirm, f"a {kind}, b {kind}"), "links")
+    links = materialise(placed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda batches: _confirm(batches, similarity), f"a {kind}, b {kind}"), "links")
     component = components(links)
     of = classes.select("p1", "p2", "n", "rep")
     of = of.join(component, of["rep"] == component["id"], "left").select("p1", "p2", "n", F.coalesce("component", "rep").alias("component"))

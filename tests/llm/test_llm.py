@@ -310,3 +310,17 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert abs(sum(n * len((texts[i] or "").split()) for i, n in ids.items()) - total) <= 120
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).columns == [x.split()[0] for x in DOCS.split(", ")]
+
+
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    one = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(base))
+    texts = [one(), one(20, 21, 22, 23, 24), one(20, 24, 29)]  # nine and fourteen shingles changed: 91 / 109 and 86 / 114
+    sets = [shingle_set(t) for t in texts]
+    shared = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert 0.8 <= shared[1] < 0.85 and shared[2] < 0.8 and len(sets[1] & sets[2]) / len(sets[1] | sets[2]) < 0.8
+    docs = docs_of(spark, texts)
+    assert {x["doc_id"] for x in corpus_pipeline.near_duplicate(spark, docs, "").collect()} == {0, 2}
+    assert all(x["kept"] for x in near_dedup.near_duplicates(docs).collect())
