@@ -7,18 +7,23 @@ so that a search takes time in proportion to the text: a run of one class is ent
 its start only (or where the last match ended), and loops are possessive.
 
 Information-theoretic sanitisation then asks which terms reveal an entity (a normalised
-address or number) that the base has found.  Over all occurrences with different
-surroundings, a term in the ``CONTEXT`` characters before or after the entity is held
-against its share of all documents: the disclosure of an entity e by a term t is
+address or number) that the base has found.  Counts are of distinct texts, and whole
+texts count, however far a term stands from the entity.  With p(t) the share of texts
+that hold a term, the disclosure of an entity e by a term t is
 
-    PMI(t, e) / IC(e),  PMI = log2(p(t | e) / p(t)),  IC = log2(N / documents of e)
+    PMI(t, e) / IC(e),  PMI = log2(p(t | e) / p(t)),  IC = log2(1 / p(e))
 
 Terms that reach ``GENERALISE`` become spans of kind ``term`` (to be generalised), those
-that reach ``REMOVE`` of kind ``drop`` (to be removed).  At least ``SUPPORT`` occurrences
-with different surroundings are needed, so copies of one text prove nothing.
+that reach ``REMOVE`` of kind ``drop`` (to be removed), at all their places in the texts
+that hold the entity.  Terms are words of any length; those inside an email address and
+those of ASCII digits alone are not terms.
 
-Counts of terms cover all documents and are aggregated on the map side before they are
-shuffled; only rows for entities with enough occurrences are joined, and no text is.
+Support: e and t must share at least ``SUPPORT`` distinct texts, and t must be in at
+least the share ``COVER`` of e's texts.  An entity of a single text is left out: every
+rare word of that text would disclose it, and copies of one text prove nothing.
+
+Counts of terms cover all texts and are aggregated on the map side before they are
+shuffled; only texts with an entity of enough texts are read again, each once.
 
 Defined cases: a null text is empty and has no spans; rows with the same id and text get
 the same spans; spans of different kinds may overlap; very long texts are searched whole;
@@ -33,10 +38,10 @@ from pyspark.sql import functions as F
 from meshlark.llm._store import materialise
 
 KINDS = ("email", "ip", "card", "phone", "term", "drop")
-CONTEXT = 60
-SUPPORT = 3
+#: Distinct texts that an entity and a term must share; below two nothing occurs together repeatedly.
+SUPPORT = 2
 GENERALISE, REMOVE = 0.6, 0.9
-#: A term must be near at least this share of an entity's occurrences.
+#: A term must be in at least this share of the texts that hold an entity.
 COVER = 0.5
 
 #: The base patterns, each with what the text must hold for it.
@@ -64,12 +69,14 @@ def spans(name: str) -> Column:
     """Start, end and text of the matches among the pieces in a column."""
     return F.expr(
         f"""CASE WHEN size({name}) <= 1 THEN CAST(array() AS array<struct<start:bigint,end:bigint,value:string>>) ELSE
-        flatten(transform(sequence(0, CAST(ceil(size({name}) / {_PART}) AS int) - 1), part ->
+        flatten(flatten(transform(
+          array(transform(sequence(0, CAST(ceil(size({name}) / {_PART}) AS int) - 1), part -> aggregate(slice({name}, part * {_PART} + 1, {_PART}), 0L, (n, x) -> n + length(x)))),
+          sums -> transform(sequence(0, size(sums) - 1), part ->
           aggregate(slice({name}, part * {_PART} + 1, {_PART}),
-            struct(aggregate(slice({name}, 1, part * {_PART}), 0L, (n, x) -> n + length(x)) AS at, 0 AS i, CAST(array() AS array<struct<start:bigint,end:bigint,value:string>>) AS found),
+            struct(aggregate(slice(sums, 1, part), 0L, (n, x) -> n + x) AS at, 0 AS i, CAST(array() AS array<struct<start:bigint,end:bigint,value:string>>) AS found),
             (a, x) -> struct(a.at + length(x) AS at, a.i + 1 AS i,
                              CASE WHEN a.i % 2 = 1 THEN concat(a.found, array(struct(a.at AS start, a.at + length(x) AS end, x AS value))) ELSE a.found END AS found),
-            a -> a.found))) END"""
+            a -> a.found))))) END"""
     )
 
 
@@ -84,50 +91,71 @@ _GOOD = {
 
 
 def base_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, key (hash of id and text), found (array of start, kind number, end, value, before, after)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
-    rows = rows.select("id", "key", "text", *[pieces(F.col("text"), p, needs).alias(kind) for kind, (p, needs) in PATTERNS.items()])
+    """Per document: id, key (hash of the text), found (array of start, kind number, end, value)."""
+    rows = docs.select(F.col(id_col).alias("id"), *_keyed(text_col))
+    rows = rows.select("id", "key", *[pieces(F.col("text"), p, needs).alias(kind) for kind, (p, needs) in PATTERNS.items()])
     found = [F.expr(f"transform(filter(x_{kind}, x -> {_GOOD[kind]}), x -> struct(x.start AS start, {i} AS kind, x.end AS end, x.value AS value))") for i, kind in enumerate(PATTERNS)]
-    rows = rows.select("id", "key", "text", *[spans(kind).alias(f"x_{kind}") for kind in PATTERNS])
-    rows = rows.select("id", "key", "text", F.array_sort(F.concat(*found)).alias("spans"))
-    around = f"""transform(spans, x -> struct(x.start AS start, x.kind AS kind, x.end AS end, x.value AS value,
-        substring(text, CAST(greatest(x.start - {CONTEXT}, 0) AS int) + 1, CAST(least(x.start, {CONTEXT}) AS int)) AS before, substring(text, CAST(x.end AS int) + 1, {CONTEXT}) AS after))"""
-    return rows.select("id", "key", F.when(F.size("spans") == 0, F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string,before:string,after:string>>")).otherwise(F.expr(around)).alias("found"))
-
-
-def _words_near(rows: DataFrame) -> DataFrame:
-    """Words around each entity: key, entity, surroundings, term, start, end in the document."""
-    entity = F.when(F.col("x.kind") >= 2, F.regexp_replace("x.value", "[^0-9]", "")).otherwise(F.lower("x.value"))
-    one = rows.select("key", F.explode("found").alias("x")).select("key", F.concat(F.col("x.kind").cast("string"), F.lit(":"), entity).alias("entity"), F.xxhash64(F.substring("x.before", -24, 24), F.substring("x.after", 1, 24)).alias("near"), "x.start", "x.end", "x.before", "x.after")
-    often = one.groupBy("entity").agg(F.approx_count_distinct("near").alias("n")).where(F.col("n") >= SUPPORT - 1).select("entity")
-    one = one.join(often, "entity", "left_semi")
-    sides = one.select("key", "entity", "near", F.explode(F.array(F.struct((F.col("start") - F.length("before")).alias("at"), F.col("before").alias("text"), F.lit(1).alias("cut")), F.struct(F.col("end").alias("at"), F.col("after").alias("text"), F.lit(2).alias("cut")))).alias("side"))
-    cut = sides.select("key", "entity", "near", "side", pieces(F.col("side.text"), WORD).alias("p"))
-    words = cut.select("key", "entity", "near", "side", F.explode(spans("p")).alias("w"))
-    # a word at the outer edge of the surroundings may be a part of a longer one
-    inner = ((F.col("side.cut") == 1) & ((F.col("w.start") > 0) | (F.col("side.at") == 0))) | ((F.col("side.cut") == 2) & (F.col("w.end") < CONTEXT))
-    return words.where(inner & (F.length("w.value") >= 4) & ~F.col("w.value").rlike("^[0-9]+$")).select("key", "entity", "near", F.lower("w.value").alias("term"), (F.col("side.at") + F.col("w.start")).alias("start"), (F.col("side.at") + F.col("w.end")).alias("end"))
-
-
-def disclosing(near: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Pairs (entity, term, disclosure) that reach the threshold, from counts over all documents."""
-    n_e = near.groupBy("entity").agg(F.countDistinct("near").alias("n_e"), F.countDistinct("key").alias("docs_e")).where(F.col("n_e") >= SUPPORT)
-    n_te = near.groupBy("entity", "term").agg(F.countDistinct("near").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    pairs = n_te.join(n_e, "entity").where(F.col("n_te") >= COVER * F.col("n_e"))
-    terms = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), NO_WORD))).alias("term")).where("length(term) >= 4")
-    n_t = terms.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = docs.agg(F.count("*").alias("n"))  # one row
-    scored = pairs.join(n_t, "term").join(F.broadcast(n), F.lit(True))
+    rows = rows.select("id", "key", *[spans(kind).alias(f"x_{kind}") for kind in PATTERNS])
+    return rows.select("id", "key", F.array_sort(F.concat(*found)).alias("found"))
+
+
+def _keyed(text_col: str) -> tuple[Column, Column]:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(text).alias("key"), text.alias("text")
+
+
+def _terms(text: Column) -> Column:
+    """Distinct terms of a text, each to be checked by _TERM."""
+    email, needs = PATTERNS["email"]
+    plain = F.when(F.instr(text, needs) > 0, F.regexp_replace(text, email, " ")).otherwise(text)
+    return F.array_distinct(F.transform(F.split(plain, NO_WORD), F.lower))
+
+
+_TERM = "NOT term RLIKE '^[0-9]*$'"
+
+
+def entities(base: DataFrame) -> DataFrame:
+    """Distinct pairs (key, entity) of texts and the normalised addresses and numbers in them."""
+    value = F.when(F.col("x.kind") >= 2, F.regexp_replace("x.value", "[^0-9]", "")).otherwise(F.lower("x.value"))
+    one = base.where("size(found) > 0").select("key", F.explode("found").alias("x"))
+    return one.select("key", F.concat(F.col("x.kind").cast("string"), F.lit(":"), value).alias("entity")).distinct()
+
+
+def disclosing(together: DataFrame, terms: DataFrame, n: DataFrame) -> DataFrame:
+    """Pairs (entity, term, disclosure) that reach the threshold.
+
+    ``together`` has a row (entity, n_e, term) for each text of both, ``terms`` the texts
+    n_t of each term, and ``n``, one row, the number of texts.
+    """
+    pairs = together.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where((F.col("n_te") >= SUPPORT) & (F.col("n_te") >= COVER * F.col("n_e")))
+    scored = pairs.join(terms, "term").join(F.broadcast(n), F.lit(True))
     pmi = F.log2((F.col("n_te") / F.col("n_e")) / (F.col("n_t") / F.col("n")))
-    return scored.select("entity", "term", F.least(F.lit(1.0), pmi / F.greatest(F.lit(1.0), F.log2(F.col("n") / F.col("docs_e")))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return scored.select("entity", "term", F.least(F.lit(1.0), pmi / F.greatest(F.lit(1.0), F.log2(F.col("n") / F.col("n_e")))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, base (array of start, kind number, end), spans (the same with those of the method)."""
     base = materialise(base_spans(docs, id_col=id_col, text_col=text_col), "pii")
-    near = materialise(_words_near(base.where("size(found) > 0")), "pii-near")
-    told = near.join(disclosing(near, docs, text_col), ["entity", "term"])
-    extra = told.groupBy("key", "start", "end").agg(F.max("disclosure").alias("d")).groupBy("key").agg(F.collect_list(F.struct("start", F.when(F.col("d") >= REMOVE, 5).otherwise(4).alias("kind"), "end")).alias("extra"))
+    copies = materialise(base.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "pii-copies")
+    n = base.agg(F.count("*").alias("rows")).join(copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("more")), F.lit(True)).select((F.col("rows") - F.col("more")).alias("n"))  # one row
+    every = docs.select(*_keyed(text_col))
+    # a text of m copies counts as m times 1/m
+    named = every.join(copies, "key", "left").select(F.explode(_terms(F.col("text"))).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    terms = named.where(_TERM).groupBy("term").agg(F.round(F.sum("part")).alias("n_t"))
+
+    own = materialise(entities(base), "pii-entities")
+    own = materialise(own.join(own.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entity"), "pii-often")
+    texts = materialise(every.join(own.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "pii-texts")
+    together = own.join(texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).where(_TERM), "key")
+    told = materialise(disclosing(together.select("entity", "n_e", "term"), terms, n), "pii-told")
+    marked = together.join(told, ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("d"))
+
+    cut = texts.select("key", pieces(F.col("text"), WORD).alias("p")).select("key", F.explode(spans("p")).alias("w"))
+    places = cut.select("key", F.lower("w.value").alias("term"), "w.start", "w.end").join(marked, ["key", "term"])
+    # words inside a base span are covered by it
+    held = base.where("size(found) > 0").dropDuplicates(["key"]).select("key", F.expr("transform(found, x -> struct(x.start AS start, x.end AS end))").alias("cover"))
+    places = places.join(held, "key").where("NOT exists(cover, x -> x.start <= start AND end <= x.end)")
+    extra = places.groupBy("key").agg(F.collect_list(F.struct("start", F.when(F.col("d") >= REMOVE, 5).otherwise(4).alias("kind"), "end")).alias("extra"))
     own = base.select("id", "key", F.expr("transform(found, x -> struct(x.start AS start, x.kind AS kind, x.end AS end))").alias("base"))
     both = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra")))
     return own.join(extra, "key", "left").select(F.col("id").alias(id_col), "key", "base", both.alias("spans"))

@@ -324,3 +324,27 @@ def test_pipeline_drops_near_copies_from_four_fifths(spark):
     docs = docs_of(spark, texts)
     assert {x["doc_id"] for x in corpus_pipeline.near_duplicate(spark, docs, "").collect()} == {0, 2}
     assert all(x["kept"] for x in near_dedup.near_duplicates(docs).collect())
+
+
+def test_pii_terms_over_whole_texts(spark):
+    far = words(60, 1)
+    texts = [f"ask ann@corp.example {words(60, 10 + i)} at Quillby Xy, QUILLBY and {'Unrelated' if i else 'Lonely'}" for i in range(2)]
+    texts += [texts[0], texts[0], "bob@solo.example writes Hapaxo", "bob@solo.example writes Hapaxo", "Quillby without an address"]
+    texts += [f"{words(40, 100 + i)} {far}" for i in range(60)] + [words(3000, 7, 5) + " " + texts[1]]
+    got = {x["doc_id"]: x["spans"] for x in pii.find(docs_of(spark, texts)).select("doc_id", pii.listed("spans").alias("spans")).collect()}
+    told = lambda i: [texts[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in filter(None, got[i].split(","))) if k in ("term", "drop")]
+    # words stand 60 words from the address, twice; short ones count; copies don't, and one text proves nothing
+    for i in (0, 1, 2, 3, len(texts) - 1):
+        assert [w for w in told(i) if w.lower() in ("quillby", "xy")] == ["Quillby", "Xy", "QUILLBY"], i
+        assert "Lonely" not in told(i) and "corp" not in told(i)
+    assert told(4) == told(5) == told(6) == []
+    # counts and disclosure by brute force
+    plain = {t: {w for w in re.findall(r"[A-Za-z0-9]+", re.sub(r"\S+@\S+", " ", t.lower())) if not w.isdigit()} for t in texts}
+    own = [t for t in plain if "ann@corp.example" in t]
+    n, n_e = len(plain), len(own)
+    want = set()
+    for w in set().union(*(plain[t] for t in own)):
+        both, n_t = sum(w in plain[t] for t in own), sum(w in x for x in plain.values())
+        if both >= max(2, n_e / 2) and np.log2(both / n_e * n / n_t) / np.log2(n / n_e) >= 0.6:
+            want.add(w)
+    assert {w.lower() for i in (0, 1, len(texts) - 1) for w in told(i)} == want
