@@ -34,10 +34,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest id."""
+    """One row of each group of near-duplicates stays: that with the smallest id.
+
+    Rows are told apart by id and text: of repeated rows one stays, and different texts
+    under one id are judged each by itself.  Rows with a null id all stay.
+    """
     _store.ship(spark)
-    gone = near_dedup.near_duplicates(docs, similarity=SIMILARITY).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    rows, name = _numbered(docs)
+    own, text = F.col(name["doc_id"]), name["text"]
+    keyed = rows.withColumn("key", F.when(own.isNotNull(), F.struct(own.alias("id"), F.xxhash64(text).alias("hash"))))
+    found = near_dedup.near_duplicates(keyed, similarity=SIMILARITY, id_col="key", text_col=text)
+    gone = _store.materialise(found.where("NOT kept").select(F.col("key").alias("gone")).distinct(), "gone")
+    again = _store.materialise(keyed.where("key IS NOT NULL").groupBy("key").count().where("count > 1").select(F.col("key").alias("again")), "again")
+    kept = keyed.join(gone, F.col("key") == F.col("gone"), "left_anti")
+    once = kept.join(again, F.col("key") == F.col("again"), "left_anti").select(*rows.columns)
+    several = kept.join(again, F.col("key") == F.col("again"), "left_semi").groupBy("key").agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
+    return once.unionByName(several).toDF(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -326,6 +326,18 @@ def test_pipeline_drops_near_copies_from_four_fifths(spark):
     assert all(x["kept"] for x in near_dedup.near_duplicates(docs).collect())
 
 
+def test_pipeline_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    _store.ship(spark)
+    copy, other = words(60, 1), words(60, 2)
+    rows = [(1, copy), (1, copy), (2, copy + " tail"), (2, other), (3, other), (4, None), (4, None), (4, ""), (None, copy), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", float(n), "k") for n, (i, t) in enumerate(rows)], DOCS)
+    got = corpus_pipeline.near_duplicate(spark, docs, "").collect()
+    assert collections.Counter((x["doc_id"], x["text"]) for x in got) == collections.Counter([(1, copy), (2, other), (4, None), (4, ""), (None, copy), (None, "")])
+    assert {x["score"] for x in got} == {0.0, 3.0, 5.0, 7.0, 8.0, 9.0}
+
+
 def test_pii_terms_over_whole_texts(spark):
     far = words(60, 1)
     texts = [f"ask ann@corp.example {words(60, 10 + i)} at Quillby Xy, QUILLBY and {'Unrelated' if i else 'Lonely'}" for i in range(2)]
