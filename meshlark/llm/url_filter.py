@@ -37,9 +37,9 @@ SALTS = 16
 BUCKETS = 512
 SCALE = 1024
 
-#: Site names that the labelled URL table is made of; the first list is to be blocked.
-BLOCKED_NAMES = "casino-win free-bets cheap-pills adult-x ads-track online-casino poker-bets pills-shop xxx-cams slots-bonus click-track popup-ads win-money fast-loans hot-singles crypto-double replica-watches warez-crack".split()
-ALLOWED_NAMES = "library gardening news docs university museum recipes weather wiki history science maps school theatre harbour tionsh tionble tiontion therhe thering therst ththes ththat ththan theror therat".split()
+#: Site names that the labelled URL table is made of; the first list is to be blocked.  None is a site of the tables.
+BLOCKED_NAMES = "online-casino poker-bets pills-shop xxx-cams slots-bonus click-track popup-ads win-money fast-loans hot-singles crypto-double replica-watches warez-crack lotto-prize escort-girls diet-miracle spyware-toolbar phishing-login".split()
+ALLOWED_NAMES = "library gardening news docs university museum recipes weather wiki history science maps school theatre harbour nation foundation education brother together lantern northern bakery railway poetry".split()
 _SHAPES = ["http://{}.example.com/en/4033.html", "https://m.{}.example.net/de/17#top", "https://www.{}.example.org/fr/1291/", "http://blog.{}.example.net/en/52?utm_source=feed", "https://{}.example.org/de/8423?page=2&ref=x"]
 #: Labelled URLs that the default model is trained from: 1 is to be blocked.
 LABELLED = [(shape.format(name), label) for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)) for name in names for shape in _SHAPES]

@@ -360,3 +360,9 @@ def test_pii_terms_over_whole_texts(spark):
         if both >= max(2, n_e / 2) and np.log2(both / n_e * n / n_t) / np.log2(n / n_e) >= 0.6:
             want.add(w)
     assert {w.lower() for i in (0, 1, len(texts) - 1) for w in told(i)} == want
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.1"])
+def test_url_model_is_not_trained_on_judged_hosts(table):
+    names = {h[0] for h in duckdb.sql(f"select distinct regexp_extract(url, '://(?:(?:www|m|blog)[.])?([^./?#]*)', 1) from '/root/testdata/{table}/pages.parquet'").fetchall()}
+    assert len(names) > 20 and not names & set(url_filter.BLOCKED_NAMES + url_filter.ALLOWED_NAMES)
