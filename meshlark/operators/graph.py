@@ -47,14 +47,17 @@ def distances(arcs: DataFrame, starts: DataFrame, limit: int | None = None) -> D
     return _relaxed(cut(arcs.select("src", "dst", "weight")), starts, limit)
 
 
-def _relaxed(arcs: DataFrame, starts: DataFrame, limit: int | None) -> DataFrame:
-    """distances() over arcs that are computed already, as every round reads them."""
+def _relaxed(arcs: DataFrame, starts: DataFrame, limit: int | None, targets: DataFrame | None = None) -> DataFrame:
+    """distances() over arcs that are computed already, as every round reads them; with targets, only as far as the nearest."""
     known = cut(starts.select("node", F.lit(0).cast("long").alias("distance"), F.col("node").alias("origin"), F.lit(0).alias("round")))
     done = 0
     while not known.where(F.col("round") == done).isEmpty():
         front = known.where(F.col("round") == done)
         done += 1
         offered = front.join(arcs, front["node"] == arcs["src"]).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), "origin", F.lit(done).alias("round"))
+        if targets is not None:
+            best = known.join(targets, "node").agg(F.min("distance").alias("d")).first()["d"]
+            limit = best if limit is None or best is not None and best < limit else limit
         if limit is not None:
             offered = offered.where(F.col("distance") <= limit)
         # what is known wins over an equal offer, as its round is smaller
@@ -83,9 +86,10 @@ def route(arcs: DataFrame, starts: DataFrame, targets: DataFrame, limit: int | N
 
     Ties go to the smaller target and to the smaller node before.  The way back is read by
     doubling: 2^k-th nodes before are known after k rounds, so a long route takes few.
+    Nothing farther than the nearest target found so far is explored.
     """
     arcs = cut(arcs.select("src", "dst", "weight"))
-    known = _relaxed(arcs, starts, limit)
+    known = _relaxed(arcs, starts, limit, targets)
     end = known.join(targets, "node").agg(F.min(F.struct("distance", "node")).alias("x")).where("x IS NOT NULL").select("x.node")
     near, far = known.select(F.col("node").alias("src"), F.col("distance").alias("d0")), known.select(F.col("node").alias("dst"), F.col("distance").alias("d1"))
     tight = arcs.join(near, "src").join(far, "dst").where("d0 + weight = d1")

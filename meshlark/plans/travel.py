@@ -75,7 +75,7 @@ SELECT CAST(row_number() OVER (ORDER BY dist) - 1 AS INTEGER) AS seq, node, CAST
 def g2_route(spark, d):
     """The shortest route from a station to the nearer of two, in order."""
     starts, targets = spark.createDataFrame([(20,)], "node long"), spark.createDataFrame([(26,), (28,)], "node long")
-    way = graph.route(_arcs(spark, d), starts, targets, 40)
+    way = graph.route(_arcs(spark, d), starts, targets)
     # distances along a route differ, as weights are positive
     seq = ordered.offsets(way.select("distance", F.lit(1).cast("long").alias("one")), "distance", "one").select("distance", F.col("offset").cast("int").alias("seq"))
     return way.join(seq, "distance").select("seq", "node", "distance")

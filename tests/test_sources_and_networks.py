@@ -137,3 +137,26 @@ def test_variant_buckets(spark):
     other = spark.createDataFrame([(1, 1, 0, 0, 0, 1, 0, 0, 0, 0, 4, 0), (3, 0, 1, 0, 1, 0, 0, 0, 0, 0, 5, 0)], CORNERS)
     got = {r["status"]: (r["base_n"], r["other_n"], r["ambiguous"], r["winding_common"], r["attribute_common"]) for r in variant.buckets(base, other).collect()}
     assert got == {"common": (1, 2, True, 1, 1), "base_only": (1, 0, False, 0, 0)}
+
+
+def test_g2_route_has_no_distance_limit(spark, monkeypatch):
+    import heapq
+    import random
+
+    from meshlark.plans import travel
+
+    r = random.Random(5)
+    arcs = [(a, b, r.randint(20, 60)) for a in range(200) for b in {(a * 7 + 3) % 200, (a * 11 + 5) % 200, (a + 1) % 200} - {a}]
+    known, heap = {}, [(0, 20)]
+    while heap:
+        d, a = heapq.heappop(heap)
+        if a not in known:
+            known[a] = d
+            for s, t, w in arcs:
+                if s == a:
+                    heapq.heappush(heap, (d + w, t))
+    monkeypatch.setattr(travel, "_arcs", lambda spark, d: spark.createDataFrame(arcs, "src long, dst long, weight long"))
+    way = [(x["node"], x["distance"]) for x in travel.g2_route(spark, "").orderBy("seq").collect()]
+    best = min((known[x], x) for x in (26, 28))
+    assert best[0] > 40 and way[0] == (20, 0) and way[-1] == best[::-1]
+    assert all(known[a] == d for a, d in way) and all((a, b, d1 - d0) in arcs for (a, d0), (b, d1) in zip(way, way[1:], strict=False))
