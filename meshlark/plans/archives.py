@@ -9,6 +9,10 @@ from meshlark.sources import archives
 from meshlark.sources.tables import table
 
 
+#: Bytes of the longest reference.
+_LONGEST = 18
+
+
 def _le(value, size: int):
     """A whole number's bytes, lowest first."""
     return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * i).bitwiseAND(255)), 2, "0")) for i in range(size)])
@@ -17,16 +21,27 @@ def _le(value, size: int):
 @query("""SELECT p_partkey, p_name || p_name || p_name AS text FROM part""")
 def s3_inflate(spark, d):
     """Names told three times, as members with back references, inflated."""
-    n = F.length("p_name")
-    # eight bytes, then the rest, eight to a flag byte; then the whole name twice by reference to the ring's start
-    rest = F.transform(F.sequence(F.lit(1), n, F.lit(8)), lambda i: F.concat(F.unhex(F.lit("FF")), F.encode(F.rpad(F.substring(F.col("p_name"), i, F.lit(8)), 8, " "), "US-ASCII")))
+    name = F.encode("p_name", "UTF-8")
+    n = F.octet_length("p_name")
+    # eight bytes, then the rest, eight to a flag byte
+    at = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(8))).otherwise(F.array().cast("array<int>"))
+    rest = F.transform(at, lambda i: F.concat(F.unhex(F.lit("FF")), F.rpad(F.substring(name, i, F.lit(8)), 8, F.unhex(F.lit("20")))))
     literal = F.aggregate(rest, F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
     padded = (F.ceil(n / 8) * 8).cast("int")
-    place = F.lit(archives.START)
-    reference = F.concat(F.unhex(F.lit("00")), *[_reference(place, n) for _ in range(2)])
-    rows = table(spark, d, "part").where(n.between(3, 18)).select("p_partkey", n.alias("n"), padded.alias("padded"), F.concat(literal, reference).alias("member"))
-    text = F.decode(archives.inflated(F.col("member"))["text"], "US-ASCII")
-    return rows.select("p_partkey", "n", "padded", text.alias("t")).select("p_partkey", F.concat(F.expr("substring(t, 1, n)"), F.expr("substring(t, padded + 1, 2 * n)")).alias("text"))
+    # then the name twice by reference: first to the literals, then to the copy before, which is nearer;
+    # a name longer than a reference takes several of like length, one too short for any, or longer than the ring, literals
+    parts = F.greatest(F.lit(1), F.ceil(n / _LONGEST)).cast("int")
+    cut = lambda i: F.floor(n * i / parts).cast("int")
+    told = F.transform(F.sequence(F.lit(0), 2 * parts - 1), lambda i: _reference((archives.START + F.when(i < parts, 0).otherwise(padded) + cut(i % parts)) % archives.RING, cut(i % parts + 1) - cut(i % parts)))
+    grouped = F.transform(F.sequence(F.lit(1), 2 * parts, F.lit(8)), lambda i: F.concat(F.unhex(F.lit("00")), F.aggregate(F.slice(told, i, F.lit(8)), F.unhex(F.lit("")), lambda a, b: F.concat(a, b))))
+    reference = F.aggregate(grouped, F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
+    refers = (n >= archives.SHORTEST) & (padded <= archives.RING)
+    rows = table(spark, d, "part").select("p_partkey", n.alias("n"), padded.alias("padded"), refers.alias("refers"), F.when(refers, F.concat(literal, reference)).otherwise(F.concat(literal, literal, literal)).alias("member"))
+    rows = rows.select("p_partkey", "n", "padded", "refers", archives.inflated(F.col("member"))["text"].alias("t"))
+    # literals are padded each, references only once
+    places = F.expr("CASE WHEN refers THEN array(1, padded + 1, padded + n + 1) ELSE array(1, padded + 1, 2 * padded + 1) END")
+    whole = F.aggregate(F.transform(places, lambda i: F.substring(F.col("t"), i, F.col("n"))), F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
+    return rows.select("p_partkey", F.decode(whole, "UTF-8").alias("text"))
 
 
 def _reference(place, length):

@@ -160,3 +160,12 @@ def test_g2_route_has_no_distance_limit(spark, monkeypatch):
     best = min((known[x], x) for x in (26, 28))
     assert best[0] > 40 and way[0] == (20, 0) and way[-1] == best[::-1]
     assert all(known[a] == d for a, d in way) and all((a, b, d1 - d0) in arcs for (a, d0), (b, d1) in zip(way, way[1:], strict=False))
+
+
+def test_s3_inflates_names_of_any_length(spark, tmp_path):
+    from meshlark.plans import archives as queries
+
+    names = [None, "", "a", "ab", "abc", "x" * 18, "0123456789" * 2, "é" + "name of some length " * 7, *["".join(chr(97 + i * i % 26) for i in range(n)) for n in (17, 19, 36, 37, 200, 2100, 4090, 4096, 4100, 9000)]]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {x["p_partkey"]: x["text"] for x in queries.s3_inflate(spark, str(tmp_path)).collect()}
+    assert [got.get(i, "no row") for i in range(len(names))] == [None if x is None else x * 3 for x in names]
