@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -14,16 +13,20 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names, or that of SparkContext.setCheckpointDir.
+
+    Where neither is set there is none: a folder of the driver's own would be another one on each executor.
+    A local master alone (tests) gets the warehouse's folder.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return str(current.get()).rstrip("/")
-    own = tempfile.mkdtemp(prefix="meshlark-")
-    spark.sparkContext.setCheckpointDir(own)
-    return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+    if not (spark.sparkContext.master or "").partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/meshlark-shared"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -60,8 +63,15 @@ def _sweep() -> None:
         _delete(*_WRITTEN.pop())
 
 
+#: Rows and bytes of the batches that Python workers get, in place of Spark's own 10,000 rows and 64 MB: whole texts are wide.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "4194304")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and send them small batches (settings of the user's own stay)."""
+    for name, (usual, ours) in _BATCHES.items():
+        if (spark.conf.get(name, usual) or usual).rstrip("b") == usual:
+            spark.conf.set(name, ours)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     parts = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]

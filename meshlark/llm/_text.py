@@ -16,15 +16,19 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
+#: Powers that a worker remembers (8 MB for each of the two bases); longer tables are made anew.
+_KEPT = (1 << 20) + (1 << 12)
 
 
 def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = max(_KEPT, n)
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
-        _powers[name] = have = np.multiply.accumulate(have)
+        np.multiply.accumulate(have, out=have)
+        if size == _KEPT:
+            _powers[name] = have
     return have[:n]
 
 
@@ -107,6 +111,29 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def blank_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words between spaces, tabs and line ends (0x20, 0x09-0x0D)."""
-    return word_spans(~_BLANK[data], offsets)
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word: a run of bytes that ``inside`` (a table of 256) holds, A-Z lower-cased.
+
+    Bytes are hashed in stretches of about ``most``, which end between words, so that a
+    very long text needs little more memory than its words' hashes.
+    """
+    hashes, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = min(n, lo + most)
+        while hi < n:
+            ends = np.flatnonzero(~inside[_LOWER[data[hi : hi + 4096]]])
+            if len(ends):
+                hi += int(ends[0])
+                break
+            hi = min(n, hi + 4096)
+        low = _LOWER[data[lo:hi]]
+        start, end, row = word_spans(inside[low], np.clip(offsets - lo, 0, hi - lo))
+        hashes.append(span_hash(prefix_hash(low), start, end))
+        rows.append(row)
+        lo = hi
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+#: Bytes of words between spaces, tabs and line ends (0x20, 0x09-0x0D).
+NOT_BLANK = ~_BLANK

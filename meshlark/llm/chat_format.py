@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlark.llm._worker import frugal
+
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 KINDS = ("text", "image", "audio", "document")
@@ -143,7 +145,7 @@ def format_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
             )
 
     types = {f.name: f.dataType.simpleString() for f in own.schema}
-    return own.mapInArrow(run, f"conv_id {types['conv_id']}, turn {types['turn']}, role string, {_SCHEMA}")
+    return own.mapInArrow(frugal(run), f"conv_id {types['conv_id']}, turn {types['turn']}, role string, {_SCHEMA}")
 
 
 class _Running:
@@ -196,4 +198,4 @@ def digests(segments: DataFrame) -> DataFrame:
         if now is not None:
             yield packed([now.row()])
 
-    return dealt.mapInArrow(run, f"conv_id {conv_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.mapInArrow(frugal(run), f"conv_id {conv_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

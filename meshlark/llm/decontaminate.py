@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlark.llm._worker import frugal
+
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _automata: dict[str, object] = {}
 
@@ -155,7 +157,7 @@ def decontaminate(
 
     kept_names = list(dict.fromkeys([id_col, *keep]))
     fields = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in kept_names)
-    return base.mapInArrow(run, f"{fields}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, hits array<struct<word_start:long,word_end:long,byte_start:long,byte_end:long>>")
+    return base.mapInArrow(frugal(run), f"{fields}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, hits array<struct<word_start:long,word_end:long,byte_start:long,byte_end:long>>")
 
 
 def hit(row: Column | str = "contaminated") -> Column:

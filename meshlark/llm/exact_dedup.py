@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from meshlark.llm import _text
 from meshlark.llm._store import materialise
+from meshlark.llm._worker import frugal
 
 LENGTH, GRAM = 200, 32
 #: Contents with the same first digit that one task may hold (some 300 bytes each).
@@ -250,8 +251,8 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id_type = own.schema["id"].dataType.simpleString()
 
     # written first, so that the semi-join below reads two plain exchanges and a common digit's partition can be split
-    digits = materialise(own.select("text").mapInArrow(_digits(length, gram), "digit long, n long").groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "digits")
-    found = own.select("key", "text").mapInArrow(_runs(length, gram), "key long, start int, n int, digit long, content long")
+    digits = materialise(own.select("text").mapInArrow(frugal(_digits(length, gram)), "digit long, n long").groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "digits")
+    found = own.select("key", "text").mapInArrow(frugal(_runs(length, gram)), "key long, start int, n int, digit long, content long")
     alike = materialise(found.join(digits, "digit", "left_semi"), "runs")
 
     contents = materialise(alike.groupBy("digit", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("one")), "contents")
@@ -259,16 +260,16 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = contents.groupBy("digit").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 AND fewest = 1").select("digit", (F.col("kinds") > MANY).alias("many"))
     apart = contents.join(mixed, "digit").select("one.key", F.struct("digit", "one.start", "one.n", (F.col("copies") == 1).alias("open"), "many").alias("run"))
     by_text = apart.groupBy("key").agg(F.collect_list("run").alias("runs"))
-    packed = own.select("id", "key", "text").mapInArrow(_packed, f"id {id_type}, key long, size long, packed binary")
+    packed = own.select("id", "key", "text").mapInArrow(frugal(_packed), f"id {id_type}, key long, size long, packed binary")
     # the same text may lie in several rows with the same key; one of them will do
     texts = packed.select("key", "size", "packed").join(by_text, "key").dropDuplicates(["key"]).select("key", "size", "packed", "runs")
-    bodies = materialise(texts.mapInArrow(_bodies(length), "digit long, key long, start int, n int, open boolean, many boolean, body binary"), "bodies")
-    few = bodies.where("NOT many").repartition("digit").sortWithinPartitions("digit").mapInArrow(_together(length), "key long, start int, n int")
-    windows = bodies.where("many").mapInArrow(_apart(length), "key long, start int, open boolean, window long")
+    bodies = materialise(texts.mapInArrow(frugal(_bodies(length)), "digit long, key long, start int, n int, open boolean, many boolean, body binary"), "bodies")
+    few = bodies.where("NOT many").repartition("digit").sortWithinPartitions("digit").mapInArrow(frugal(_together(length)), "key long, start int, n int")
+    windows = bodies.where("many").mapInArrow(frugal(_apart(length)), "key long, start int, open boolean, window long")
     again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     edges = few.union(windows.where("open").join(again, "window", "left_semi").select("key", "start", F.lit(1).alias("n")))
 
     gone = whole.union(edges).groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
     run, schema = _cut(length, id_type)
-    out = packed.join(gone, "key", "left").select("id", "size", "packed", "starts", "counts").mapInArrow(run, schema)
+    out = packed.join(gone, "key", "left").select("id", "size", "packed", "starts", "counts").mapInArrow(frugal(run), schema)
     return out.withColumnRenamed("id", id_col)

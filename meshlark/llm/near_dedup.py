@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from meshlark.llm import _text
 from meshlark.llm._store import materialise
+from meshlark.llm._worker import frugal
 from meshlark.llm.components import components
 
 SLOTS, BANDS, ROWS = 128, 25, 5
@@ -49,9 +50,7 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of the rows, sorted within each row, and n + 1 row edges."""
     n = len(offsets) - 1
-    low = _text.lower(data)
-    start, end, row = _text.blank_words(low, offsets)
-    words = _text.span_hash(_text.prefix_hash(low), start, end)
+    words, row = _text.word_hashes(data, offsets, _text.NOT_BLANK)
     size = np.bincount(row, minlength=n)
     m = len(words) - WIDTH + 1
     if m > 0:
@@ -202,7 +201,7 @@ def near_duplicates(docs: DataFrame, *, similarity: int = 85, id_col: str = "doc
     """Per document: id, n_shingles, component_id (smallest id reachable over links of ``similarity`` per cent), kept."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    sketched = materialise(own.mapInArrow(_sketch, f"id {kind}, n long, p1 long, p2 long, bands array<long>"), "sketches")
+    sketched = materialise(own.mapInArrow(frugal(_sketch), f"id {kind}, n long, p1 long, p2 long, bands array<long>"), "sketches")
     sets = sketched.where("n > 0 AND id IS NOT NULL")
     classes = materialise(sets.groupBy("p1", "p2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
 
@@ -216,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, similarity: int = 85, id_col: str = "doc
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
     keyed = dealt.select("id", "component", "block", F.explode(others).alias("other")).select("id", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
     placed = own.join(keyed, "id").select("key", "id", "text").distinct()
-    links = materialise(placed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda batches: _confirm(batches, similarity), f"a {kind}, b {kind}"), "links")
+    links = materialise(placed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(frugal(lambda batches: _confirm(batches, similarity)), f"a {kind}, b {kind}"), "links")
     component = components(links)
     of = classes.select("p1", "p2", "n", "rep")
     of = of.join(component, of["rep"] == component["id"], "left").select("p1", "p2", "n", F.coalesce("component", "rep").alias("component"))

@@ -18,7 +18,8 @@ Encoding makes use of the tokenizer's pre-tokenizer splitting text into pieces t
 are encoded independently: pieces are found for a whole column at once from character
 classes that are asked of the pre-tokenizer itself, and only pieces not yet seen by a
 worker go through the tokenizer.  Texts with other characters, or with the content of
-an added token, and tokenizers of another kind are encoded directly.
+an added token, and tokenizers of another kind are encoded directly.  A very long text is
+cut before spaces between two letters, where every piece ends, and encoded part by part.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows with
 the same id are ordered by text; other columns are ignored; an empty table gives no rows.
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 
 from meshlark.llm import _text
 from meshlark.llm._store import materialise
+from meshlark.llm._worker import frugal
 
 #: Ids in a word and bits of each, by selector (fixed values of Simple-8b).
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -46,13 +48,23 @@ BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK = 1024
 #: A row of a file is closed once it has this many ids (it then ends with a whole document).
 ROW_IDS = 1 << 18
-#: Pieces that a worker remembers; beyond it the memory is emptied.
-MEMORY = 3_000_000
+#: Pieces that a worker remembers (some 40 bytes each); beyond it the memory is emptied.
+MEMORY = 500_000
+#: Bytes of text that are encoded together, and ids that are packed or unpacked together.
+PART, PACKED = 1 << 19, 256 * BLOCK
 
 
 def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words, and the word offset of each block of BLOCK ids (with the end)."""
-    ids = np.asarray(ids, dtype=np.uint64)
+    made, ends = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for lo in range(0, len(ids), PACKED):  # blocks stand for themselves, so their runs do
+        words, offsets = _encode_words(np.asarray(ids[lo : lo + PACKED], dtype=np.uint64))
+        made.append(words)
+        ends.append(offsets[1:] + ends[-1][-1])
+    return np.concatenate(made), np.concatenate(ends)
+
+
+def _encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     blocks = -(-n // BLOCK)
     end = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
@@ -116,6 +128,11 @@ def decode_words(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def _between_letters(data: np.ndarray) -> np.ndarray:
+    small = (data >= 97) & (data <= 122)
+    return np.flatnonzero((data[1:-1] == 32) & small[:-2] & small[2:]) + 1 if len(data) > 2 else np.empty(0, np.int64)
+
+
 class Pieces:
     """A tokenizer with the ids of the pieces met so far."""
 
@@ -149,6 +166,27 @@ class Pieces:
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def encode_long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one row, part by part."""
+        made, lo = [np.empty(0, np.uint32)], 0
+        while lo < len(data):
+            hi = self._cut(data, lo + PART) if self.split else len(data)
+            made.append(self.encode(data[lo:hi], np.array([0, hi - lo]))[0])
+            lo = hi
+        ids = np.concatenate(made)
+        return ids, np.array([len(ids)])
+
+    def _cut(self, data: np.ndarray, at: int) -> int:
+        """The first place from ``at`` on where a space between two small letters stands, or the end; no added token may hold such a space."""
+        if any(_between_letters(np.frombuffer(x, np.uint8)).size for x in self.added):
+            return len(data)
+        while at < len(data):
+            found = _between_letters(data[at - 1 : at + (1 << 16)])
+            if len(found):
+                return at - 1 + int(found[0])
+            at += (1 << 16) - 1
+        return len(data)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows together, and the ids in each row."""
         n = len(offsets) - 1
@@ -270,8 +308,9 @@ def write(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
             at_id, at_text = batch.schema.get_field_index(id_col), batch.schema.get_field_index(text_col)
             kind, names = batch.schema.field(at_id).type, batch.column(at_id)
             data, offsets = _text.text_buffer(batch.column(at_text))
-            for a, b in _text.chunks(offsets, 1 << 19):
-                ids, sizes = coder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b in _text.chunks(offsets, PART):
+                own = data[offsets[a] : offsets[b]]
+                ids, sizes = coder.encode_long(own) if len(own) > 2 * PART else coder.encode(own, offsets[a : b + 1] - offsets[a])
                 held_ids.append(np.insert(ids, np.cumsum(sizes), end_id).astype(np.uint32))
                 held_docs += names.slice(a, b - a).to_pylist()
                 held_lengths += (sizes + 1).tolist()
@@ -282,7 +321,7 @@ def write(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
         if held_docs:
             yield packed()
 
-    return materialise(own.mapInArrow(run, _FILE.format(id=id_type)), "tokens")
+    return materialise(own.mapInArrow(frugal(run), _FILE.format(id=id_type)), "tokens")
 
 
 def read(files: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -300,8 +339,10 @@ def read(files: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                ids = decode_words(np.frombuffer(col["words"][i].as_py(), dtype="<u8")).astype("<u4")
-                lengths = np.array(col["doc_lengths"][i].as_py(), dtype=np.int64)
+                words, blocks = np.frombuffer(col["words"][i].as_buffer(), dtype="<u8"), col["offsets"][i].values.to_numpy()
+                cuts = [*blocks[:-1:PACKED // BLOCK].tolist(), len(words)]
+                ids = np.concatenate([decode_words(words[a:b]).astype("<u4") for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                lengths = col["doc_lengths"][i].values.to_numpy()
                 edge = np.concatenate(([0], np.cumsum(lengths)))
                 if edge[-1] != len(ids) or len(ids) != col["n_ids"][i].as_py():
                     raise ValueError(f"shard {col['shard'][i]}, row {col['row'][i]}: {len(ids)} ids, {edge[-1]} expected")
@@ -310,4 +351,4 @@ def read(files: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
                 start = sent.value[col["shard"][i].as_py()] + col["first"][i].as_py() + edge[:-1]
                 yield pa.RecordBatch.from_arrays([col["doc_ids"][i].values, pa.array(start), pa.array(lengths), pa.array(sums, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(run, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(frugal(run), f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from meshlark.llm import _text
 from meshlark.llm._store import materialise, release
+from meshlark.llm._worker import frugal
 
 MAX_EXAMPLES = 8192
 VOCABULARY = 256
@@ -52,9 +53,7 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word (letters, digits, non-ASCII; A-Z lower-cased)."""
-    low = _text.lower(data)
-    start, end, row = _text.word_spans(_WORD[low], offsets)
-    return _text.span_hash(_text.prefix_hash(low), start, end), row
+    return _text.word_hashes(data, offsets, _WORD)
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column | None = None, id_c
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(sample), "id").select("id", "label", "text")  # max_examples rows of two numbers
     kind = joined.schema["id"].dataType.simpleString()
-    found = joined.mapInArrow(_examples, f"id {kind}, label long, copy long, terms array<long>, counts array<long>")
+    found = joined.mapInArrow(frugal(_examples), f"id {kind}, label long, copy long, terms array<long>, counts array<long>")
     thin = materialise(found.groupBy("copy", "label").agg(F.min_by(F.struct("id", "terms", "counts"), F.struct("id", "terms")).alias("x")).select("label", "x.*"), "toxic-examples")
     chosen = np.sort(np.array(_standing_out(thin, vocabulary), dtype=np.int64).view(np.uint64))
     base = thin.agg(F.avg("label")).first()[0] or 0.0
     if not len(chosen):
         release(thin)
         return Model(chosen, np.empty(0), [], np.empty(0), [], base)
-    counted = dict(texts.select("text").mapInArrow(_counted(chosen), "term long, n long").groupBy("term").agg(F.sum("n")).collect())
+    counted = dict(texts.select("text").mapInArrow(frugal(_counted(chosen)), "term long, n long").groupBy("term").agg(F.sum("n")).collect())
     idf = np.log((1 + counted.get(-1, 0)) / (1 + np.array([counted.get(i, 0) for i in range(len(chosen))]))) + 1
     known = F.array(*[F.lit(int(x)) for x in chosen.view(np.int64)])
     kept = F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(known, x["terms"]))
@@ -237,4 +236,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*cols, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(evidence, kind)], names=[*names, "score", "predicted", "evidence"])
 
     fields = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in names)
-    return own.mapInArrow(run, f"{fields}, score double, predicted int, evidence array<struct<id:{id_type},similarity:double,label:int>>")
+    return own.mapInArrow(frugal(run), f"{fields}, score double, predicted int, evidence array<struct<id:{id_type},similarity:double,label:int>>")
