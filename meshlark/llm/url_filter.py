@@ -7,7 +7,8 @@ sign of the summed bucket weights.  Weights are whole numbers (logistic weights
 times 1024, rounded), so that sums are exact in any order and in any engine.
 
 ``train`` fits the weights on a small labelled URL table (at most ``MAX_LABELLED``
-rows, checked): full-batch gradient descent with L2 on the driver.
+rows, checked) on the driver, with L2.  The default table is made by rule from two word
+lists (``labelled``), and its site names are none of the judged tables'.
 
 Rules are rows (verdict, host, path).  A rule fits its host and all subdomains if
 the path starts with the rule's path; the longest rule (host and path together)
@@ -24,9 +25,9 @@ URLs are judged whole; repeated rows are judged each; other input columns are ig
 from __future__ import annotations
 
 import functools
-import math
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +35,35 @@ MAX_LABELLED = 20_000
 INLINE_RULES = 256
 BROADCAST_RULES = 100_000
 SALTS = 16
-BUCKETS = 512
+BUCKETS = 8191
 SCALE = 1024
 
-#: Site names that the labelled URL table is made of; the first list is to be blocked.  None is a site of the tables.
-BLOCKED_NAMES = "online-casino poker-bets pills-shop xxx-cams slots-bonus click-track popup-ads win-money fast-loans hot-singles crypto-double replica-watches warez-crack lotto-prize escort-girls diet-miracle spyware-toolbar phishing-login".split()
-ALLOWED_NAMES = "library gardening news docs university museum recipes weather wiki history science maps school theatre harbour nation foundation education brother together lantern northern bakery railway poetry".split()
-_SHAPES = ["http://{}.example.com/en/4033.html", "https://m.{}.example.net/de/17#top", "https://www.{}.example.org/fr/1291/", "http://blog.{}.example.net/en/52?utm_source=feed", "https://{}.example.org/de/8423?page=2&ref=x"]
-#: Labelled URLs that the default model is trained from: 1 is to be blocked.
-LABELLED = [(shape.format(name), label) for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)) for name in names for shape in _SHAPES]
+#: Words that site names of the labelled table are made of (the author's own choice; no site name of any table).
+TELLING = "poker roulette jackpot slots lotto prize bingo wager gamble loans payday credit cash crypto forex pharmacy viagra diet slim xxx porn nude escort singles dating cams hot girls warez crack keygen torrent serial replica rolex outlet coupon deals click popup banner spyware phish malware virus hack bonus rich".split()
+PLAIN = "library garden news docs university museum recipes weather wiki history science maps school theatre harbour nation foundation education brother lantern northern bakery railway poetry research journal market council health music sports travel photo forum support learn code software kernel data cloud academy hospital energy climate biology physics law review daily times post report city town island river mountain forest coffee kitchen design studio books press radio games chess cycling running yoga family kids baby pet bird flower paper stack overflow hub encyclopedia archive commons source project open linux python".split()
+#: Well-known sites, all to be allowed.
+KNOWN = "wikipedia github arxiv stackoverflow nytimes bbc reuters mozilla debian apache nature pubmed loc archive python kernel".split()
+_SYLLABLES = "ba ke lo mi nu ra se ti vo wa che dri fla gre plo sta tri whe hor lan mer son cha".split()
+_ENDINGS = ("", "tion", "ing", "er", "ly", "ness", "ment", "ful")
+_SHAPES = ("http://{}.com/en/4033.html", "https://m.{}.net/de/17#top", "https://www.{}.org/fr/1291/", "http://blog.{}.example.net/en/52?utm_source=feed", "https://{}.co.uk/2021/05/a-page?page=2&ref=x", "https://en.{}.org/wiki/Page", "http://{}.example.com/de/8423")
+
+
+def names(turn: int) -> tuple[list[str], list[str]]:
+    """Site names to be blocked and to be allowed; another ``turn`` gives other names of the same words (0 is trained on)."""
+    n, m = len(TELLING), len(PLAIN)
+    blocked = [f"{TELLING[i]}-{TELLING[(i + 5 + turn) % n]}" for i in range(n)] + [f"{PLAIN[(3 * i + turn) % m]}{TELLING[i]}" for i in range(n)] + [f"{TELLING[i]}-{PLAIN[(5 * i + 11 + turn) % m]}" for i in range(n)]
+    allowed = [f"{PLAIN[i]}-{PLAIN[(i + 7 + turn) % m]}" for i in range(m)] + [f"{PLAIN[i]}{PLAIN[(2 * i + 1 + turn) % m]}" for i in range(m)]
+    made = lambda i: "".join(_SYLLABLES[(i * k + k + turn) % len(_SYLLABLES)] for k in (1, 3, 7)[: 2 + i % 2])
+    allowed += [made(i) + _ENDINGS[(i + turn) % len(_ENDINGS)] for i in range(360)]
+    if turn == 0:
+        blocked, allowed = blocked + TELLING, allowed + PLAIN + KNOWN
+    return list(dict.fromkeys(blocked)), list(dict.fromkeys(allowed))
+
+
+def labelled(turn: int = 0) -> list[tuple[str | None, int]]:
+    """The labelled URL table: 1 is to be blocked.  Each name has one URL, and there is one URL without host and path."""
+    both = [(name, label) for label, found in zip((1, 0), names(turn), strict=True) for name in found]
+    return [(None, 0)] + [(_SHAPES[i % len(_SHAPES)].format(name), label) for i, (name, label) in enumerate(both)]
 
 
 #: (verdict, host, path)
@@ -80,23 +101,20 @@ def ngrams(host: str, path: str, buckets: int = BUCKETS) -> list[int]:
     return out
 
 
-def train(labelled: list[tuple[str | None, int]] | None = None, *, buckets: int = BUCKETS, steps: int = 200, rate: float = 0.5, l2: float = 1e-3) -> tuple[list[int], int]:
-    """Bucket weights and bias, as whole numbers (times SCALE)."""
-    labelled = LABELLED if labelled is None else labelled
-    if len(labelled) > MAX_LABELLED:
-        raise ValueError(f"the labelled URL table has {len(labelled)} rows; the bound is {MAX_LABELLED}")
-    rows = [(ngrams(*split_url(u), buckets), y) for u, y in labelled]
-    weights, bias = [0.0] * buckets, 0.0
+def train(rows: list[tuple[str | None, int]] | None = None, *, buckets: int = BUCKETS, steps: int = 1500, rate: float = 0.5, l2: float = 2e-4) -> tuple[list[int], int]:
+    """Bucket weights and bias, as whole numbers (times SCALE), by full-batch gradient descent on the driver."""
+    rows = labelled() if rows is None else rows
+    if len(rows) > MAX_LABELLED:
+        raise ValueError(f"the labelled URL table has {len(rows)} rows; the bound is {MAX_LABELLED}")
+    found = [ngrams(*split_url(u), buckets) for u, _ in rows]
+    owner, gram = np.repeat(np.arange(len(rows)), [len(g) for g in found]), np.array([g for x in found for g in x], dtype=np.int64)
+    wanted, weights, bias = np.array([float(y) for _, y in rows]), np.zeros(buckets), 0.0
     for _ in range(steps if rows else 0):
-        slope, slope_b = [0.0] * buckets, 0.0
-        for grams, y in rows:
-            wrong = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(weights[g] for g in grams))))) - y
-            for g in grams:
-                slope[g] += wrong
-            slope_b += wrong
-        weights = [w - rate * (s / len(rows) + l2 * w) for w, s in zip(weights, slope, strict=True)]
-        bias -= rate * slope_b / len(rows)
-    return [round(w * SCALE) for w in weights], round(bias * SCALE)
+        odds = bias + np.bincount(owner, weights=weights[gram], minlength=len(rows))
+        wrong = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - wanted
+        weights = weights - rate * (np.bincount(gram, weights=wrong[owner], minlength=buckets) / len(rows) + l2 * weights)
+        bias -= rate * float(wrong.mean())
+    return [round(w * SCALE) for w in weights.tolist()], round(bias * SCALE)
 
 
 @functools.cache
@@ -106,7 +124,7 @@ def default_model() -> tuple[list[int], int]:
 
 def score(host: Column, path: Column, weights: list[int], bias: int) -> Column:
     """Summed weights of the n-grams, times SCALE; above 0 means block."""
-    table = F.array(*[F.lit(w) for w in weights])
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # folded into one constant
 
     def of(text: Column, seed: int) -> Column:
         points = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c))
