@@ -1,19 +1,23 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
-Texts are normalised to words (A-Z lower-cased; a word is a run of letters,
-digits and non-ASCII characters) joined by single spaces.  Every window of
-``window`` consecutive item words becomes a key of one automaton, set between
-spaces so that only whole words match; each text is scanned once, and the end
-of a match is mapped back to word numbers and to byte offsets of the original.
-
-The automaton is built once in each Python worker from the benchmark's texts,
-which are broadcast only after their size has been checked; a benchmark beyond
-``max_automaton_mb`` is cut into several automata that scan one after another,
-so memory stays bounded and no item is left out.  Nothing is shuffled.
-
-Defined cases: a null or wordless text has no words and is clean; a null or
-wordless item has no windows; items with the same window all count; repeated
-rows are judged each; other columns of the input are ignored.
+Texts are normalised to words (A-Z lower-cased; a word is a run of letters, digits and
+non-ASCII characters).  Every distinct word of the benchmark gets a letter of its own,
+so that a text becomes a line with one letter for each word, other words being blank.
+Every window of ``window`` consecutive item words is a key of one automaton over these
+letters; each line is scanned once, and the places of a match are word numbers, which
+are mapped back to byte offsets of the original.
+
+The automaton is bounded in windows (``max_windows``, about 1 kB each at ten words): a
+larger benchmark gives several, which scan a group of batches one after another, so a
+worker holds one of them at a time.  Items are broadcast only up to ``max_broadcast_mb``;
+what is beyond that takes further passes over the documents, each with the finds of
+those before.  No item is left out and nothing is shuffled.
+
+Defined cases: a null or wordless text has no words and is clean; a null or wordless
+item has no windows; items with the same window all count; rows that share an item_id
+are one item; repeated documents are judged each; very long texts are read in stretches;
+other columns of the input are ignored, whatever their names; an empty table of
+documents gives no rows, an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -24,63 +28,102 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlark.llm import _text
+from meshlark.llm._store import materialise
 from meshlark.llm._worker import frugal
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_automata: dict[str, object] = {}
+_STRETCH = 1 << 20
+#: Windows of one automaton, and megabytes of benchmark text that are broadcast at once.
+MAX_WINDOWS, MAX_BROADCAST_MB = 150_000, 64
+#: Bytes of text that meet all automata in turn before more is read.
+GROUP = 32 << 20
+#: An automaton of no more windows stays with the worker for its next task.
+_SMALL = 20_000
+_automata: dict[str, tuple] = {}
+
+Shard = list[tuple[str, list[bytes]]]
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
-def windows_of(words: list[bytes], window: int) -> Iterator[bytes]:
-    if words:
-        for i in range(max(1, len(words) - window + 1)):
-            yield b" ".join(words[i : i + window])
-
-
-def build(items: list[tuple[str, bytes]], window: int):
-    """Automaton over all windows; a key's value is (its words, the numbers of its items)."""
+def shards_of(items: Iterator[tuple[str, bytes]], window: int, max_windows: int) -> Iterator[Shard]:
+    """Items as words, in parts of at most ``max_windows`` windows; a longer item is cut with an overlap."""
+    shard, filled = [], 0
+    for name, text in items:
+        words, at = words_of(text), 0
+        while at == 0 or at < len(words) - window + 1:
+            if not words:
+                break
+            if filled >= max_windows:
+                yield shard
+                shard, filled = [], 0
+            piece = words[at : at + max_windows - filled + window - 1]
+            shard.append((name, piece))
+            took = max(1, len(piece) - window + 1)
+            filled, at = filled + took, at + took
+    if shard:
+        yield shard
+
+
+def build(shard: Shard, window: int) -> tuple:
+    """The automaton of a part, the letters of its words and its number of windows; a key's value is (its words, the numbers of its items)."""
     import ahocorasick
 
-    found: dict[bytes, set[int]] = defaultdict(set)
-    for i, (_, text) in enumerate(items):
-        for key in windows_of(words_of(text), window):
-            found[key].add(i)
+    letters: dict[bytes, str] = {}
+    found: dict[str, set[int]] = defaultdict(set)
+    for i, (_, words) in enumerate(shard):
+        for w in words:
+            if w not in letters:
+                n = len(letters) + 1
+                letters[w] = chr(n if n < 0xD800 else n + 0x800)
+        line = "".join([letters[w] for w in words])
+        for at in range(max(1, len(line) - window + 1)):
+            found[line[at : at + window]].add(i)
     made = ahocorasick.Automaton()
     for key, ids in found.items():
-        made.add_word(f" {key.decode('latin-1')} ", (key.count(b" ") + 1, tuple(ids)))
-    if found:
-        made.make_automaton()
-    return made if found else None
+        made.add_word(key, (len(key), tuple(ids)))
+    made.make_automaton()
+    return made, letters, len(found)
 
 
-def automaton_of(key: str, items: list[tuple[str, bytes]], window: int):
-    """The automaton of this worker process for a shard; only one is held at a time."""
+def automaton_of(key: str, shard: Shard, window: int) -> tuple:
+    """The automaton of this worker process for a part; only one is held at a time."""
     if key not in _automata:
         _automata.clear()
-        _automata[key] = build(items, window)
+        _automata[key] = build(shard, window)
     return _automata[key]
 
 
-def scan(text: bytes, automaton, covered: list[tuple[int, int]], items: set[int]) -> int:
-    """Add the word ranges and items that occur in text; return its number of words."""
-    words = words_of(text)
-    if words and automaton is not None:
-        line = f" {b' '.join(words).decode('latin-1')} "
-        starts = None
-        for end, (size, ids) in automaton.iter(line):
-            if starts is None:  # number of the word that begins at an offset
-                lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-                starts = np.cumsum(lengths + 1)
-            last = int(np.searchsorted(starts, end))
-            covered.append((last - size + 1, last + 1))
-            items.update(ids)
-    return len(words)
+def line_of(text: bytes, letters: dict[bytes, str]) -> str:
+    """One letter for each word of the text."""
+    plain, parts, lo = text.translate(_TO_WORDS), [], 0
+    while lo < len(plain):
+        hi = plain.find(b" ", lo + _STRETCH)
+        hi = len(plain) if hi < 0 else hi
+        parts.append("".join([letters.get(w, "\0") for w in plain[lo:hi].split()]))
+        lo = hi
+    return "".join(parts)
+
+
+def scan(text: bytes, made: tuple, covered: list[tuple[int, int]], items: set[int]) -> int:
+    """Add the ranges of hit words (merged) and the items that occur; return the number of words."""
+    automaton, letters, _ = made
+    line = line_of(text, letters)
+    found: list[tuple[int, int]] = []
+    for end, (size, ids) in automaton.iter(line):
+        lo = end - size + 1
+        while found and found[-1][1] >= lo:
+            lo = min(lo, found.pop()[0])
+        found.append((lo, end + 1))
+        items.update(ids)
+    covered += found
+    return len(line)
 
 
 def word_offsets(text: bytes) -> np.ndarray:
@@ -100,66 +143,96 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _passes(shards: Iterator[Shard], most: int) -> Iterator[list[Shard]]:
+    held, size = [], 0
+    for shard in shards:
+        weight = sum(len(w) for _, words in shard for w in words)
+        if held and size + weight > most:
+            yield held
+            held, size = [], 0
+        held.append(shard)
+        size += weight
+    yield held
+
+
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_automaton_mb: int = 32, keep: list[str] | None = None
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_windows: int = MAX_WINDOWS, max_broadcast_mb: float = MAX_BROADCAST_MB, keep: list[str] | None = None
 ) -> DataFrame:
     """One row for each document: id (and the columns ``keep``), n_words, n_hit, n_items, items (sorted as strings), items_sha256, contaminated, and hits: word ranges with byte offsets in the original."""
-    spark = docs.sparkSession
-    own = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
-    shards: list[list[tuple[str, bytes]]] = [[]]
-    filled = 0
-    for row in own.toLocalIterator():  # a shard at a time is bounded; the benchmark's texts themselves are the model
-        text = row["text"].encode()
-        if filled and filled + len(text) > max_automaton_mb << 20:
-            shards.append([])
-            filled = 0
-        shards[-1].append((row["item"] or "", text))
-        filled += len(text)
-    sent = [(hashlib.sha256(repr((window, s)).encode()).hexdigest(), spark.sparkContext.broadcast(s)) for s in shards]
-    keep = keep or []
-    base = docs.select(id_col, text_col, *[c for c in keep if c not in (id_col, text_col)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = list(dict.fromkeys([id_col, *(keep or [])]))
+    own = [f"c{i}" for i in range(len(names))]
+    state = docs.select(*[docs[n].alias(c) for n, c in zip(names, own, strict=True)], docs[text_col].alias("words_of"))
+    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
+    items = ((r["item"], r["text"].encode()) for r in rows.toLocalIterator())
+    passes = _passes(shards_of(items, window, max_windows), int(max_broadcast_mb * (1 << 20)))
+    shards = next(passes)
+    while (further := next(passes, None)) is not None:
+        state = materialise(_scanned(state, own, shards, window, last=False), "benchmark")
+        shards = further
+    state = _scanned(state, own, shards, window, last=True)
+    return state.toDF(*names, *state.columns[len(own) :])
+
+
+def _scanned(state: DataFrame, own: list[str], shards: list[Shard], window: int, last: bool) -> DataFrame:
+    """Documents with the finds of these parts added to those of earlier passes."""
+    sent = [(hashlib.sha256(repr((window, s)).encode()).hexdigest(), state.sparkSession.sparkContext.broadcast(s)) for s in shards]
+    again = "found" in state.columns
+
+    def judged(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = []
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            n = len(texts)
-            covered: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-            items: list[set[str]] = [set() for _ in range(n)]
-            counts = np.zeros(n, dtype=np.int64)
-            for key, value in sent:
-                automaton, names = automaton_of(key, value.value, window), value.value
-                for i in range(n):
-                    text = texts[i].as_py()
-                    if text:
+            n, at = batch.num_rows, batch.schema.get_field_index("found")
+            data, offsets = _text.text_buffer(batch.column(batch.schema.get_field_index("words_of")))
+            ranges = [[(x["word_start"], x["word_end"]) for x in r] for r in batch.column(at).to_pylist()] if again else [[] for _ in range(n)]
+            items = [set(x) for x in batch.column(batch.schema.get_field_index("items")).to_pylist()] if again else [set() for _ in range(n)]
+            sets.append((batch, data, offsets, ranges, items, np.zeros(n, dtype=np.int64)))
+        for key, value in sent:
+            shard = value.value
+            made = automaton_of(key, shard, window)
+            for _, data, offsets, ranges, items, counts in sets:
+                for i in range(len(counts)):
+                    if offsets[i + 1] > offsets[i]:
                         ids: set[int] = set()
-                        counts[i] = scan(text.encode(), automaton, covered[i], ids)
-                        items[i].update(names[j][0] for j in ids)
-            hits, n_hit = [], np.zeros(n, dtype=np.int64)
-            for i in range(n):
-                ranges = merged(covered[i])
-                where = word_offsets(texts[i].as_py().encode()) if ranges else None
-                hits.append([{"word_start": a, "word_end": b, "byte_start": int(where[a][0]), "byte_end": int(where[b - 1][1])} for a, b in ranges])
-                n_hit[i] = sum(b - a for a, b in ranges)
+                        counts[i] = scan(data[offsets[i] : offsets[i + 1]].tobytes(), made, ranges[i], ids)
+                        items[i].update(shard[j][0] for j in ids)
+        for batch, data, offsets, ranges, items, counts in sets:
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in own]
+            found = [merged(r) for r in ranges]
+            if not sent:
+                counts = np.array([len(line_of(data[a:b].tobytes(), {})) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.int64)
             named = [sorted(x) for x in items]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(batch.schema.get_field_index(c)) for c in kept_names],
-                    pa.array(counts),
-                    pa.array(n_hit),
-                    pa.array([len(x) for x in named], pa.int64()),
-                    pa.array(named, pa.list_(pa.string())),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]),
-                    pa.array(n_hit > 0),
-                    pa.array(hits, pa.list_(pa.struct([(c, pa.int64()) for c in ("word_start", "word_end", "byte_start", "byte_end")]))),
-                ],
-                names=[*kept_names, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "hits"],
-            )
-
-    kept_names = list(dict.fromkeys([id_col, *keep]))
-    fields = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in kept_names)
-    return base.mapInArrow(frugal(run), f"{fields}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, hits array<struct<word_start:long,word_end:long,byte_start:long,byte_end:long>>")
-
-
-def hit(row: Column | str = "contaminated") -> Column:
-    """Condition for documents to drop."""
-    return F.col(row) if isinstance(row, str) else row
+            if last:
+                n_hit, hits = np.zeros(len(found), dtype=np.int64), []
+                for i, r in enumerate(found):
+                    where = word_offsets(data[offsets[i] : offsets[i + 1]].tobytes()) if r else None
+                    hits.append([{"word_start": a, "word_end": b, "byte_start": int(where[a][0]), "byte_end": int(where[b - 1][1])} for a, b in r])
+                    n_hit[i] = sum(b - a for a, b in r)
+                made_of = {
+                    "n_words": pa.array(counts), "n_hit": pa.array(n_hit), "n_items": pa.array([len(x) for x in named], pa.int64()), "items": pa.array(named, pa.list_(pa.string())),
+                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], pa.string()), "contaminated": pa.array(n_hit > 0),
+                    "hits": pa.array(hits, pa.list_(pa.struct([(c, pa.int64()) for c in ("word_start", "word_end", "byte_start", "byte_end")]))),
+                }
+            else:
+                pairs = [[{"word_start": a, "word_end": b} for a, b in r] for r in found]
+                made_of = {"words_of": batch.column(batch.schema.get_field_index("words_of")), "found": pa.array(pairs, pa.list_(pa.struct([("word_start", pa.int64()), ("word_end", pa.int64())]))), "items": pa.array(named, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([*columns, *made_of.values()], names=[*own, *made_of])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if len(sent) <= 1 or size >= GROUP:
+                yield from judged(held)
+                held, size = [], 0
+        if held:
+            yield from judged(held)
+        if any(x[2] > _SMALL for x in _automata.values()):
+            _automata.clear()
+
+    fields = ", ".join(f"{c} {state.schema[c].dataType.simpleString()}" for c in own)
+    if last:
+        fields += ", n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, hits array<struct<word_start:long,word_end:long,byte_start:long,byte_end:long>>"
+    else:
+        fields += f", words_of {state.schema['words_of'].dataType.simpleString()}, found array<struct<word_start:long,word_end:long>>, items array<string>"
+    return state.mapInArrow(frugal(run), fields)
