@@ -1,31 +1,32 @@
 """Toxicity by nearest labelled examples.
 
-Texts become TF-IDF vectors over a vocabulary of terms that stand out in toxic
-examples; the nearest ``k`` examples by exact cosine vote with their similarity as
-weight, shrunk towards the rate among examples that show none of the terms.  The
-score is therefore a calibrated share of toxic neighbours, and the neighbours are
-the evidence.
-
-Exact search uses a block-max inverted index: postings by term, examples in blocks,
-and each term's largest weight in each block.  Blocks are visited by falling upper
-bound and the search ends when no bound can reach the k-th best cosine, so nothing
-that belongs to the k nearest is left out.
-
-The example index is fitted on at most ``max_examples`` labelled rows (a documented
-bound; rows by hash of their id) and broadcast; near copies among examples cast one
-vote (the same smallest five-word shingle hash and label).  Document frequencies are
-counted over all documents.  Scoring is one pass over whole texts without a shuffle.
-
-Defined cases: a null or empty text, and one without any vocabulary term, gets the
-rate among examples without terms; null labels are left out; of several labels of a
-document the highest counts; without labelled rows every score is 0; repeated rows
-are scored each; other columns are ignored.  Ties between neighbours go to the
-earlier example.
+Texts become unit vectors over all terms of the labelled examples.  A term's weight is
+its TF-IDF, (1 + log count) * idf, times its relevance, FLOOR + log(1 + evidence): the
+log-likelihood ratio, beyond ``LEAST_LLR``, by which toxic examples hold it more often
+than the base rate says.  No term is left out; without evidence it weighs little.  The ``k``
+nearest examples by exact cosine vote with their similarity as weight, shrunk towards
+the base rate, so the score is a share of toxic neighbours, and they are the evidence.
+
+Exact search uses a block-max inverted index: postings by term, examples in blocks.
+Postings of a query's rarer terms are summed; terms that many examples hold only add
+their largest weight in a block to its bound.  Blocks are visited by falling bound, and
+those whose bound stays below the k-th best cosine are never read.
+
+The index is fitted on at most ``max_examples`` labelled rows (by hash of their id) with at
+most ``max_postings`` distinct terms in sum (both documented bounds; rows beyond are not
+learned from) and broadcast; near copies among examples cast one vote (the same smallest
+five-word shingle hash and label).  Document frequencies are counted over all documents.
+Scoring is one pass over whole texts without a shuffle.
+
+Defined cases: a null or empty text, and one without any term of an example, gets the
+base rate; null labels are left out; of several labels of a document the highest counts;
+without labelled rows every score is 0; repeated rows are scored each; other columns are
+ignored, whatever their names; an empty table gives no rows.  Ties between neighbours go
+to the earlier example.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -38,13 +39,16 @@ from meshlark.llm import _text
 from meshlark.llm._store import materialise, release
 from meshlark.llm._worker import frugal
 
-MAX_EXAMPLES = 8192
-VOCABULARY = 256
-NEIGHBOURS = 15
+MAX_EXAMPLES, MAX_POSTINGS = 4096, 2_000_000
+NEIGHBOURS = 25
 BLOCK = 64
-#: Least evidence (log-likelihood ratio against the base rate) for a term, and least support in examples.
-LEAST_LLR, LEAST_SUPPORT = 9.0, 3
-SHRINK = 0.2
+#: A term that at least this share of the examples holds is common: it is bounded by its block maxima.
+COMMON = 0.25
+#: Blocks that are read before the first comparison with the bounds.
+FIRST = 8
+#: Relevance of a term without evidence, and the log-likelihood ratio that is no evidence yet.
+FLOOR, LEAST_LLR = 0.05, 4.0
+SHRINK = 0.1
 THRESHOLD = 0.7
 
 _WORD = np.zeros(256, dtype=bool)
@@ -76,29 +80,17 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _standing_out(df: DataFrame, vocabulary: int) -> list[int]:
-    """Terms that toxic examples have far more often than the base rate says, best first."""
-    n = df.agg(F.sum("label").alias("n1"), F.count("*").alias("n")).first()
-    n1, every = n["n1"] or 0, n["n"]
-    if not n1 or n1 == every:
-        return []
-    rate = n1 / every
-    by = df.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
-    share = F.col("a") / F.col("n")
-    llr = F.col("a") * F.log(share / rate) + F.when(F.col("n") > F.col("a"), (F.col("n") - F.col("a")) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-    least = max(LEAST_SUPPORT, math.ceil(0.005 * n1))
-    good = by.where((F.col("a") >= least) & (share > rate)).select("term", llr.alias("llr")).where(F.col("llr") >= LEAST_LLR)
-    return [r["term"] for r in good.orderBy(F.desc("llr"), "term").limit(vocabulary).collect()]
-
-
 def _counted(vocabulary: np.ndarray):
+    """In how many rows each term occurs, in one part; term -1 counts the rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(vocabulary), dtype=np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for _, terms, _ in term_counts(batch.column(0), vocabulary):
                 df += np.bincount(terms, minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(vocabulary))], pa.int64()), pa.array([n, *df.tolist()], pa.int64())], names=["term", "n"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["term", "n"])
 
     return run
 
@@ -114,67 +106,88 @@ def term_counts(column: pa.Array, vocabulary: np.ndarray) -> Iterator[tuple[np.n
         yield a + key // len(vocabulary), key % len(vocabulary), n
 
 
+def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    end = np.cumsum(count)
+    return np.repeat(start - (end - count), count) + np.arange(end[-1] if len(end) else 0)
+
+
 class BlockMaxIndex:
-    """Unit vectors of the examples as postings by term, with each term's largest weight in each block."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK) -> None:
-        self.n, self.block = len(vectors), block
-        blocks = max(1, -(-self.n // block))
-        owner = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+    """Unit vectors of n examples as postings by term; common terms also with their largest weight in each block."""
+
+    def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int, block: int = BLOCK, common: float = COMMON) -> None:
+        self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
         order = np.lexsort((owner, term))
-        self.owner, self.weight = owner[order], weight[order]
-        cell = term[order] * blocks + self.owner // block
-        self.at = np.searchsorted(cell, np.arange(terms * blocks + 1)).reshape(-1)
-        self.blocks = blocks
-        self.most = np.zeros((terms, blocks))
-        np.maximum.at(self.most.reshape(-1), cell, self.weight)
+        owner, term, weight = owner[order], term[order], weight[order]
+        size = np.bincount(term, minlength=terms)
+        often = size >= max(1, math.ceil(common * n))
+        self.place = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)  # row of a common term, or -1
+        self.dense = np.zeros((int(often.sum()), self.blocks * block))
+        held = often[term] if len(term) else np.empty(0, bool)
+        self.dense[self.place[term[held]], owner[held]] = weight[held]
+        self.most = self.dense.reshape(len(self.dense), self.blocks, block).max(axis=2)
+        self.owner, self.weight = owner[~held].astype(np.int32), weight[~held]
+        self.at = np.concatenate(([0], np.cumsum(np.where(often, 0, size))))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above 0, nearest first."""
-        bound = weights @ self.most[terms]
+        row = self.place[terms]
+        rare = row < 0
+        count = self.at[terms[rare] + 1] - self.at[terms[rare]]
+        idx = _ragged(self.at[terms[rare]], count)
+        sums = np.bincount(self.owner[idx], weights=self.weight[idx] * np.repeat(weights[rare], count), minlength=self.blocks * self.block).reshape(self.blocks, self.block)
+        row, heavy = row[~rare], weights[~rare]
+        bound = sums.max(axis=1) + heavy @ self.most[row]
         order = np.argsort(-bound, kind="stable")
-        ids, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or (len(ids) == k and bound[b] * (1 + 1e-12) < least):
+        ids, cosines = np.empty(0, np.int64), np.empty(0)
+        for part in (order[:FIRST], order[FIRST:]):
+            least = cosines[-1] if len(ids) == k else 0.0
+            part = part[(bound[part] > 0) & (bound[part] * (1 + 1e-9) >= least)]
+            if not len(part):
                 break
-            dots = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.at[t * self.blocks + b], self.at[t * self.blocks + b + 1]
-                dots[self.owner[lo:hi] - b * self.block] += w * self.weight[lo:hi]
+            dots = sums[part]
+            if len(row):
+                dots = dots + (heavy @ self.dense[row].reshape(len(row), self.blocks, self.block)[:, part].reshape(len(row), -1)).reshape(len(part), self.block)
+            dots = np.round(dots.reshape(-1), 12)
+            where = (part[:, None] * self.block + np.arange(self.block)).reshape(-1)
             hit = np.flatnonzero(dots > 0)
-            ids, cosines = np.concatenate((ids, hit + b * self.block)), np.concatenate((cosines, dots[hit]))
-            best = np.lexsort((ids, -np.round(cosines, 12)))[:k]
+            ids, cosines = np.concatenate((ids, where[hit])), np.concatenate((cosines, dots[hit]))
+            if len(ids) > k:  # the k-th best and its ties
+                some = np.flatnonzero(cosines >= -np.partition(-cosines, k - 1)[k - 1])
+                ids, cosines = ids[some], cosines[some]
+            best = np.lexsort((ids, -cosines))[:k]
             ids, cosines = ids[best], cosines[best]
-            least = cosines[-1] if len(ids) == k else 0.0
         return ids, cosines
 
 
 class Model:
-    """Vocabulary, idf, example index and base rate; a few MB at most, whatever the corpus."""
-
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, ids: list, labels: np.ndarray, vectors: list, rate: float) -> None:
-        self.vocabulary, self.idf, self.ids, self.labels, self.rate = vocabulary, idf, ids, labels, rate
-        self.index = BlockMaxIndex(vectors, len(vocabulary))
-        self.key = hashlib.sha256(vocabulary.tobytes() + labels.tobytes() + idf.tobytes()).hexdigest()
+    """Terms, their weights, the example index and the base rate; bounded by max_examples and max_postings, whatever the corpus."""
 
-    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return unit((1 + np.log(counts)) * self.idf[terms])
+    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, ids: pa.Array, labels: np.ndarray, index: BlockMaxIndex, rate: float) -> None:
+        self.vocabulary, self.weight, self.ids, self.labels, self.index, self.rate = vocabulary, weight, ids, labels, index, rate
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        if not len(terms):
+        w = (1 + np.log(counts)) * self.weight[terms]
+        length = math.sqrt(float((w * w).sum()))
+        if not length:
             return self.rate, np.empty(0, np.int64), np.empty(0)
-        ids, cosines = self.index.nearest(terms, self.weigh(terms, counts), NEIGHBOURS)
+        ids, cosines = self.index.nearest(terms, w / length, NEIGHBOURS)
         votes = float((cosines * self.labels[ids]).sum())
         return (votes + SHRINK * self.rate) / (float(cosines.sum()) + SHRINK), ids, cosines
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / math.sqrt(float((x * x).sum()) or 1.0)
+def evidence_of(a: np.ndarray, n: np.ndarray, n1: float, every: int) -> np.ndarray:
+    """Log-likelihood ratio, against the base rate, of terms in n examples, a of them toxic; 0 where they aren't more often toxic."""
+    if not 0 < n1 < every:
+        return np.zeros(len(n))
+    rate, share = n1 / every, a / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.where(a > 0, a * np.log(share / rate), 0) + np.where(n > a, (n - a) * np.log((1 - share) / (1 - rate)), 0)
+    return np.where(share > rate, out, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, vocabulary: int = VOCABULARY) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, *, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_postings: int = MAX_POSTINGS
+) -> Model:
     """Fit on the labelled rows that satisfy ``train`` (a condition on the labels' columns)."""
     own = labels.where(train) if train is not None else labels
     own = own.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("long").alias("label"))
@@ -184,56 +197,70 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column | None = None, id_c
     kind = joined.schema["id"].dataType.simpleString()
     found = joined.mapInArrow(frugal(_examples), f"id {kind}, label long, copy long, terms array<long>, counts array<long>")
     thin = materialise(found.groupBy("copy", "label").agg(F.min_by(F.struct("id", "terms", "counts"), F.struct("id", "terms")).alias("x")).select("label", "x.*"), "toxic-examples")
-    chosen = np.sort(np.array(_standing_out(thin, vocabulary), dtype=np.int64).view(np.uint64))
-    base = thin.agg(F.avg("label")).first()[0] or 0.0
-    if not len(chosen):
-        release(thin)
-        return Model(chosen, np.empty(0), [], np.empty(0), [], base)
-    counted = dict(texts.select("text").mapInArrow(frugal(_counted(chosen)), "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    idf = np.log((1 + counted.get(-1, 0)) / (1 + np.array([counted.get(i, 0) for i in range(len(chosen))]))) + 1
-    known = F.array(*[F.lit(int(x)) for x in chosen.view(np.int64)])
-    kept = F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(known, x["terms"]))
-    rows = thin.select("id", "label", kept.alias("kept")).collect()  # at most max_examples rows of at most `vocabulary` terms
+    sizes = thin.select("id", F.size("terms").alias("n"), F.xxhash64("id").alias("turn")).orderBy("turn", "id").collect()  # at most max_examples rows
+    total, left_out = 0, []
+    for r in sizes:
+        total += r["n"]
+        if total > max_postings:
+            left_out.append(r["id"])
+    rows = (thin.where(~F.col("id").isin(left_out)) if left_out else thin).orderBy(F.xxhash64("id"), "id", "label").toArrow()  # at most max_postings terms
     release(thin)
-    place = {int(h): i for i, h in enumerate(chosen.view(np.int64))}
-    made, without = [], []
-    for r in rows:
-        terms = np.array([place[x["terms"]] for x in r["kept"]], dtype=np.int64)
-        order = np.argsort(terms)
-        if len(terms):
-            w = unit((1 + np.log(np.array([x["counts"] for x in r["kept"]], dtype=float)[order])) * idf[terms[order]])
-            made.append((int(terms[order][np.argmax(w)]), r["id"], r["label"], terms[order], w))
-        else:
-            without.append(r["label"])
-    made.sort(key=lambda x: x[:2])  # examples with the same leading term share blocks, which makes the bounds tight
-    rate = (sum(without) + base) / (len(without) + 1)
-    return Model(chosen, idf, [x[1] for x in made], np.array([x[2] for x in made], dtype=float), [(x[3], x[4]) for x in made], rate)
+    column = lambda name: pa.concat_arrays([*rows.column(name).chunks, pa.array([], rows.schema.field(name).type)])
+    ids, y, terms = column("id"), column("label").to_numpy().astype(float), column("terms")
+    owner = np.repeat(np.arange(len(y)), terms.value_lengths().to_numpy(zero_copy_only=False))
+    hashes, counts = terms.flatten().to_numpy(), column("counts").flatten().to_numpy()
+    vocabulary, term = np.unique(hashes.view(np.uint64), return_inverse=True)
+    term, rate = term.reshape(-1), float(y.mean()) if len(y) else 0.0
+    if not len(vocabulary):
+        return Model(vocabulary, np.empty(0), ids, y, BlockMaxIndex(term, term, np.empty(0), 0, 0), rate)
+    counted = texts.select("text").mapInArrow(frugal(_counted(vocabulary)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    at, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[at[at >= 0]] = n[at >= 0]
+    idf = np.log((1 + n[at < 0].sum()) / (1 + df)) + 0.01
+    evidence = evidence_of(np.bincount(term, weights=y[owner], minlength=len(vocabulary)), np.bincount(term, minlength=len(vocabulary)), y.sum(), len(y))
+    weight = np.maximum(0.0, idf) * (FLOOR + np.log1p(np.maximum(0.0, evidence - LEAST_LLR)))
+    w = (1 + np.log(counts)) * weight[term]
+    w /= np.sqrt(np.bincount(owner, weights=w * w, minlength=len(y)))[owner]
+    # examples with the same leading term share blocks, which makes the bounds tight
+    leading = np.zeros(len(y), dtype=np.int64)
+    order = np.lexsort((w, owner))
+    leading[owner[order]] = term[order]
+    place = np.argsort(leading, kind="stable")
+    turn = np.empty(len(y), dtype=np.int64)
+    turn[place] = np.arange(len(y))
+    return Model(vocabulary, weight, ids.take(pa.array(place)), y[place], BlockMaxIndex(turn[owner], term, w, len(y), len(vocabulary)), rate)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per document: id (and the columns ``keep``), score, predicted, evidence (nearest examples with similarity and label)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples times the vocabulary
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_postings
     names = list(dict.fromkeys([id_col, *(keep or [])]))
-    own = docs.select(*names, *([text_col] if text_col not in names else []))
-    id_type = own.schema[id_col].dataType.simpleString()
+    fresh = [f"c{i}" for i in range(len(names))]
+    own = docs.select(*[docs[n].alias(c) for n, c in zip(names, fresh, strict=True)], docs[text_col].alias("scored_text"))
+    id_type = own.schema["c0"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         for batch in batches:
             n = batch.num_rows
-            scores, evidence = np.full(n, m.rate), [[] for _ in range(n)]
+            scores, sizes = np.full(n, m.rate), np.zeros(n, dtype=np.int64)
+            near: list = [np.empty(0, np.int64)] * n
+            close: list = [np.empty(0)] * n
             memo: dict[bytes, tuple] = {}
-            for row, term, count in term_counts(batch.column(batch.schema.get_field_index(text_col)), m.vocabulary) if len(m.vocabulary) else ():
-                starts = np.flatnonzero(np.diff(row, prepend=-1))
+            for row, term, count in term_counts(batch.column(batch.schema.get_field_index("scored_text")), m.vocabulary) if len(m.vocabulary) else ():
+                starts = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else row
                 for lo, hi in zip(starts, [*starts[1:], len(row)][: len(starts)], strict=True):
                     key = term[lo:hi].tobytes() + count[lo:hi].tobytes()
                     if key not in memo:
-                        value, ids, cosines = m.score(term[lo:hi], count[lo:hi])
-                        memo[key] = value, [{"id": m.ids[i], "similarity": float(c), "label": int(m.labels[i])} for i, c in zip(ids, cosines, strict=True)]
-                    scores[row[lo]], evidence[row[lo]] = memo[key]
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            kind = pa.list_(pa.struct([("id", batch.schema.field(id_col).type), ("similarity", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(evidence, kind)], names=[*names, "score", "predicted", "evidence"])
-
-    fields = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in names)
-    return own.mapInArrow(frugal(run), f"{fields}, score double, predicted int, evidence array<struct<id:{id_type},similarity:double,label:int>>")
+                        memo[key] = m.score(term[lo:hi], count[lo:hi])
+                    i = row[lo]
+                    scores[i], near[i], close[i] = memo[key]
+                    sizes[i] = len(near[i])
+            at = np.concatenate([np.empty(0, np.int64), *near])
+            found = pa.StructArray.from_arrays([m.ids.take(pa.array(at)), pa.array(np.concatenate([np.empty(0), *close])), pa.array(m.labels[at].astype(np.int32))], names=["id", "similarity", "label"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), found)
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in fresh], pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), evidence], names=[*fresh, "score", "predicted", "evidence"])
+
+    fields = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in fresh)
+    return own.mapInArrow(frugal(run), f"{fields}, score double, predicted int, evidence array<struct<id:{id_type},similarity:double,label:int>>").toDF(*names, "score", "predicted", "evidence")
