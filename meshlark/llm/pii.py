@@ -6,21 +6,24 @@ running lengths of the pieces are the offsets (code points).  The patterns are w
 so that a search takes time in proportion to the text: a run of one class is entered at
 its start only (or where the last match ended), and loops are possessive.
 
-Information-theoretic sanitisation then asks which terms reveal an entity (a normalised
-address or number) that the base has found.  Counts are of distinct texts, and whole
-texts count, however far a term stands from the entity.  With p(t) the share of texts
+Information-theoretic sanitisation then asks which terms reveal a protected entity.  An
+entity is a value (a normalised address or number that the base has found, or a secret: a
+run of at least ``SECRET`` ASCII letters and digits with both among them, which carries
+more bits than any word) or a whole kind of values, so that values of a single text are
+protected too.  Counts are of distinct texts, and whole texts count, however far a term
+stands from the entity.  With p(t) the share of texts
 that hold a term, the disclosure of an entity e by a term t is
 
     PMI(t, e) / IC(e),  PMI = log2(p(t | e) / p(t)),  IC = log2(1 / p(e))
 
 Terms that reach ``GENERALISE`` become spans of kind ``term`` (to be generalised), those
 that reach ``REMOVE`` of kind ``drop`` (to be removed), at all their places in the texts
-that hold the entity.  Terms are words of any length; those inside an email address and
+that hold the entity.  Secrets are spans of the method, too.  Terms are words of any length; those inside an email address and
 those of ASCII digits alone are not terms.
 
 Support: e and t must share at least ``SUPPORT`` distinct texts, and t must be in at
-least the share ``COVER`` of e's texts.  An entity of a single text is left out: every
-rare word of that text would disclose it, and copies of one text prove nothing.
+least the share ``COVER`` of e's texts.  A value of a single text counts with its kind
+only: every rare word of that text would disclose it, and copies of one text prove nothing.
 
 Counts of terms cover all texts and are aggregated on the map side before they are
 shuffled; only texts with an entity of enough texts are read again, each once.
@@ -37,7 +40,9 @@ from pyspark.sql import functions as F
 
 from meshlark.llm._store import materialise
 
-KINDS = ("email", "ip", "card", "phone", "term", "drop")
+KINDS = ("email", "ip", "card", "phone", "secret", "term", "drop")
+#: Kinds of the base, which come first; characters of a secret.
+BASE, SECRET = 4, 32
 #: Distinct texts that an entity and a term must share; below two nothing occurs together repeatedly.
 SUPPORT = 2
 GENERALISE, REMOVE = 0.6, 0.9
@@ -50,6 +55,7 @@ PATTERNS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", ""),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
+    "secret": (rf"(?<![0-9A-Za-z])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[0-9A-Za-z]{{{SECRET},}}+", ""),
 }
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -87,11 +93,12 @@ _GOOD = {
     "card": """length(regexp_replace(x.value, '[^0-9]', '')) BETWEEN 14 AND 19 AND
         aggregate(transform(split(reverse(regexp_replace(x.value, '[^0-9]', '')), ''), (d, i) -> CASE WHEN i % 2 = 0 THEN CAST(d AS int) WHEN CAST(d AS int) > 4 THEN 2 * CAST(d AS int) - 9 ELSE 2 * CAST(d AS int) END), 0, (n, d) -> n + d) % 10 = 0""",
     "phone": "length(regexp_replace(x.value, '[^0-9]', '')) BETWEEN 10 AND 15",
+    "secret": "true",
 }
 
 
 def base_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, key (hash of the text), found (array of start, kind number, end, value)."""
+    """Per document: id, key (hash of the text), found (array of start, kind number, end, value; secrets among them)."""
     rows = docs.select(F.col(id_col).alias("id"), *_keyed(text_col))
     rows = rows.select("id", "key", *[pieces(F.col("text"), p, needs).alias(kind) for kind, (p, needs) in PATTERNS.items()])
     found = [F.expr(f"transform(filter(x_{kind}, x -> {_GOOD[kind]}), x -> struct(x.start AS start, {i} AS kind, x.end AS end, x.value AS value))") for i, kind in enumerate(PATTERNS)]
@@ -101,7 +108,7 @@ def base_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def _keyed(text_col: str) -> tuple[Column, Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return F.xxhash64(text).alias("key"), text.alias("text")
+    return F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")
 
 
 def _terms(text: Column) -> Column:
@@ -115,10 +122,11 @@ _TERM = "NOT term RLIKE '^[0-9]*$'"
 
 
 def entities(base: DataFrame) -> DataFrame:
-    """Distinct pairs (key, entity) of texts and the normalised addresses and numbers in them."""
-    value = F.when(F.col("x.kind") >= 2, F.regexp_replace("x.value", "[^0-9]", "")).otherwise(F.lower("x.value"))
+    """Distinct pairs (key, entity) of texts and the normalised values, and the kinds of values, in them."""
+    kind = F.col("x.kind").cast("string")
+    value = F.when(F.col("x.kind").isin(2, 3), F.regexp_replace("x.value", "[^0-9]", "")).otherwise(F.lower("x.value"))
     one = base.where("size(found) > 0").select("key", F.explode("found").alias("x"))
-    return one.select("key", F.concat(F.col("x.kind").cast("string"), F.lit(":"), value).alias("entity")).distinct()
+    return one.select("key", F.explode(F.array(F.concat(kind, F.lit(":"), value), kind)).alias("entity")).distinct()
 
 
 def disclosing(together: DataFrame, terms: DataFrame, n: DataFrame) -> DataFrame:
@@ -155,10 +163,10 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     # words inside a base span are covered by it
     held = base.where("size(found) > 0").dropDuplicates(["key"]).select("key", F.expr("transform(found, x -> struct(x.start AS start, x.end AS end))").alias("cover"))
     places = places.join(held, "key").where("NOT exists(cover, x -> x.start <= start AND end <= x.end)")
-    extra = places.groupBy("key").agg(F.collect_list(F.struct("start", F.when(F.col("d") >= REMOVE, 5).otherwise(4).alias("kind"), "end")).alias("extra"))
-    own = base.select("id", "key", F.expr("transform(found, x -> struct(x.start AS start, x.kind AS kind, x.end AS end))").alias("base"))
-    both = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra")))
-    return own.join(extra, "key", "left").select(F.col("id").alias(id_col), "key", "base", both.alias("spans"))
+    extra = places.groupBy("key").agg(F.collect_list(F.struct("start", F.when(F.col("d") >= REMOVE, BASE + 2).otherwise(BASE + 1).alias("kind"), "end")).alias("extra"))
+    own = base.select("id", "key", F.expr("transform(found, x -> struct(x.start AS start, x.kind AS kind, x.end AS end))").alias("found"))
+    both = F.when(F.col("extra").isNull(), F.col("found")).otherwise(F.array_sort(F.concat("found", "extra")))
+    return own.join(extra, "key", "left").select(F.col("id").alias(id_col), "key", F.expr(f"filter(found, x -> x.kind < {BASE})").alias("base"), both.alias("spans"))
 
 
 def listed(name: str) -> Column:
@@ -180,6 +188,6 @@ def sanitised(text: Column, name: str) -> Column:
 
 def _put(kind: Column) -> Column:
     out = F.when(kind == 0, "[email]")
-    for i, said in enumerate(("[ip]", "[card]", "[phone]", "[term]"), 1):
+    for i, said in enumerate(("[ip]", "[card]", "[phone]", "[secret]", "[term]"), 1):
         out = out.when(kind == i, said)
     return out.otherwise("")
