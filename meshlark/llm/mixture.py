@@ -142,9 +142,11 @@ def _corrected(rows: DataFrame, max_repeats: int) -> tuple[DataFrame, bool]:
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents in training order, each as often as the mix takes it, with the columns of docs."""
-    planned = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    placed = planned.where("copies > 0").select(F.col(id_col).alias("_mix_id"), F.col("print").alias("_mix_print"), F.col("positions").alias("_mix_at")).dropDuplicates(["_mix_id", "_mix_print"])
-    own = docs.withColumn("_mix_print", F.xxhash64(id_col, text_col))
-    chosen = own.join(placed, (own["_mix_print"] == placed["_mix_print"]) & own[id_col].eqNullSafe(placed["_mix_id"])).select(*[own[c] for c in docs.columns], own["_mix_print"], F.explode("_mix_at").alias("_mix_pos"))
-    return chosen.orderBy("_mix_pos", "_mix_print").select(*docs.columns)
+    """The documents in training order, each as often as the mix takes it, with the columns of docs, whatever their names."""
+    name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*name.values())
+    planned = plan(rows, id_col=name[id_col], text_col=name[text_col], source_col=name[source_col], **options)
+    placed = planned.where("copies > 0").select(F.col(name[id_col]).alias("id"), F.col("print").alias("its"), F.col("positions").alias("at")).dropDuplicates(["id", "its"])
+    own = rows.withColumn("print", F.xxhash64(name[id_col], name[text_col]))
+    chosen = own.join(placed, (F.col("print") == F.col("its")) & F.col(name[id_col]).eqNullSafe(F.col("id"))).select(*name.values(), "print", F.explode("at").alias("position"))
+    return chosen.orderBy("position", "print").select(*name.values()).toDF(*docs.columns)
