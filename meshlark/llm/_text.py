@@ -80,6 +80,18 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         at = end
 
 
+def overlapping(data: np.ndarray, offsets: np.ndarray, overlap: int, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, place in that row, bytes and row offsets of parts of about ``most`` bytes; a longer row comes in stretches that share ``overlap`` bytes."""
+    for a, b in chunks(offsets, most):
+        own = data[offsets[a] : offsets[b]]
+        if b - a > 1 or len(own) <= 2 * most:
+            yield a, 0, own, offsets[a : b + 1] - offsets[a]
+            continue
+        for at in range(0, len(own) - overlap, most):
+            piece = own[at : at + most + overlap]
+            yield a, at, piece, np.array([0, len(piece)])
+
+
 def word_spans(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of kept bytes inside rows: start, end, row."""
     n = len(keep)

@@ -18,11 +18,14 @@ on to the next:
    First digits with more than ``MANY`` contents are not brought together in a task:
    their windows are counted as rows, with partial aggregation.
 
+A very long text is cut into stretches that overlap in ``length - 1`` bytes, so that each
+window lies in one of them; a run that a cut ends early is compared as an edge.
+
 Equal strings have equal digits at every pass, so the groups are those of a full suffix
 order cut at ``length``.  The first passes are grouped counts with partial aggregation
 and semi-joins that send rows only; texts cross the network compressed, once for the
-edges and once for the cut.  Hashes have 64 bits, and a run's content is compared by
-both digits together.
+edges and once for the cut.  Contents and windows are compared by two 64-bit hashes, the
+first digit and their own; documents are told apart by 128 bits of id and text.
 
 Defined cases: a null text is empty; matches never cross documents; texts shorter than
 ``length`` lose nothing; overlapping repeats inside a document count; repeated rows are
@@ -92,8 +95,8 @@ def _digits(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _text.text_buffer(batch.column(0))
-            for a, b in _text.chunks(offsets):
-                digit, n = np.unique(runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)[3], return_counts=True)
+            for _, _, own, edge in _text.overlapping(data, offsets, length - 1):
+                digit, n = np.unique(runs(own, edge, length, gram)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(digit.view(np.int64)), pa.array(n)], names=["digit", "n"])
 
     return run
@@ -104,9 +107,9 @@ def _runs(length: int, gram: int):
         for batch in batches:
             data, offsets = _text.text_buffer(batch.column(1))
             key = batch.column(0)
-            for a, b in _text.chunks(offsets):
-                row, start, count, digit, content = runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)
-                yield pa.RecordBatch.from_arrays([key.slice(a, b - a).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(digit.view(np.int64)), pa.array(content.view(np.int64))], names=["key", "start", "n", "digit", "content"])
+            for a, at, own, edge in _text.overlapping(data, offsets, length - 1):
+                row, start, count, digit, content = runs(own, edge, length, gram)
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(a + row)), pa.array((at + start).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(digit.view(np.int64)), pa.array(content.view(np.int64))], names=["key", "start", "n", "digit", "content"])
 
     return run
 
@@ -146,7 +149,7 @@ def _bodies(length: int):
                     out.append((r["digit"], keys[i], r["start"], r["n"], r["open"], r["many"], text[r["start"] : r["start"] + r["n"] - 1 + length]))
                     weight += r["n"] + length
                 if weight > 4 << 20 or (out and i == batch.num_rows - 1):
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["digit", "key", "start", "n", "open", "many", "body"])
                     out, weight = [], 0
 
@@ -201,7 +204,7 @@ def _together(length: int):
 
 
 def _apart(length: int):
-    """The windows of the bodies as rows (key, start, open, window)."""
+    """The windows of the bodies as rows (digit, key, start, open, window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +212,7 @@ def _apart(length: int):
                 part = batch.slice(lo, 2000)
                 row, window = _windows(part, length)
                 start = _ragged(part.column(2).to_numpy().astype(np.int64), part.column(3).to_numpy().astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(row)), pa.array(start.astype(np.int32)), part.column(4).take(pa.array(row)), pa.array(window.view(np.int64))], names=["key", "start", "open", "window"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(start.astype(np.int32)), part.column(4).take(pa.array(row)), pa.array(window.view(np.int64))], names=["digit", "key", "start", "open", "window"])
 
     return run
 
@@ -247,12 +250,12 @@ def _cut(length: int, id_type: str):
 def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed, in bytes)."""
     # equal ids with different texts are different documents; rows that agree in both get the same answer
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.to_json(F.struct("id")), F.lit("")).cast("binary"), F.lit("\n").cast("binary"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))))))
     id_type = own.schema["id"].dataType.simpleString()
 
     # written first, so that the semi-join below reads two plain exchanges and a common digit's partition can be split
     digits = materialise(own.select("text").mapInArrow(frugal(_digits(length, gram)), "digit long, n long").groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "digits")
-    found = own.select("key", "text").mapInArrow(frugal(_runs(length, gram)), "key long, start int, n int, digit long, content long")
+    found = own.select("key", "text").mapInArrow(frugal(_runs(length, gram)), "key binary, start int, n int, digit long, content long")
     alike = materialise(found.join(digits, "digit", "left_semi"), "runs")
 
     contents = materialise(alike.groupBy("digit", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("one")), "contents")
@@ -260,14 +263,14 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = contents.groupBy("digit").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 AND fewest = 1").select("digit", (F.col("kinds") > MANY).alias("many"))
     apart = contents.join(mixed, "digit").select("one.key", F.struct("digit", "one.start", "one.n", (F.col("copies") == 1).alias("open"), "many").alias("run"))
     by_text = apart.groupBy("key").agg(F.collect_list("run").alias("runs"))
-    packed = own.select("id", "key", "text").mapInArrow(frugal(_packed), f"id {id_type}, key long, size long, packed binary")
+    packed = own.select("id", "key", "text").mapInArrow(frugal(_packed), f"id {id_type}, key binary, size long, packed binary")
     # the same text may lie in several rows with the same key; one of them will do
     texts = packed.select("key", "size", "packed").join(by_text, "key").dropDuplicates(["key"]).select("key", "size", "packed", "runs")
-    bodies = materialise(texts.mapInArrow(frugal(_bodies(length)), "digit long, key long, start int, n int, open boolean, many boolean, body binary"), "bodies")
-    few = bodies.where("NOT many").repartition("digit").sortWithinPartitions("digit").mapInArrow(frugal(_together(length)), "key long, start int, n int")
-    windows = bodies.where("many").mapInArrow(frugal(_apart(length)), "key long, start int, open boolean, window long")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    edges = few.union(windows.where("open").join(again, "window", "left_semi").select("key", "start", F.lit(1).alias("n")))
+    bodies = materialise(texts.mapInArrow(frugal(_bodies(length)), "digit long, key binary, start int, n int, open boolean, many boolean, body binary"), "bodies")
+    few = bodies.where("NOT many").repartition("digit").sortWithinPartitions("digit").mapInArrow(frugal(_together(length)), "key binary, start int, n int")
+    windows = bodies.where("many").mapInArrow(frugal(_apart(length)), "digit long, key binary, start int, open boolean, window long")
+    again = windows.groupBy("digit", "window").agg(F.count("*").alias("n")).where("n > 1").select("digit", "window")
+    edges = few.union(windows.where("open").join(again, ["digit", "window"], "left_semi").select("key", "start", F.lit(1).alias("n")))
 
     gone = whole.union(edges).groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
     run, schema = _cut(length, id_type)
