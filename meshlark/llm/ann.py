@@ -4,8 +4,11 @@ Vectors are normalised and projected on ``PROJECTIONS`` random directions.  A sh
 the rows keeps one sorted array of values for each direction.  A query looks into a
 window around its own value in every array; a row collides once for each window that
 holds it.  Rows with at least ``threshold`` collisions are verified with the exact
-cosine in double precision.  Windows grow by virtual rehashing (``WIDEN``) until the
-k-th best verified row is nearer than the radius for which the windows are wide enough.
+cosine in double precision.  ``SAMPLE`` rows of the shard, verified first, bound the distance
+of the k-th neighbour; windows start for a part of it and grow by virtual rehashing
+(``WIDEN``) until they are wide enough for the distance of the k-th best verified row,
+and never beyond.  Where neighbours are close, few rows are verified; where the vectors
+are spread evenly, projections tell near from far rows only faintly, and many are.
 
 Queries are a stated set; they meet the rows in blocks: rows are dealt to shards and
 queries to blocks of about ``BLOCK`` each by hash, and each (shard, block) is a task's
@@ -27,13 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PROJECTIONS = 48
+PROJECTIONS = 96
 BLOCK = 8192
-#: Windows reach WIDTH standard deviations of a projected distance to either side; a row at
-#: the radius then falls into a window with probability P; it needs THRESHOLD of all windows.
-WIDTH, THRESHOLD = 1.0, 0.55
-#: Radii (Euclidean, between unit vectors) of the rounds of virtual rehashing: first, factor.
-FIRST, WIDEN = 0.35, 1.4
+SAMPLE = 128
+#: Windows reach WIDTH standard deviations of a projected distance to either side; a row at the
+#: radius falls into a window with probability 0.68; it needs THRESHOLD of all windows.
+WIDTH, THRESHOLD = 1.0, 0.63
+#: Rounds of virtual rehashing: first radius, as a part of the sampled bound, and factor.
+FIRST, WIDEN = 0.6, 1.25
 
 
 def directions(d: int, m: int, seed: int = 7) -> np.ndarray:
@@ -52,37 +56,47 @@ class ProjectionIndex:
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(projected, self.order.T, axis=0).T.copy()
         self.m = m
+        self.some = np.sort(np.random.default_rng(11).permutation(len(ids))[:SAMPLE])
+        self.verified = 0
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the k nearest found, nearest first."""
         n, length = len(self.ids), norms(query[None])[0]
         at = (query / length) @ self.axes
-        counts = np.zeros(n, dtype=np.int32)
-        seen = np.zeros(n, dtype=bool)
+        counts, seen = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool)
         lo = np.array([np.searchsorted(self.values[j], at[j]) for j in range(self.m)])
         hi = lo.copy()
-        found, cosines, radius = np.empty(0, np.int64), np.empty(0), FIRST
-        need = THRESHOLD * self.m
-        while True:
-            last = radius >= 2.0
+        found, cosines = self._verify(self.some, query_id, query, length, np.empty(0, np.int64), np.empty(0), k)
+        seen[self.some] = True
+        # distance of unit vectors at a cosine c: sqrt(2 - 2 c)
+        far = lambda: np.sqrt(max(0.0, 2 - 2 * cosines[-1])) if len(found) == k else 2.0
+        radius, need = FIRST * far(), THRESHOLD * self.m
+        while not seen.all():
+            whole = radius >= 2.0  # fewer than k rows so far: windows take in all
             parts = []
             for j in range(self.m):
-                a = 0 if last else np.searchsorted(self.values[j], at[j] - WIDTH * radius)
-                b = n if last else np.searchsorted(self.values[j], at[j] + WIDTH * radius, side="right")
+                a = 0 if whole else np.searchsorted(self.values[j], at[j] - WIDTH * radius)
+                b = n if whole else np.searchsorted(self.values[j], at[j] + WIDTH * radius, side="right")
                 parts += [self.order[j, a : lo[j]], self.order[j, hi[j] : b]]
                 lo[j], hi[j] = a, b
             counts += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
             new = np.flatnonzero((counts >= need) & ~seen)
             seen[new] = True
-            new = new[self.ids[new] != query_id]
-            if len(new):
-                found, cosines = np.concatenate((found, new)), np.concatenate((cosines, cosine(self.original[new], self.norm[new], query, length)))
-                best = np.lexsort((self.ids[found], -cosines))[:k]
-                found, cosines = found[best], cosines[best]
-            # distance of unit vectors at a cosine c: sqrt(2 - 2 c)
-            if last or (len(found) == k and np.sqrt(max(0.0, 2 - 2 * cosines[-1])) <= radius):
-                return self.ids[found], cosines
-            radius *= WIDEN
+            found, cosines = self._verify(new, query_id, query, length, found, cosines, k)
+            if whole or (len(found) == k and far() <= radius):
+                break
+            radius = min(radius * WIDEN, far())
+        self.verified += int(seen.sum())
+        return self.ids[found], cosines
+
+    def _verify(self, new: np.ndarray, query_id: int, query: np.ndarray, length: float, found: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best k of those found and the new rows."""
+        new = new[self.ids[new] != query_id]
+        if not len(new):
+            return found, cosines
+        found, cosines = np.concatenate((found, new)), np.concatenate((cosines, cosine(self.original[new], self.norm[new], query, length)))
+        best = np.lexsort((self.ids[found], -cosines))[:k]
+        return found[best], cosines[best]
 
 
 def norms(x: np.ndarray) -> np.ndarray:
