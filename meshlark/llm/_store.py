@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -40,6 +41,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A table that materialise() wrote, to be broadcast where it has no more than ``most`` (short) rows; beyond, joins shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def release(df: DataFrame) -> None:
     """Remove a table that materialise() wrote, once nothing reads it any more."""
     path = getattr(df, "_meshlark_path", None)

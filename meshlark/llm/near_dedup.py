@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.llm import _text
-from meshlark.llm._store import materialise, release
+from meshlark.llm._store import materialise, release, small
 from meshlark.llm._worker import frugal
 from meshlark.llm.components import components
 
@@ -46,7 +46,7 @@ WIDTH = 5
 #: Shingles of a block.
 BLOCK = 1_000_000
 #: Members that meet a copy of their bucket's centre in one part.
-STAR = 2_000
+STAR = 256
 #: Shingles that are sketched together.
 PART = 1 << 20
 
@@ -246,7 +246,8 @@ def _star_links(own: DataFrame, pairs: DataFrame, similarity: int, kind: str) ->
     key = lambda part: F.xxhash64("centre", part).alias("key")
     members = pairs.join(parts, "centre").select(F.col("rep").alias("id"), key(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), F.lit(True).alias("member"))
     centres = parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("centre").alias("id"), key(F.col("part")), F.lit(False).alias("member"))
-    placed = own.join(members.union(centres), "id").select("key", "id", "member", "text").distinct()
+    keyed = small(materialise(members.union(centres), "star-keys"))
+    placed = own.join(keyed, "id").select("key", "id", "member", "text").distinct()
     return placed.repartition("key").sortWithinPartitions("key", "member", "id").mapInArrow(frugal(lambda batches: _stars(batches, similarity)), f"a {kind}, b {kind}").distinct()
 
 
@@ -275,6 +276,7 @@ def _left_links(own: DataFrame, classes: DataFrame, component: DataFrame, simila
     # one block outside meets itself beside every block inside
     among = F.when(F.col("inside") | (outer == 1), F.array().cast("array<struct<kind:int,a:int,b:int>>")).otherwise(F.transform(F.filter(upto(outer), lambda j: j != block), lambda j: meet(1, F.least(block, j), F.greatest(block, j))))
     keyed = dealt.select("id", "label", "component", F.explode(F.concat(across, among)).alias("place")).select("id", "label", F.xxhash64("component", "place").alias("key"))
+    keyed = small(materialise(keyed, "left-keys"))
     placed = own.join(keyed, "id").select("key", "id", "label", "text").distinct()
     return placed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(frugal(lambda batches: _confirm(batches, similarity)), f"a {kind}, b {kind}")
 
