@@ -44,11 +44,17 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     own, text = F.col(name["doc_id"]), name["text"]
     keyed = rows.withColumn("key", F.when(own.isNotNull(), F.struct(own.alias("id"), F.xxhash64(text).alias("hash"))))
     found = near_dedup.near_duplicates(keyed, similarity=SIMILARITY, id_col="key", text_col=text)
-    gone = _store.materialise(found.where("NOT kept").select(F.col("key").alias("gone")).distinct(), "gone")
-    again = _store.materialise(keyed.where("key IS NOT NULL").groupBy("key").count().where("count > 1").select(F.col("key").alias("again")), "again")
-    kept = keyed.join(gone, F.col("key") == F.col("gone"), "left_anti")
-    once = kept.join(again, F.col("key") == F.col("again"), "left_anti").select(*rows.columns)
-    several = kept.join(again, F.col("key") == F.col("again"), "left_semi").groupBy("key").agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
+    gone = found.where("NOT kept").select("key").distinct().withColumn("stays", F.lit(False))
+    gone = _store.materialise(gone, "gone")
+    again = keyed.where("key IS NOT NULL").groupBy("key").count().where("count > 1").select("key").join(gone, "key", "left_anti").withColumn("stays", F.lit(True))
+    again = _store.materialise(again, "again")
+    # one look-up decides; the texts are shuffled once at most
+    decided = _store.materialise(gone.union(again).withColumnRenamed("key", "decided"), "decided")
+    marked = keyed.join(_store.small(decided), F.col("key") == F.col("decided"), "left")
+    once = marked.where("stays IS NULL").select(*rows.columns)
+    if again.isEmpty():
+        return once.toDF(*docs.columns)
+    several = marked.where("stays").groupBy("key").agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
     return once.unionByName(several).toDF(*docs.columns)
 
 
