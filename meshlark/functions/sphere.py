@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,72 +38,149 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
 ROBINSON_X = (1, 0.9986, 0.9954, 0.99, 0.9822, 0.973, 0.96, 0.9427, 0.9216, 0.8962, 0.8679, 0.835, 0.7986, 0.7597, 0.7186, 0.6732, 0.6213, 0.5722, 0.5322)
 ROBINSON_Y = (0, 0.062, 0.124, 0.186, 0.248, 0.31, 0.372, 0.434, 0.4958, 0.5571, 0.6176, 0.6769, 0.7346, 0.7903, 0.8435, 0.8936, 0.9394, 0.9761, 1)
 MERCATOR_LIMIT = 85.05112878
+#: Coefficients of the Equal Earth and Natural Earth polynomials (fixed published values), by ascending power.
+EQUAL_EARTH = {1: 1.340264, 3: -0.081106, 7: 0.000893, 9: 0.003796}
+NATURAL_X = {0: 0.8707, 2: -0.131979, 4: -0.013791, 10: 0.003971, 12: -0.001529}
+NATURAL_Y = {1: 1.007226, 3: 0.015085, 7: -0.044475, 9: 0.028874, 11: -0.005916}
 
+Pair = tuple[Column, Column]
 
-def _interpolated(values: tuple[float, ...], at: Column) -> Column:
-    """Cubic through the four control values around a place (Lagrange form)."""
-    first = F.greatest(F.lit(0), F.least(F.lit(15), F.floor(at) - 1))
-    table, total = F.array(*[F.lit(float(v)) for v in values]), F.lit(0.0)
-    for j in range(4):
-        basis = F.lit(1.0)
-        for k in range(4):
-            if k != j:
-                basis = basis * (at - (first + k)) / (j - k)
-        total = total + F.element_at(table, (first + j + 1).cast("int")) * basis
-    return total
-
-
-def _theta(phi: Column) -> Column:
-    """Solution of 2t + sin 2t = pi sin(phi) by Newton steps; exact at the poles."""
-    step = lambda t, _: F.when(F.abs(F.cos(t)) < 1e-7, t).otherwise(t - (2 * t + F.sin(2 * t) - math.pi * F.sin(phi)) / (2 + 2 * F.cos(2 * t)))
-    return F.when(F.abs(F.abs(phi) - math.pi / 2) < 1e-12, F.signum(phi) * math.pi / 2).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(30)), phi, step))
-
-
-def project(name: str, lon: Column, lat: Column, lon0: float = 0.0, lat0: float = 0.0) -> tuple[Column, Column]:
-    """Plane coordinates on the unit sphere."""
-    l, p = F.radians(lon), F.radians(lat)
-    if name == "equirectangular":
-        return l, p
-    if name == "mercator":
-        return l, F.asinh(F.tan(F.radians(F.greatest(F.lit(-MERCATOR_LIMIT), F.least(F.lit(MERCATOR_LIMIT), lat)))))
-    if name == "mollweide":
-        t = _theta(p)
-        return 2 * math.sqrt(2) / math.pi * l * F.cos(t), math.sqrt(2) * F.sin(t)
-    if name == "sinusoidal":
-        return l * F.cos(p), p
-    if name == "gall-peters":
-        return l / math.sqrt(2), math.sqrt(2) * F.sin(p)
-    if name == "equal-earth":
-        a = F.asin(math.sqrt(3) / 2 * F.sin(p))
-        v = a * a
-        poly = lambda *c: sum((F.lit(k) * v**i for i, k in enumerate(c)), F.lit(0.0))
-        return 2 * l * F.cos(a) / (math.sqrt(3) * poly(1.340264, -3 * 0.081106, 0.0, 7 * 0.000893, 9 * 0.003796)), a * poly(1.340264, -0.081106, 0.0, 0.000893, 0.003796)
-    if name == "natural-earth":
-        v = p * p
-        return l * (0.8707 - 0.131979 * v - 0.013791 * v**2 + 0.003971 * v**5 - 0.001529 * v**6), p * (1.007226 + 0.015085 * v - 0.044475 * v**3 + 0.028874 * v**4 - 0.005916 * v**5)
-    if name == "winkel-tripel":
-        a = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.cos(p) * F.cos(l / 2))))
-        s = F.when(a < 1e-12, 1.0).otherwise(F.sin(a) / a)
-        return (2 * F.cos(p) * F.sin(l / 2) / s + l * 2 / math.pi) / 2, (F.sin(p) / s + p) / 2
-    if name == "robinson":
-        at = F.least(F.lit(18.0), F.abs(p) * 36 / math.pi)
-        return 0.8487 * l * _interpolated(ROBINSON_X, at), F.signum(p) * 1.3523 * _interpolated(ROBINSON_Y, at)
-    m, p0 = F.radians(lon - lon0 if name in ("orthographic", "globe") else wrap(lon - lon0)), F.radians(F.lit(lat0))
-    x, y = F.cos(p) * F.sin(m), F.cos(p0) * F.sin(p) - F.sin(p0) * F.cos(p) * F.cos(m)
-    c = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.sin(p0) * F.sin(p) + F.cos(p0) * F.cos(p) * F.cos(m)))
-    if name in ("orthographic", "globe"):
-        return x, y
-    if name == "laea":
-        k = F.sqrt(2 / (1 + c))
-    elif name == "aeqd":
-        k = F.when(F.acos(c) < 1e-10, 1.0).otherwise(F.acos(c) / F.sin(F.acos(c)))
-    else:
-        raise ValueError(f"no projection {name}")
-    opposite = c < -1 + 1e-10
-    return F.when(opposite, 0.0).otherwise(k * x), F.when(opposite, 0.0).otherwise(k * y)
-
-
-PROJECTIONS = ("equirectangular", "mercator", "mollweide", "sinusoidal", "gall-peters", "equal-earth", "natural-earth", "winkel-tripel", "robinson", "orthographic", "laea", "aeqd")
+
+def _polynomial(terms: dict[int, float], x: Column) -> Column:
+    """Sum of terms[power] * x**power, from the highest power down."""
+    out, last = F.lit(0.0), None
+    for power in sorted(terms, reverse=True):
+        if last is not None:
+            out = out * F.pow(x, F.lit(float(last - power)))
+        out, last = out + terms[power], power
+    return out * F.pow(x, F.lit(float(last))) if last else out
+
+
+def _pieces(values: tuple[float, ...]) -> list[list[float]]:
+    """Coefficients (constant first) of a cubic for each step between control values: that through the four nearest, the step's own two in the middle where there are such."""
+    out = []
+    for band in range(len(values) - 1):
+        first = min(max(band - 1, 0), len(values) - 4)
+        places = np.arange(first, first + 4, dtype=float) - band
+        out.append(np.linalg.solve(np.vander(places, increasing=True), np.array(values[first : first + 4], dtype=float)).tolist())
+    return out
+
+
+def _along(values: tuple[float, ...], at: Column) -> Column:
+    """The control curve at a place between 0 and its last node."""
+    table = _pieces(values)
+    band = F.least(F.floor(at), F.lit(len(table) - 1)).cast("int")
+    t, out = at - band, F.lit(0.0)
+    for power in (3, 2, 1, 0):
+        out = out * t + F.element_at(F.array(*[F.lit(c[power]) for c in table]), band + 1)
+    return out
+
+
+def _mollweide_angle(lat: Column) -> Column:
+    """w with w + sin w = pi sin(lat): from the cube-root form near the poles or half the right side elsewhere, by Newton steps until they no longer move."""
+    want = F.abs(math.pi * F.sin(F.radians(lat)))
+    start = F.when(want > 2.5, math.pi - F.cbrt(6 * (math.pi - want))).otherwise(want / 2)
+    better = lambda w: F.least(F.lit(math.pi), w + (want - w - F.sin(w)) / (1 + F.cos(w)))
+    w = F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, lambda w, _: F.when((1 + F.cos(w) < 1e-12) | (F.abs(want - w - F.sin(w)) < 1e-15), w).otherwise(better(w)))
+    return F.signum(lat) * w
+
+
+def _equirectangular(lon: Column, lat: Column) -> Pair:
+    return F.radians(lon), F.radians(lat)
+
+
+def _mercator(lon: Column, lat: Column) -> Pair:
+    s = F.sin(F.radians(F.greatest(F.lit(-MERCATOR_LIMIT), F.least(F.lit(MERCATOR_LIMIT), lat))))
+    return F.radians(lon), F.log((1 + s) / (1 - s)) / 2
+
+
+def _mollweide(lon: Column, lat: Column) -> Pair:
+    half = _mollweide_angle(lat) / 2
+    return F.radians(lon) * F.cos(half) * math.sqrt(8) / math.pi, F.sin(half) * math.sqrt(2)
+
+
+def _sinusoidal(lon: Column, lat: Column) -> Pair:
+    return F.cos(F.radians(lat)) * F.radians(lon), F.radians(lat)
+
+
+def _gall_peters(lon: Column, lat: Column) -> Pair:
+    return F.radians(lon) * math.cos(math.pi / 4), F.sin(F.radians(lat)) / math.cos(math.pi / 4)
+
+
+def _equal_earth(lon: Column, lat: Column) -> Pair:
+    parametric = F.asin(F.sin(F.radians(lat)) * math.sqrt(0.75))
+    slope = {power - 1: power * c for power, c in EQUAL_EARTH.items()}
+    return F.radians(lon) * F.cos(parametric) / (math.sqrt(0.75) * _polynomial(slope, parametric)), _polynomial(EQUAL_EARTH, parametric)
+
+
+def _natural_earth(lon: Column, lat: Column) -> Pair:
+    return F.radians(lon) * _polynomial(NATURAL_X, F.radians(lat)), _polynomial(NATURAL_Y, F.radians(lat))
+
+
+def _aitoff(lon: Column, lat: Column) -> Pair:
+    """The equidistant hemisphere of half the longitudes, drawn out to double width."""
+    x, y, z = vector(lon / 2, lat)
+    off = F.sqrt(y * y + z * z)
+    scale = F.when(off < 1e-15, 1.0).otherwise(F.atan2(off, x) / off)
+    return 2 * scale * y, scale * z
+
+
+def _cylinder(lon: Column, lat: Column) -> Pair:
+    """Equirectangular with the standard parallel acos(2 / pi)."""
+    return F.radians(lon) * (2 / math.pi), F.radians(lat)
+
+
+def _winkel(lon: Column, lat: Column) -> Pair:
+    return tuple((a + b) / 2 for a, b in zip(_aitoff(lon, lat), _cylinder(lon, lat), strict=True))
+
+
+def _robinson(lon: Column, lat: Column) -> Pair:
+    at = F.least(F.lit(18.0), F.abs(lat) / 5)
+    return F.radians(lon) * 0.8487 * _along(ROBINSON_X, at), F.signum(lat) * 1.3523 * _along(ROBINSON_Y, at)
+
+
+def _seen_from(lon: Column, lat: Column, lon0: float, lat0: float) -> tuple[Column, Column, Column]:
+    """East, north and outward parts of a place's unit vector at the centre of the view."""
+    x, y, z = vector(lon - lon0, lat)
+    up, across = math.sin(math.radians(lat0)), math.cos(math.radians(lat0))
+    return y, z * across - x * up, x * across + z * up
+
+
+def _azimuthal(scale):
+    """A projection that stretches the tangent plane's directions by scale(distance from the axis, outward part); the opposite point lies on the centre."""
+
+    def of(lon: Column, lat: Column, lon0: float = 0.0, lat0: float = 0.0) -> Pair:
+        east, north, out = _seen_from(lon, lat, lon0, lat0)
+        k = F.when(out < -1 + 1e-10, 0.0).otherwise(scale(F.sqrt(east * east + north * north), out))
+        return east * k, north * k
+
+    return of
+
+
+def _orthographic(lon: Column, lat: Column, lon0: float = 0.0, lat0: float = 0.0) -> Pair:
+    return _seen_from(lon, lat, lon0, lat0)[:2]
+
+
+_CENTRED = {
+    "globe": _orthographic,
+    "orthographic": _orthographic,
+    "laea": _azimuthal(lambda off, out: F.sqrt(2 / F.greatest(F.lit(1e-15), 1 + out))),
+    "aeqd": _azimuthal(lambda off, out: F.when(off < 1e-12, 1.0).otherwise(F.atan2(off, out) / off)),
+}
+_PLANE = {
+    "equirectangular": _equirectangular, "mercator": _mercator, "mollweide": _mollweide, "sinusoidal": _sinusoidal, "gall-peters": _gall_peters, "equal-earth": _equal_earth,
+    "natural-earth": _natural_earth, "winkel-tripel": _winkel, "robinson": _robinson,
+}
+PROJECTIONS = (*_PLANE, *_CENTRED)
+
+
+def project(name: str, lon: Column, lat: Column, lon0: float = 0.0, lat0: float = 0.0) -> Pair:
+    """Plane coordinates on the unit sphere; the centre counts for the azimuthal projections."""
+    if name in _PLANE:
+        return _PLANE[name](lon, lat)
+    if name in _CENTRED:
+        return _CENTRED[name](lon, lat, lon0, lat0)
+    raise ValueError(f"no projection {name}")
 
 
 def to_geographic(x: Column, z: Column, width: float, height: float) -> tuple[Column, Column]:

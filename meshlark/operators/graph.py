@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and drop its lineage, in the folder that spark.checkpoint.dir names."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshlark-"))
-    return df.checkpoint()
+    """Compute df once and drop its lineage: a table in the folder that spark.checkpoint.dir (or setCheckpointDir) names.
+
+    Where neither is set there is no folder that all executors share, but a local master alone uses its warehouse.
+    """
+    spark = df.sparkSession
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and current.isDefined():
+        named = str(current.get())
+    if not named:
+        if (spark.sparkContext.master or "").partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/meshlark-shared"
+    path = f"{named.rstrip('/')}/meshlark-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -65,13 +76,15 @@ def _relaxed(arcs: DataFrame, starts: DataFrame, limit: int | None, targets: Dat
     return known.select("node", "distance", "origin")
 
 
-def levels(arcs: DataFrame, start: int, limit: int = 1_000) -> DataFrame:
-    """Breadth-first levels with the first path in slot order.  arcs: src, slot, dst; result: node, level, path (slots)."""
+def levels(arcs: DataFrame, start: int) -> DataFrame:
+    """Breadth-first levels with the first path in slot order, to the last level there is.  arcs: src, slot, dst; result: node, level, path (slots)."""
     spark = arcs.sparkSession
     front = spark.createDataFrame([(start, 0, [])], "node long, level int, path array<int>")
     known = cut(front)
     front = known
-    for level in range(1, limit + 1):
+    level = 0
+    while True:
+        level += 1
         offered = front.join(arcs, front["node"] == arcs["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array(F.col("slot").cast("int"))).alias("path"))
         new = offered.join(known.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
         front = cut(new.select("node", F.lit(level).alias("level"), "path"))

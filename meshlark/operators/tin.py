@@ -54,7 +54,7 @@ def duplicates(faces: DataFrame) -> DataFrame:
 
 def with_duplicates(faces: DataFrame) -> DataFrame:
     """faces with dup_count; one shuffle on the corners, counted on the map side first."""
-    keyed = faces.withColumn("k", F.xxhash64(corner_key()))
+    keyed = faces.withColumn("k", corner_key())
     counts = keyed.groupBy("k").agg(F.count("*").alias("dup_count"))
     return keyed.join(counts, "k").drop("k")
 
@@ -86,28 +86,82 @@ def representative(faces: DataFrame) -> DataFrame:
     return metrics(faces).groupBy("region").agg(F.max_by("face", F.struct("area2", -F.col("face"))).alias("face"), F.max("area2").alias("area2"))
 
 
-def surfaces_at(faces: DataFrame, points: DataFrame) -> DataFrame:
-    """All surfaces over points (px / q, pz / q) with whole px, pz, q > 0: face, kind, exact height n / d.
+def in_cells(rows: DataFrame, cell: int) -> DataFrame:
+    """Rows with bounds minx, maxx, minz, maxz in the cells (level, cx, cz) they touch.
 
-    Faces and points meet in the cells of a grid that a face's bounds cover, so the join
-    is on cells, not on all pairs; exact predicates on whole numbers decide.
+    A level's cells are twice as wide as those of the level below; a row lies in the first
+    level where it touches four cells at most, so a huge face is no more rows than a small one.
     """
-    size = 100
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long"))
-    cells = metrics(faces).where("det <> 0").withColumn("cx", F.explode(span("minx", "maxx"))).withColumn("cz", F.explode(span("minz", "maxz")))
-    at = points.withColumns({"cx": F.floor(F.col("px") / F.col("q") / size).cast("long"), "cz": F.floor(F.col("pz") / F.col("q") / size).cast("long")})
+    wide = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxz") - F.col("minz"), F.lit(1)).cast("double")
+    rows = rows.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(wide / cell))).cast("int"))
+    size = cell * F.pow(F.lit(2.0), F.col("level"))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+    return rows.withColumn("cx", F.explode(span("minx", "maxx"))).withColumn("cz", F.explode(span("minz", "maxz")))
+
+
+def levels_of(rows: DataFrame) -> list[int]:
+    """The levels there are: a few dozen numbers at most, as sizes double."""
+    return sorted(r["level"] for r in rows.select("level").distinct().collect())
+
+
+def surfaces_at(faces: DataFrame, points: DataFrame, cell: int = 100) -> DataFrame:
+    """All surfaces over points (px / q, pz / q) with whole px, pz, q > 0: face, kind, and the exact heights low_n / low_d to high_n / high_d.
+
+    kind: inside or boundary (one height); vertical (a wall that the line runs in) and
+    degenerate (corners on one line), with the interval of their heights there.  Faces and
+    points meet in the cells of a grid, so the join is on cells, not on all pairs; exact
+    predicates on whole numbers decide.
+    """
+    cells = in_cells(metrics(faces), cell)
+    levels = levels_of(cells)
+    if not levels:
+        return faces.sparkSession.createDataFrame([], "qid long, face long, kind string, low_n long, low_d long, high_n long, high_d long")
+    at = points.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    size = cell * F.pow(F.lit(2.0), F.col("level"))
+    at = at.withColumns({"cx": F.floor(F.col("px") / F.col("q") / size), "cz": F.floor(F.col("pz") / F.col("q") / size)})
 
     def turn(i: int, j: int) -> Column:
         """Twice the signed area of corner i, corner j and the point, times q."""
         return (F.col(f"x{j}") - F.col(f"x{i}")) * (F.col("pz") - F.col(f"z{i}") * F.col("q")) - (F.col(f"z{j}") - F.col(f"z{i}")) * (F.col("px") - F.col(f"x{i}") * F.col("q"))
 
-    sign = F.sign("det").cast("long")
-    met = cells.join(at, ["cx", "cz"]).withColumns({f"w{k}": turn((k + 1) % 3, (k + 2) % 3) * sign for k in range(3)}).where("w0 >= 0 AND w1 >= 0 AND w2 >= 0")
+    sign = F.when(F.col("det") < 0, -1).otherwise(1)
+    met = cells.join(at, ["level", "cx", "cz"]).where("px BETWEEN minx * q AND maxx * q AND pz BETWEEN minz * q AND maxz * q")
+    met = met.withColumns({f"w{k}": turn((k + 1) % 3, (k + 2) % 3) * sign for k in range(3)}).where("w0 >= 0 AND w1 >= 0 AND w2 >= 0 AND (det <> 0 OR w0 = 0 AND w1 = 0 AND w2 = 0)")
     n, d = F.col("w0") * F.col("h0") + F.col("w1") * F.col("h1") + F.col("w2") * F.col("h2"), F.col("area2") * F.col("q")
-    met = met.select("qid", "face", F.when(F.least("w0", "w1", "w2") == 0, "boundary").otherwise("inside").alias("kind"), n.alias("n"), d.alias("d"))
-    return met.withColumn("g", _gcd("n", "d")).select("qid", "face", "kind", (F.col("n") / F.col("g")).cast("long").alias("height_n"), (F.col("d") / F.col("g")).cast("long").alias("height_d"))
-
-
-def _gcd(a: str, b: str) -> Column:
-    step = F.struct(F.abs(F.col(a)).alias("a"), F.col(b).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), step, lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, 0).otherwise(s["a"] % s["b"]).alias("b")), lambda s: s["a"])
+    plain = F.struct(n.cast("decimal(38,0)").alias("low"), n.cast("decimal(38,0)").alias("high"), d.cast("decimal(38,0)").alias("d"))
+    met = met.select("qid", "face", F.when(F.col("det") == 0, F.when(F.col("degenerate_3d"), "degenerate").otherwise("vertical")).when(F.least("w0", "w1", "w2") == 0, "boundary").otherwise("inside").alias("kind"), F.when(F.col("det") != 0, plain).otherwise(_wall()).alias("h"))
+    low, high = _reduced(F.col("h.low"), F.col("h.d")), _reduced(F.col("h.high"), F.col("h.d"))
+    return met.select("qid", "face", "kind", low.alias("l"), high.alias("u")).select("qid", "face", "kind", F.col("l.n").alias("low_n"), F.col("l.d").alias("low_d"), F.col("u.n").alias("high_n"), F.col("u.d").alias("high_d"))
+
+
+def _wall() -> Column:
+    """Heights, over one denominator, where the line through a point meets a face whose projection is a segment that holds the point."""
+    big = lambda c: c.cast("decimal(38,0)")
+    upright = (F.col("x0") == F.col("x1")) & (F.col("x1") == F.col("x2"))
+    u = [F.when(upright, F.col(f"z{i}")).otherwise(F.col(f"x{i}")) for i in range(3)]
+    p = F.when(upright, F.col("pz")).otherwise(F.col("px"))
+    q, h = F.col("q"), [F.col(f"h{i}") for i in range(3)]
+    sides = [(0, 1), (1, 2), (2, 0)]
+    length = {e: F.greatest(F.lit(1), F.abs(u[e[1]] - u[e[0]])) for e in sides}
+    whole = big(q) * big(length[0, 1]) * big(length[1, 2]) * big(length[2, 0])
+    found = [F.when(u[i] * q == p, big(h[i]) * whole) for i in range(3)]
+    for i, j in sides:
+        between = (F.least(u[i], u[j]) * q < p) & (p < F.greatest(u[i], u[j]) * q)
+        rest = [length[e] for e in sides if e != (i, j)]
+        # height times q times the side's length, whatever way the side runs
+        value = big(h[i]) * big(q) * big(length[i, j]) + big(h[j] - h[i]) * big((p - u[i] * q) * F.when(u[j] < u[i], -1).otherwise(1))
+        found.append(F.when(between, value * big(rest[0]) * big(rest[1])))
+    return F.struct(F.least(*found).alias("low"), F.greatest(*found).alias("high"), whole.alias("d"))
+
+
+def _reduced(n: Column, d: Column) -> Column:
+    """n / d > 0 in lowest terms, by as many steps of Euclid's algorithm as the denominator can need."""
+    one = F.array(F.struct(n.alias("n"), d.alias("d")))
+
+    def of(x: Column) -> Column:
+        step = F.struct(F.abs(x["n"]).alias("a"), x["d"].alias("b"))
+        most = F.ceil(1.45 * F.log2(x["d"].cast("double"))).cast("int") + 3
+        g = F.aggregate(F.sequence(F.lit(1), most), step, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).cast("decimal(38,0)").alias("b"))), lambda s: s["a"])
+        return F.struct((x["n"] / g).cast("long").alias("n"), (x["d"] / g).cast("long").alias("d"))
+
+    return F.element_at(F.transform(one, of), 1)

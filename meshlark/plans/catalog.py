@@ -224,17 +224,53 @@ def w8_csr_offsets(spark, d):
     return ordered.offsets(_arcs(spark, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "node", "degree")
 
 
-@query(FACES + """, q AS (SELECT l_orderkey * 10 + l_linenumber AS qid, (l_partkey * 37 + l_suppkey * 11) % 15000 AS px, (l_partkey * 53 + l_linenumber * 7) % 12000 AS pz, 3 AS q FROM lineitem WHERE l_returnflag = 'R'),
+#: Points with thirds, and every face under or over each with the exact heights there.
+SURFACES = FACES + """, q AS (SELECT l_orderkey * 10 + l_linenumber AS qid, (l_partkey * 37 + l_suppkey * 11) % 15000 AS px, (l_partkey * 53 + l_linenumber * 7) % 12000 AS pz, 3 AS q FROM lineitem),
 c AS (SELECT qid, px, pz, q, px // 300 AS cx, pz // 300 AS cz FROM q),
-m AS (SELECT c.*, f.*, sign(det) AS sg FROM c JOIN faces f ON det <> 0 AND abs(cx * 100 - x0) <= 200 AND abs(cz * 100 - z0) <= 200),
+fb AS (SELECT *, least(x0, x1, x2) AS lx, greatest(x0, x1, x2) AS hx, least(z0, z1, z2) AS lz, greatest(z0, z1, z2) AS hz FROM faces),
+fx AS (SELECT *, unnest(range(lx // 100, hx // 100 + 1)) AS cx FROM fb), fz AS (SELECT *, unnest(range(lz // 100, hz // 100 + 1)) AS cz FROM fx),
+m AS (SELECT c.qid, c.px, c.pz, c.q, fz.* EXCLUDE (cx, cz), CASE WHEN det < 0 THEN -1 ELSE 1 END AS sg FROM c JOIN fz ON c.cx = fz.cx AND c.cz = fz.cz WHERE px BETWEEN lx * q AND hx * q AND pz BETWEEN lz * q AND hz * q),
 w AS (SELECT *, CAST(sg * ((x2 - x1) * (pz - z1 * q) - (z2 - z1) * (px - x1 * q)) AS BIGINT) AS w0, CAST(sg * ((x0 - x2) * (pz - z2 * q) - (z0 - z2) * (px - x2 * q)) AS BIGINT) AS w1, CAST(sg * ((x1 - x0) * (pz - z0 * q) - (z1 - z0) * (px - x0 * q)) AS BIGINT) AS w2 FROM m),
-h AS (SELECT qid, face, w0 * h0 + w1 * h1 + w2 * h2 AS n, abs(det) * q AS d, least(w0, w1, w2) AS lowest FROM w WHERE w0 >= 0 AND w1 >= 0 AND w2 >= 0)
-SELECT qid, face, CASE WHEN lowest = 0 THEN 'boundary' ELSE 'inside' END AS kind, CAST(n // gcd(n, d) AS BIGINT) AS height_n, CAST(d // gcd(n, d) AS BIGINT) AS height_d FROM h""")
+h AS (SELECT qid, face, CASE WHEN least(w0, w1, w2) = 0 THEN 'boundary' ELSE 'inside' END AS kind, w0 * h0 + w1 * h1 + w2 * h2 AS lo, w0 * h0 + w1 * h1 + w2 * h2 AS hi, abs(det) * q AS d FROM w WHERE det <> 0 AND w0 >= 0 AND w1 >= 0 AND w2 >= 0),
+wall AS (SELECT *, CASE WHEN x0 = x1 AND x1 = x2 THEN [z0, z1, z2] ELSE [x0, x1, x2] END AS u, CASE WHEN x0 = x1 AND x1 = x2 THEN pz ELSE px END AS p, [h0, h1, h2] AS hs FROM w WHERE det = 0 AND w0 = 0 AND w1 = 0 AND w2 = 0),
+side AS (SELECT *, unnest([1, 2, 3]) AS i FROM wall), side2 AS (SELECT *, i % 3 + 1 AS j FROM side),
+met AS (SELECT qid, face, hs[i] AS n, 1 AS d FROM side2 WHERE u[i] * q = p
+  UNION ALL SELECT qid, face, sign(u[j] - u[i]) * (hs[i] * q * (u[j] - u[i]) + (hs[j] - hs[i]) * (p - u[i] * q)), abs(u[j] - u[i]) * q FROM side2 WHERE least(u[i], u[j]) * q < p AND p < greatest(u[i], u[j]) * q),
+hv AS (SELECT wall.qid, wall.face, CASE WHEN (z1 - z0) * (h2 - h0) = (h1 - h0) * (z2 - z0) AND (h1 - h0) * (x2 - x0) = (x1 - x0) * (h2 - h0) THEN 'degenerate' ELSE 'vertical' END AS kind,
+  CAST(min(n * 30000 / d) AS BIGINT) AS lo, CAST(max(n * 30000 / d) AS BIGINT) AS hi, 30000 AS d FROM wall JOIN met USING (qid, face) GROUP BY ALL),
+every AS (SELECT * FROM h UNION ALL SELECT * FROM hv),
+surfaces AS (SELECT qid, face, kind, CAST(lo // gcd(lo, d) AS BIGINT) AS low_n, CAST(d // gcd(lo, d) AS BIGINT) AS low_d, CAST(hi // gcd(hi, d) AS BIGINT) AS high_n, CAST(d // gcd(hi, d) AS BIGINT) AS high_d FROM every)"""
+
+
+def _surface_points(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("qid"), ((F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 15000).alias("px"), ((F.col("l_partkey") * 53 + F.col("l_linenumber") * 7) % 12000).alias("pz"), F.lit(3).cast("long").alias("q"))
+
+
+@query(SURFACES + " SELECT * FROM surfaces")
 def j7_surfaces_at_points(spark, d):
-    """Exact rational heights of all surfaces over points with thirds."""
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R'")
-    points = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("qid"), ((F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 15000).alias("px"), ((F.col("l_partkey") * 53 + F.col("l_linenumber") * 7) % 12000).alias("pz"), F.lit(3).cast("long").alias("q"))
-    return tin.surfaces_at(faces(spark, d), points)
+    """Exact rational heights of all surfaces over points with thirds, walls and degenerate faces with their interval."""
+    return tin.surfaces_at(faces(spark, d), _surface_points(spark, d))
+
+
+@query(SURFACES + """, n AS (SELECT qid, count(*) AS hits, count(DISTINCT (low_n, low_d)) FILTER (kind IN ('inside', 'boundary')) AS heights, count(*) FILTER (kind NOT IN ('inside', 'boundary')) AS odd FROM surfaces GROUP BY qid)
+SELECT coalesce(CASE WHEN hits = odd THEN 'diagnostics' WHEN heights = 1 AND odd = 0 THEN 'single' WHEN heights = 1 THEN 'single_with_diagnostics' WHEN hits > 0 THEN 'multiple' END, 'empty') AS status, count(*) AS points FROM q LEFT JOIN n USING (qid) GROUP BY 1""")
+def a27_height_counts(spark, d):
+    """Points by the number of different exact heights over them."""
+    points = _surface_points(spark, d)
+    plain = F.col("kind").isin("inside", "boundary")
+    n = tin.surfaces_at(faces(spark, d), points).groupBy("qid").agg(F.count("*").alias("hits"), F.count_distinct(F.when(plain, F.struct("low_n", "low_d"))).alias("heights"), F.count_if(~plain).alias("odd"))
+    status = F.when(F.col("hits") == F.col("odd"), "diagnostics").when((F.col("heights") == 1) & (F.col("odd") == 0), "single").when(F.col("heights") == 1, "single_with_diagnostics").when(F.col("hits") > 0, "multiple").otherwise("empty")
+    return points.join(n, "qid", "left").groupBy(status.alias("status")).agg(F.count("*").alias("points"))
+
+
+@query(SURFACES + """, one AS (SELECT qid, any_value(low_n) AS n, any_value(low_d) AS d FROM surfaces GROUP BY qid HAVING count(*) = 1 AND any_value(kind) IN ('inside', 'boundary'))
+SELECT a.qid, CAST(b.n * a.d - a.n * b.d AS BIGINT) AS delta_n, CAST(a.d * b.d AS BIGINT) AS delta_d, abs(CAST(b.n AS DOUBLE) / b.d - CAST(a.n AS DOUBLE) / a.d) < 200 AS passable FROM one a JOIN one b ON b.qid = a.qid + 1""")
+def f24_height_delta(spark, d):
+    """Exact difference of heights from a point to the next, where each has one ordinary surface (also P17: less than 200)."""
+    one = tin.surfaces_at(faces(spark, d), _surface_points(spark, d)).groupBy("qid").agg(F.count("*").alias("hits"), F.first("kind").alias("kind"), F.first("low_n").alias("n"), F.first("low_d").alias("d")).where("hits = 1 AND kind IN ('inside', 'boundary')").select("qid", "n", "d")
+    after = one.select((F.col("qid") - 1).alias("qid"), F.col("n").alias("n2"), F.col("d").alias("d2"))
+    return one.join(after, "qid").select("qid", F.expr("n2 * d - n * d2").alias("delta_n"), F.expr("d * d2").alias("delta_d"), F.expr("abs(double(n2) / d2 - double(n) / d) < 200").alias("passable"))
 
 
 @query(FACES + """, rule AS (SELECT face, region, terrain, CASE terrain WHEN 16 THEN 0 WHEN 24 THEN 8 ELSE terrain END AS t, least(region, 15) AS r FROM faces),
@@ -397,7 +433,7 @@ UNION ALL SELECT s_suppkey, 'laea', round(CASE WHEN cos(p) * cos(l) < -1 + 1e-10
 UNION ALL SELECT s_suppkey, 'aeqd', round(CASE WHEN cos(p) * cos(l) < -1 + 1e-10 THEN 0 WHEN c < 1e-10 THEN cos(p) * sin(l) ELSE c / sin(c) * cos(p) * sin(l) END, 6), round(CASE WHEN cos(p) * cos(l) < -1 + 1e-10 THEN 0 WHEN c < 1e-10 THEN sin(p) ELSE c / sin(c) * sin(p) END, 6) FROM e)""")
 def f51_projections(spark, d):
     """Ten projections of all places."""
-    return _projected(spark, d, [n for n in sphere.PROJECTIONS if n not in ("mollweide", "robinson")])
+    return _projected(spark, d, [n for n in sphere.PROJECTIONS if n not in ("mollweide", "robinson", "globe")])
 
 
 def _projected(spark, d, names):
