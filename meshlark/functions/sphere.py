@@ -274,3 +274,80 @@ def split_at_antimeridian(points: Column) -> Column:
         return F.when((F.size(acc["open"]) > 0) & (F.abs(turn) > 180), crossed).otherwise(kept)
 
     return F.aggregate(points, start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+
+
+def polygon(ring: Column, radius: float = RADIUS) -> Column:
+    """status and area of a simple polygon of (lon, lat) on the sphere.
+
+    The first reason against it wins: vertex_count (3 to 512), repeated_vertex,
+    antipodal_edge, self_intersecting; the area is then 0.  The area is the sum of the
+    solid angles towards the middle direction of the corners, the smaller of both sides.
+    """
+    vectors = F.transform(ring, lambda p: F.struct(*[c.alias(n) for n, c in zip("xyz", vector(p["lon"], p["lat"]), strict=True)]))
+    dot = lambda a, b: a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+    triple = lambda a, b, c: a["x"] * (b["y"] * c["z"] - b["z"] * c["y"]) + a["y"] * (b["z"] * c["x"] - b["x"] * c["z"]) + a["z"] * (b["x"] * c["y"] - b["y"] * c["x"])
+    apart = lambda a, b, s: (a["x"] + s * b["x"]) ** 2 + (a["y"] + s * b["y"]) ** 2 + (a["z"] + s * b["z"]) ** 2
+
+    def of(v: Column) -> Column:
+        n = F.size(v)
+        at = lambda i: F.get(v, i % n)
+        after = lambda i, step, end: F.when(i + step <= end, F.sequence(i + step, end)).otherwise(F.array().cast("array<int>"))
+        every = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+        repeated = F.exists(every, lambda i: F.exists(after(i, 1, n - 1), lambda j: apart(at(i), at(j), -1) < 1e-20))
+        opposite = F.exists(every, lambda i: apart(at(i), at(i + 1), 1) < 1e-14)
+
+        def cross(i: Column, j: Column) -> Column:
+            a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
+            turns = [triple(a, c, b), triple(c, b, d), triple(b, d, a), triple(d, a, c)]
+            return (F.least(*turns) > 1e-15) | (F.greatest(*turns) < -1e-15)
+
+        crossed = F.exists(every, lambda i: F.exists(after(i, 2, n - 1), lambda j: ~((i == 0) & (j == n - 1)) & cross(i, j)))
+        sum_of = lambda f: F.aggregate(v, F.lit(0.0), lambda s, p: s + p[f])
+        total = {f: sum_of(f) for f in "xyz"}
+        length = F.sqrt(total["x"] ** 2 + total["y"] ** 2 + total["z"] ** 2)
+        middle = F.struct(*[(total[f] / F.when(length > 1e-12, length)).alias(f) for f in "xyz"])
+        wedge = lambda m: F.aggregate(every, F.lit(0.0), lambda s, i: s + 2 * F.atan2(triple(m, at(i), at(i + 1)), 1 + dot(m, at(i)) + dot(at(i), at(i + 1)) + dot(at(i + 1), m)))
+        excess = _once(middle, wedge)
+        angle = F.abs(F.pmod(excess + 2 * math.pi, F.lit(4 * math.pi)) - 2 * math.pi)
+        status = F.when((n < 3) | (n > 512), "vertex_count").when(repeated, "repeated_vertex").when(opposite, "antipodal_edge").when(crossed, "self_intersecting").otherwise("ok")
+        return _once(status, lambda s: F.struct(s.alias("status"), F.when(s == "ok", angle * radius * radius).otherwise(0.0).alias("area")))
+
+    return _once(vectors, of)
+
+
+def visibility(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:
+    """Cosine of a place's angle from the centre of the view: 0 on the horizon."""
+    return _seen_from(lon, lat, lon0, lat0)[2]
+
+
+def clipped_to_horizon(ring: Column, lon0: float, lat0: float) -> Column:
+    """The visible part of a small ring of (lon, lat) as points (lon, lat, added); fewer than three points are none.
+
+    Sides are straight in longitude and latitude; where one crosses the horizon a point is found by halving.
+    """
+    sees = lambda p: visibility(p["lon"], p["lat"], lon0, lat0) >= 0
+    empty = F.array().cast("array<struct<lon:double,lat:double,added:boolean>>")
+
+    def side(i: Column) -> Column:
+        b, a = F.get(ring, i), F.get(ring, F.when(i == 0, F.size(ring) - 1).otherwise(i - 1))
+        along = lambda t: F.struct((a["lon"] + t * (b["lon"] - a["lon"])).alias("lon"), (a["lat"] + t * (b["lat"] - a["lat"])).alias("lat"))
+        start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+        halve = lambda s, _: _once((s["lo"] + s["hi"]) / 2, lambda t: F.when(sees(along(t)) == sees(a), F.struct(t.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), t.alias("hi"))))
+        t = F.aggregate(F.sequence(F.lit(1), F.lit(54)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+        cut = _once(along(t), lambda p: F.array(F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), F.lit(True).alias("added"))))
+        own = F.array(F.struct(b["lon"].alias("lon"), b["lat"].alias("lat"), F.lit(False).alias("added")))
+        return F.concat(F.when(sees(a) != sees(b), cut).otherwise(empty), F.when(sees(b), own).otherwise(empty))
+
+    made = F.when(F.size(ring) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(ring) - 1), side))).otherwise(empty)
+    return _once(made, lambda c: F.when(F.size(c) >= 3, c).otherwise(empty))
+
+
+#: Intervals of a graticule in degrees, and how many pixels apart its lines should be (fixed values).
+INTERVALS = (90.0, 60.0, 45.0, 30.0, 20.0, 15.0, 10.0, 5.0, 2.0, 1.0, 0.5, 0.25, 0.1)
+NEAREST, LEAST_APART, MOST_APART = 120, 60, 190
+
+
+def interval(pixels: Column, current: float) -> Column:
+    """The graticule's interval at so many pixels a degree: the current one while it suits, else that nearest to the target by ratio (the wider of two)."""
+    cost = F.array_min(F.array(*[F.struct(F.round(F.abs(F.log(pixels * step / NEAREST)), 12).alias("cost"), F.lit(-step).alias("minus")) for step in INTERVALS]))
+    return F.when((pixels * current).between(LEAST_APART, MOST_APART), current).otherwise(-cost["minus"])

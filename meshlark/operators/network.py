@@ -123,3 +123,16 @@ def transfers(access: DataFrame, gateways: DataFrame, field: int, tri: int, most
             break
         known = cut(known.union(front))
     return known
+
+
+def reach_pairs(access: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs: field, start, target.  Those of which a walk inside the scene comes from start to target."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        arcs, rows = _arcs(left), []
+        for start, some in right.groupby("start"):
+            met = breadth_first(arcs, [start]) if start in arcs else {}
+            rows += [(key[0], start, t) for t in sorted(set(some["target"])) if t in met]
+        return pd.DataFrame(rows, columns=["field", "start", "target"])
+
+    return access.groupBy("field").cogroup(pairs.groupBy("field")).applyInPandas(run, "field long, start long, target long")

@@ -165,3 +165,52 @@ def _reduced(n: Column, d: Column) -> Column:
         return F.struct((x["n"] / g).cast("long").alias("n"), (x["d"] / g).cast("long").alias("d"))
 
     return F.element_at(F.transform(one, of), 1)
+
+
+def rational(text: Column) -> Column:
+    """A whole number, fraction, decimal or number with an exponent as n / d in lowest terms.
+
+    Null for any other text, one of more than 80 characters, a zero denominator, more
+    than 30 digits, and values beyond a million to either side.
+    """
+    ten = lambda k: F.concat(F.lit("1"), F.repeat(F.lit("0"), k)).cast("decimal(38,0)")
+    whole = lambda c: c.cast("decimal(38,0)")
+    part = lambda pattern, i: F.regexp_extract(text, pattern, i)
+    ratio, number = r"^([+-]?[0-9]{1,30})/([0-9]{1,30})$", r"^([+-]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]{1,2}))?$"
+    digits = F.concat(part(number, 2), part(number, 3))
+    shift = F.coalesce(F.when(part(number, 4) != "", part(number, 4)).cast("int"), F.lit(0)) - F.length(part(number, 3))
+    sign = F.when(part(number, 1) == "-", -1).otherwise(1)
+    pair = lambda n, d: F.struct(n.cast("decimal(38,0)").alias("n"), d.cast("decimal(38,0)").alias("d"))
+    plain = pair(whole(digits) * sign * ten(F.greatest(shift, F.lit(0))), ten(F.greatest(-shift, F.lit(0))))
+    found = F.when(text.rlike(ratio), F.when(whole(part(ratio, 2)) != 0, pair(whole(part(ratio, 1)), whole(part(ratio, 2))))).when(text.rlike(number) & F.length(digits).between(1, 30) & F.abs(shift).between(0, 30), plain)
+    found = F.when(F.length(text) <= 80, found)
+    # the value must fit: |n| <= 1e6 d
+    fits = lambda x: F.when(x.isNotNull() & (F.abs(x["n"]).cast("double") <= 1e6 * x["d"].cast("double")), _reduced(x["n"], x["d"]))
+    return F.element_at(F.transform(F.array(found), fits), 1)
+
+
+def clipped(ring: Column, axis: str, limit: Column) -> Column:
+    """The part of a ring of points (x, z, h) up to a limit along an axis, with heights along the cut.
+
+    A ring inside the limit is returned as it is; equal neighbours that a cut makes are one.
+    """
+    inside = lambda p: p[axis] <= limit
+
+    def side(i: Column) -> Column:
+        b = F.get(ring, i)
+        a = F.get(ring, F.when(i == 0, F.size(ring) - 1).otherwise(i - 1))
+        t = (limit - a[axis]) / F.when(b[axis] != a[axis], b[axis] - a[axis])
+        cut = F.struct(*[(limit if f == axis else a[f] + t * (b[f] - a[f])).alias(f) for f in "xzh"])
+        return F.concat(F.when(inside(a) != inside(b), F.array(cut)).otherwise(F.array().cast("array<struct<x:double,z:double,h:double>>")), F.when(inside(b), F.array(F.struct(*[b[f].alias(f) for f in "xzh"]))).otherwise(F.array().cast("array<struct<x:double,z:double,h:double>>")))
+
+    made = F.flatten(F.transform(F.sequence(F.lit(0), F.size(ring) - 1), side))
+    once = lambda c: F.filter(c, lambda p, i: (i == 0) | (p != F.get(c, i - 1)))
+    open_ = lambda c: F.when((F.size(c) > 1) & (F.get(c, F.lit(0)) == F.get(c, F.size(c) - 1)), F.slice(c, 1, F.size(c) - 1)).otherwise(c)
+    cleaned = F.element_at(F.transform(F.transform(F.array(made), once), open_), 1)
+    return F.when(F.forall(ring, inside), ring).otherwise(cleaned)
+
+
+def ring_area(name: str) -> Column:
+    """Signed area of a ring of points over x and z."""
+    turn = "aggregate(sequence(0, size({0}) - 1), 0D, (s, i) -> s + get({0}, i).x * get({0}, (i + 1) % size({0})).z - get({0}, (i + 1) % size({0})).x * get({0}, i).z) / 2"
+    return F.expr(turn.format(name))
