@@ -4,8 +4,9 @@ Texts are normalised to words (A-Z lower-cased; a word is a run of letters, digi
 non-ASCII characters).  Every distinct word of the benchmark gets a letter of its own,
 so that a text becomes a line with one letter for each word, other words being blank.
 Every window of ``window`` consecutive item words is a key of one automaton over these
-letters; each line is scanned once, and the places of a match are word numbers, which
-are mapped back to byte offsets of the original.
+letters; the lines of a batch are scanned once, and the places of a match are word
+numbers, which are mapped back to byte offsets of the original.  Letters of a batch are
+found by word hashes, all at once; a text with a match is scanned again by its words.
 
 The automaton is bounded in windows (``max_windows``, about 1 kB each at ten words): a
 larger benchmark gives several, which scan a group of batches one after another, so a
@@ -37,6 +38,7 @@ from meshlark.llm._worker import frugal
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _STRETCH = 1 << 20
+_INSIDE = np.frombuffer(_TO_WORDS, dtype=np.uint8) != 32
 #: Windows of one automaton, and megabytes of benchmark text that are broadcast at once.
 MAX_WINDOWS, MAX_BROADCAST_MB = 150_000, 64
 #: Bytes of text that meet all automata in turn before more is read.
@@ -72,7 +74,7 @@ def shards_of(items: Iterator[tuple[str, bytes]], window: int, max_windows: int)
 
 
 def build(shard: Shard, window: int) -> tuple:
-    """The automaton of a part, the letters of its words and its number of windows; a key's value is (its words, the numbers of its items)."""
+    """The automaton of a part, the letters of its words, its number of windows, and the sorted hashes of its words with their letters' numbers; a key's value is (its words, the numbers of its items)."""
     import ahocorasick
 
     letters: dict[bytes, str] = {}
@@ -89,7 +91,21 @@ def build(shard: Shard, window: int) -> tuple:
     for key, ids in found.items():
         made.add_word(key, (len(key), tuple(ids)))
     made.make_automaton()
-    return made, letters, len(found)
+    names = b" ".join(letters)
+    hashes, _ = _text.word_hashes(np.frombuffer(names, dtype=np.uint8), np.array([0, len(names)]), _INSIDE)
+    order = np.argsort(hashes)
+    return made, letters, len(found), hashes[order], np.array([ord(x) for x in letters.values()], dtype=np.uint32)[order]
+
+
+def rows_with_matches(made: tuple, hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Rows whose line, by the hashes of its words, holds a key."""
+    automaton, known, letters = made[0], made[3], made[4]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    line = np.zeros(len(hashes) + n, dtype="<u4")
+    place = np.arange(len(hashes)) + row  # a blank after each row, so that no match goes over its end
+    line[place] = np.where(known[at] == hashes, letters[at], 0)
+    ends = np.array([end for end, _ in automaton.iter(line.tobytes().decode("utf-32-le"))], dtype=np.int64)
+    return np.unique(row[np.searchsorted(place, ends)]) if len(ends) else ends
 
 
 def automaton_of(key: str, shard: Shard, window: int) -> tuple:
@@ -112,8 +128,8 @@ def line_of(text: bytes, letters: dict[bytes, str]) -> str:
 
 
 def scan(text: bytes, made: tuple, covered: list[tuple[int, int]], items: set[int]) -> int:
-    """Add the ranges of hit words (merged) and the items that occur; return the number of words."""
-    automaton, letters, _ = made
+    """Add the ranges of hit words (merged) and the items that occur, by the words themselves; return the number of words."""
+    automaton, letters = made[:2]
     line = line_of(text, letters)
     found: list[tuple[int, int]] = []
     for end, (size, ids) in automaton.iter(line):
@@ -185,21 +201,19 @@ def _scanned(state: DataFrame, own: list[str], shards: list[Shard], window: int,
             data, offsets = _text.text_buffer(batch.column(batch.schema.get_field_index("words_of")))
             ranges = [[(x["word_start"], x["word_end"]) for x in r] for r in batch.column(at).to_pylist()] if again else [[] for _ in range(n)]
             items = [set(x) for x in batch.column(batch.schema.get_field_index("items")).to_pylist()] if again else [set() for _ in range(n)]
-            sets.append((batch, data, offsets, ranges, items, np.zeros(n, dtype=np.int64)))
+            sets.append((batch, data, offsets, ranges, items, *_text.word_hashes(data, offsets, _INSIDE)))
         for key, value in sent:
             shard = value.value
             made = automaton_of(key, shard, window)
-            for _, data, offsets, ranges, items, counts in sets:
-                for i in range(len(counts)):
-                    if offsets[i + 1] > offsets[i]:
-                        ids: set[int] = set()
-                        counts[i] = scan(data[offsets[i] : offsets[i + 1]].tobytes(), made, ranges[i], ids)
-                        items[i].update(shard[j][0] for j in ids)
-        for batch, data, offsets, ranges, items, counts in sets:
+            for batch, data, offsets, ranges, items, hashes, row in sets:
+                for i in rows_with_matches(made, hashes, row, batch.num_rows).tolist():
+                    ids: set[int] = set()
+                    scan(data[offsets[i] : offsets[i + 1]].tobytes(), made, ranges[i], ids)
+                    items[i].update(shard[j][0] for j in ids)
+        for batch, data, offsets, ranges, items, _, row in sets:
             columns = [batch.column(batch.schema.get_field_index(c)) for c in own]
             found = [merged(r) for r in ranges]
-            if not sent:
-                counts = np.array([len(line_of(data[a:b].tobytes(), {})) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.int64)
+            counts = np.bincount(row, minlength=batch.num_rows)
             named = [sorted(x) for x in items]
             if last:
                 n_hit, hits = np.zeros(len(found), dtype=np.int64), []

@@ -44,7 +44,7 @@ from meshlark.llm.components import components
 SLOTS, BANDS, ROWS = 128, 25, 5
 WIDTH = 5
 #: Shingles of a block.
-BLOCK = 1_000_000
+BLOCK = 250_000
 #: Members that meet a copy of their bucket's centre in one part.
 STAR = 256
 #: Shingles that are sketched together.
