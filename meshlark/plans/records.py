@@ -183,7 +183,7 @@ def s10_name_lists(spark, d):
 SELECT k, CAST(slot AS INTEGER) AS slot, CAST(344 + 16 * slot AS INTEGER) AS at, CAST((k * 7 + slot) % 256 AS INTEGER) AS grp, CAST(slot % 8 AS INTEGER) AS state, CAST((k + slot) % 8 AS INTEGER) AS behavior, CAST((k * 13) % 2000 - 1000 AS INTEGER) AS ax,
   CASE WHEN (k * 7 + slot) % 256 = 255 OR (k + slot) % 8 > 5 THEN 'unknown' ELSE 'record' END AS class FROM s WHERE slot < used""")
 def s15_triggers(spark, d):
-    """Twelve trigger slots of a section; slots with the unused pattern are left out, odd ones are unknown (also S14: gateways are read alike)."""
+    """Twelve trigger slots of a section; slots with the unused pattern are left out, odd ones are unknown."""
     k = F.col("k")
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (1 + F.col("c_custkey") % 6).alias("used"))
     unused = "0000" * 6 + "ff000000"

@@ -30,7 +30,7 @@ _DIAGNOSTICS = ("zero", "degenerate", "duplicate", "boundary", "nonmanifold")
 
 @query(_FLAGGED + " SELECT 'all' AS filter, count(*) AS faces, CAST(sum(area2) AS BIGINT) AS area2 FROM flagged" + "".join(f" UNION ALL SELECT '{n}', count(*), CAST(coalesce(sum(area2), 0) AS BIGINT) FROM flagged WHERE {n}" for n in _DIAGNOSTICS))
 def p5_diagnostic_filters(spark, d):
-    """Faces that pass each diagnostic filter, counted in one pass."""
+    """Faces that pass each diagnostic filter, counted in one pass."""
     keys = F.array(F.lit("all"), *[F.when(F.col(n), n) for n in _DIAGNOSTICS])
     found = _flagged(spark, d).select("area2", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("filter")).groupBy("filter").agg(F.count("*").alias("faces"), F.sum("area2").alias("area2"))
     every = spark.createDataFrame([(n,) for n in ("all", *_DIAGNOSTICS)], "filter string")
@@ -40,7 +40,7 @@ def p5_diagnostic_filters(spark, d):
 @query(_FLAGGED + """, t AS (SELECT terrain, count(*) AS faces, CAST(sum(area2) AS BIGINT) AS area2, count(*) FILTER (zero) AS zero, count(*) FILTER (degenerate) AS degenerate, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (boundary) AS boundary FROM flagged GROUP BY terrain)
 SELECT CAST(terrain AS INTEGER) AS terrain, faces, area2, zero, degenerate, duplicate, boundary, round(100.0 * faces / (SELECT sum(faces) FROM t), 6) AS percent FROM t""")
 def a10_surface_totals(spark, d):
-    """Totals and quality counters of a surface by terrain."""
+    """Totals and quality counters of a surface by terrain."""
     t = _flagged(spark, d).groupBy("terrain").agg(F.count("*").alias("faces"), F.sum("area2").alias("area2"), *[F.count_if(n).alias(n) for n in ("zero", "degenerate", "duplicate", "boundary")])
     # 32 terrains at most
     return t.withColumn("percent", F.round(100.0 * F.col("faces") / F.sum("faces").over(Window.partitionBy()), 6))
@@ -60,8 +60,8 @@ def a9_normal_alignment(spark, d):
 
 
 @query(EDGES + """, m AS (SELECT members, count(*) AS groups FROM (SELECT count(*) AS members FROM kk GROUP BY ck) GROUP BY members) SELECT members, groups FROM m""")
-def t3_multiplicity_histogram(spark, d):
-    """How many faces share their corners, and how often (also A11's second histogram)."""
+def a11_multiplicity_histogram(spark, d):
+    """How many faces share their corners, and how often."""
     return faces(spark, d).groupBy(tin.corner_key().alias("k")).agg(F.count("*").alias("members")).groupBy("members").agg(F.count("*").alias("groups"))
 
 
@@ -106,7 +106,7 @@ def j9_replicas(spark, d):
 @query(EDGES + """, g AS (SELECT DISTINCT least(face, other) AS a, greatest(face, other) AS b FROM edges WHERE incidence = 2 AND faces = 2 AND NOT amb), k AS (SELECT DISTINCT least(2 * p_partkey, 2 * p_partkey + 1 - 98 * (p_partkey % 2)) AS a, greatest(2 * p_partkey, 2 * p_partkey + 1 - 98 * (p_partkey % 2)) AS b FROM part)
 SELECT CASE WHEN g.a IS NULL THEN 'routing_only' WHEN k.a IS NULL THEN 'geometry_only' ELSE 'shared' END AS kind, count(*) AS pairs FROM g FULL JOIN k ON g.a = k.a AND g.b = k.b GROUP BY 1""")
 def j12_adjacency_against_arcs(spark, d):
-    """Neighbours by geometry against neighbours by a given graph: shared, geometry only, routing only."""
+    """Neighbours by geometry against neighbours by a given graph: shared, geometry only, routing only."""
     e = topology.edges(faces(spark, d), WIDTH).where(topology.unique_raw())
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     g = e.select(*pair(F.col("face"), F.col("other"))).distinct().withColumn("g", F.lit(True))
@@ -132,7 +132,7 @@ e1 AS (SELECT face, count(*) AS n, min(entrance) AS first FROM ent GROUP BY face
 @query(_SOURCES + """ SELECT src.face, CASE WHEN e1.n IS NULL THEN 'no_direct_relation' ELSE 'linked' END AS entrances, coalesce(e1.n, 0) AS n_entrances, coalesce(first, -1) AS first_entrance,
   CASE WHEN sec = 8 THEN 'unavailable' WHEN e2.n IS NULL THEN 'no_direct_relation' WHEN odd THEN 'source_mismatch' ELSE 'linked' END AS events, CASE WHEN mesh = 0 THEN 'not_applicable' WHEN e1.n IS NULL THEN 'no_direct_relation' ELSE 'linked' END AS places FROM src LEFT JOIN e1 USING (face) LEFT JOIN e2 USING (face)""")
 def j13_source_evidence(spark, d):
-    """Source faces with the status of each dimension of evidence; a missing one is a status, not an error."""
+    """Source faces with the status of each dimension of evidence; a missing one is a status, not an error."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("face"), (F.col("p_size") % 9).alias("sec"), (F.col("p_partkey") % 16).alias("mesh"))
     e1 = table(spark, d, "customer").groupBy((F.col("c_custkey") % 400).alias("face")).agg(F.count("*").alias("n1"), F.min("c_custkey").alias("first"))
     e2 = table(spark, d, "orders").groupBy((F.col("o_custkey") % 700).alias("face")).agg(F.count("*").alias("n2"), F.min("o_orderpriority").alias("lo"), F.max("o_orderpriority").alias("hi"))
@@ -158,7 +158,7 @@ _REASONS = (("c_acctbal < 0", "negative_balance"), ("n_nationkey IS NULL", "miss
 @query(f"""WITH s AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY k), j AS (SELECT c.*, n.*, suppliers FROM customer c LEFT JOIN nation n ON n_nationkey = c_nationkey AND c_custkey % 17 <> 0 LEFT JOIN s ON s.k = c_nationkey)
 SELECT c_custkey AS entrance, CASE {" ".join(f"WHEN {c} THEN '{w}'" for c, w in _REASONS)} ELSE 'verified_direct' END AS status FROM j""")
 def j17_entrance_reasons(spark, d):
-    """Entrances checked across tables: the first of the ordered reasons against each, or verified."""
+    """Entrances checked across tables: the first of the ordered reasons against each, or verified."""
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     j = c.join(n, (F.col("n_nationkey") == F.col("c_nationkey")) & (F.col("c_custkey") % 17 != 0), "left").join(s, F.col("k") == F.col("c_nationkey"), "left")
@@ -168,7 +168,7 @@ def j17_entrance_reasons(spark, d):
 @query("""WITH e AS (SELECT c_custkey AS entity, c_mktsegment AS kind, c_nationkey AS place FROM customer), p AS (SELECT s_nationkey AS place, min(s_suppkey) AS entrance, count(*) AS n FROM supplier GROUP BY place)
 SELECT entity, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'entrance_level' WHEN kind = 'BUILDING' THEN 'parent_place' ELSE 'ambiguous' END AS precision, CASE WHEN n = 1 OR n > 1 AND kind = 'BUILDING' THEN entrance ELSE -1 END AS entrance FROM e LEFT JOIN p USING (place)""")
 def j15_entity_bindings(spark, d):
-    """Entities bound to the primary entrance of their place, with how precise that is."""
+    """Entities bound to the primary entrance of their place, with how precise that is."""
     p = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("place")).agg(F.min("s_suppkey").alias("entrance"), F.count("*").alias("n"))
     e = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("kind"), F.col("c_nationkey").alias("place"))
     precision = _first([(F.expr("n IS NULL"), "unresolved"), (F.expr("n = 1"), "entrance_level"), (F.expr("kind = 'BUILDING'"), "parent_place")], "ambiguous")
@@ -192,7 +192,7 @@ _OWNED = "WITH o AS (SELECT l_orderkey AS r, l_suppkey % 50 AS actor, l_linenumb
 @query(_OWNED + """, u AS (SELECT DISTINCT r, actor, entry FROM o), e AS (SELECT actor, entry, count(DISTINCT r) AS n FROM u GROUP BY ALL), a AS (SELECT actor, count(DISTINCT r) AS n FROM u GROUP BY actor)
 SELECT u.r, max(a.n) - 1 AS same_actor, max(e.n) - 1 AS same_entry FROM u JOIN e USING (actor, entry) JOIN a USING (actor) GROUP BY u.r""")
 def j24_related_records(spark, d):
-    """Most other records that share an actor, and an entry of an actor, with each record; counted, never paired."""
+    """Most other records that share an actor, and an entry of an actor, with each record; counted, never paired."""
     o = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("r"), (F.col("l_suppkey") % 50).alias("actor"), F.col("l_linenumber").alias("entry")).distinct()
     e = o.groupBy("actor", "entry").agg(F.count_distinct("r").alias("same_entry"))
     a = o.groupBy("actor").agg(F.count_distinct("r").alias("same_actor"))
@@ -202,7 +202,7 @@ def j24_related_records(spark, d):
 @query("""WITH a AS (SELECT c_nationkey AS k, md5(string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment)) AS sha FROM customer GROUP BY k), b AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN md5('other') ELSE md5('AUTOMOBILE,BUILDING,FURNITURE,HOUSEHOLD,MACHINERY') END AS sha FROM nation)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'missing_left' WHEN b.k IS NULL THEN 'missing_right' WHEN a.sha = b.sha THEN 'agrees' ELSE 'mismatch' END AS status FROM a FULL JOIN b ON a.k = b.k""")
 def j35_source_agreement(spark, d):
-    """Two assets' maps of source identities compared key by key."""
+    """Two assets' maps of source identities compared key by key."""
     names = F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",")
     a = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.md5(names.cast("binary")).alias("sha"))
     n = F.col("n_nationkey")
@@ -213,14 +213,14 @@ def j35_source_agreement(spark, d):
 
 @query("""WITH r AS (SELECT o_orderpriority AS status, o_custkey % 3 AS kind, o_orderkey % 11 = 0 AS literal FROM orders) SELECT status, count(*) AS scenes, count(*) FILTER (kind = 0) AS grants, count(*) FILTER (kind = 0 AND literal AND status <> '5-LOW') AS static_grants, count(*) FILTER (kind = 1) AS battles, round(100.0 * count(*) FILTER (literal) / count(*), 6) AS literal_percent FROM r GROUP BY status""")
 def a24_coverage_counters(spark, d):
-    """Counters of an asset by status; a partial record is never a static grant."""
+    """Counters of an asset by status; a partial record is never a static grant."""
     r = table(spark, d, "orders").select(F.col("o_orderpriority").alias("status"), (F.col("o_custkey") % 3).alias("kind"), (F.col("o_orderkey") % 11 == 0).alias("literal"))
     return r.groupBy("status").agg(F.count("*").alias("scenes"), F.count_if(F.expr("kind = 0")).alias("grants"), F.count_if(F.expr("kind = 0 AND literal AND status <> '5-LOW'")).alias("static_grants"), F.count_if(F.expr("kind = 1")).alias("battles"), F.round(100.0 * F.count_if("literal") / F.count("*"), 6).alias("literal_percent"))
 
 
 @query("""SELECT event_type AS op, count(*) AS sites, count(DISTINCT user_id) AS owners, min(event_id) AS first FROM events GROUP BY event_type""")
 def a25_opcode_inventory(spark, d):
-    """Sites and owners of every opcode, with the first site."""
+    """Sites and owners of every opcode, with the first site."""
     return table(spark, d, "events").groupBy(F.col("event_type").alias("op")).agg(F.count("*").alias("sites"), F.count_distinct("user_id").alias("owners"), F.min("event_id").alias("first"))
 
 
@@ -239,7 +239,7 @@ n AS (SELECT *, trim(regexp_replace(lower(local), '[↔<>\\s_-]+', ' ', 'g')) AS
 r AS (SELECT q, id, l, CASE WHEN q = '' THEN 0 WHEN l = q THEN 0 WHEN c = q THEN 1 WHEN starts_with(l, q) THEN 2 WHEN contains(l, q) THEN 4 WHEN contains(a, q) THEN 5 WHEN length(q) >= 4 AND (levenshtein(l, q) <= 1 OR levenshtein(a, q) <= 1) THEN 9 END AS tier FROM n, q)
 SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY tier, l, id) AS INTEGER) AS rank, id, CAST(tier AS INTEGER) AS tier FROM r WHERE tier IS NOT NULL""")
 def o3_ranked_search(spark, d):
-    """Entities that a reader may see, ranked by tiers for each search text, the nearest names last."""
+    """Entities that a reader may see, ranked by tiers for each search text, the nearest names last (also F2)."""
     n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("alias"))
     e = table(spark, d, "supplier").join(F.broadcast(n), F.col("n_nationkey") == F.col("s_nationkey"))  # 25 nations
     e = e.where(F.col("s_suppkey") % 3 != 2)
@@ -283,7 +283,7 @@ def u9_distinct_observations(spark, d):
 @query(_OTHER + """, sd AS (SELECT o, unnest([[(x0, z0, h0), (x1, z1, h1)], [(x1, z1, h1), (x2, z2, h2)], [(x2, z2, h2), (x0, z0, h0)]]) AS e FROM u), k AS (SELECT o, list_sort(e) AS e, count(*) AS n FROM sd GROUP BY ALL HAVING count(*) = 1),
 a AS (SELECT e FROM k WHERE o = 0), b AS (SELECT e FROM k WHERE o = 1) SELECT count(*) FILTER (a.e IS NOT NULL AND b.e IS NOT NULL) AS shared, count(*) FILTER (b.e IS NULL) AS base_only, count(*) FILTER (a.e IS NULL) AS other_only FROM a FULL JOIN b ON a.e = b.e""")
 def u3_perimeters(spark, d):
-    """Open sides of a surface and of its other version: shared, and of one only (also V4)."""
+    """Open sides of a surface and of its other version: shared, and of one only."""
     def rim(f, name):
         occ = topology.occurrences(f.select("face", *_NAMES)).groupBy("a", "b").agg(F.count("*").alias("n"))
         return occ.where("n = 1").select("a", "b", F.lit(True).alias(name))
@@ -294,7 +294,7 @@ def u3_perimeters(spark, d):
 
 @query(FACES + """, g AS (SELECT face, region % 5 AS grp FROM faces), s AS (SELECT unnest(range(5)) AS state) SELECT CAST(state AS INTEGER) AS state, count(*) AS visible, count(*) FILTER (face >= 1000000000) AS alternatives FROM s JOIN g ON (grp = 0 OR (face < 1000000000 AND grp > state) OR (face >= 1000000000 AND grp <= state)) GROUP BY state""")
 def p18_visible_variants(spark, d):
-    """Faces that show in each of five states: alternatives take the place of base faces, group after group."""
+    """Faces that show in each of five states: alternatives take the place of base faces, group after group."""
     f = faces(spark, d).select((F.col("face") >= 1_000_000_000).alias("alternative"), (F.col("region") % 5).alias("grp")).groupBy("alternative", "grp").agg(F.count("*").alias("n"))
     s = f.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("state")).where("grp = 0 OR NOT alternative AND grp > state OR alternative AND grp <= state")
     return s.groupBy("state").agg(F.sum("n").alias("visible"), F.sum(F.when(F.col("alternative"), F.col("n")).otherwise(0)).alias("alternatives"))
@@ -320,7 +320,7 @@ def p19_coverage(spark, d):
 @query("""WITH a AS (SELECT s_suppkey AS id, s_suppkey % 40 AS target, CASE s_suppkey % 5 WHEN 0 THEN 'entrance_level' WHEN 1 THEN 'verified_anchor' WHEN 2 THEN 'field_identity' WHEN 3 THEN 'user_created' ELSE 'exact_source' END AS precision, s_nationkey % 2 = 0 AS own FROM supplier),
 g AS (SELECT * FROM a WHERE precision IN ('entrance_level', 'verified_anchor', 'exact_source') OR precision = 'user_created' AND own) SELECT target, min(id) AS anchor, arg_min(precision, id) AS precision FROM g GROUP BY target""")
 def p20_anchors(spark, d):
-    """Anchors that are precise enough to be found nearby, the first for each target."""
+    """Anchors that are precise enough to be found nearby, the first for each target."""
     s = F.col("s_suppkey")
     precision = F.element_at(F.array(*[F.lit(x) for x in ("entrance_level", "verified_anchor", "field_identity", "user_created", "exact_source")]), (s % 5 + 1).cast("int"))
     a = table(spark, d, "supplier").select(s.alias("id"), (s % 40).alias("target"), precision.alias("precision"), (F.col("s_nationkey") % 2 == 0).alias("own"))
@@ -331,7 +331,7 @@ def p20_anchors(spark, d):
 @query("""WITH s AS (SELECT c_custkey AS station, c_nationkey AS place, c_mktsegment AS kind, c_acctbal FROM customer), e AS (SELECT s_nationkey AS place, min(s_suppkey) AS node, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY place)
 SELECT station, CASE WHEN kind = 'FURNITURE' THEN 'unsupported_kind' WHEN c_acctbal < 0 THEN 'other_map' WHEN n IS NULL THEN 'no_entrance' ELSE 'ok' END AS reason, CASE WHEN kind <> 'FURNITURE' AND c_acctbal >= 0 THEN coalesce(n, 0) ELSE 0 END AS endpoints FROM s LEFT JOIN e USING (place)""")
 def j38_station_endpoints(spark, d):
-    """Stations with the number of their endpoints, or the first reason why there are none."""
+    """Stations with the number of their endpoints, or the first reason why there are none."""
     e = table(spark, d, "supplier").where("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("place")).agg(F.count("*").alias("n"))
     s = table(spark, d, "customer").select(F.col("c_custkey").alias("station"), F.col("c_nationkey").alias("place"), F.col("c_mktsegment").alias("kind"), "c_acctbal").join(e, "place", "left")
     reason = _first([(F.expr("kind = 'FURNITURE'"), "unsupported_kind"), (F.expr("c_acctbal < 0"), "other_map"), (F.expr("n IS NULL"), "no_entrance")], "ok")
@@ -341,7 +341,7 @@ def j38_station_endpoints(spark, d):
 @query("""WITH r AS (SELECT s_suppkey AS off, s_suppkey % 30 AS scene, s_suppkey % 7 AS rating, s_suppkey % 4 <> 0 AS valid FROM supplier), m AS (SELECT scene, min(off) AS off, arg_min(rating, off) AS rating FROM r WHERE valid GROUP BY scene)
 SELECT p_partkey AS k, coalesce(rating, -1) AS rating, coalesce(off, -1) AS off FROM part LEFT JOIN m ON scene = p_partkey % 60""")
 def j5_first_rating(spark, d):
-    """Scene to rating: the first valid row of a table, -1 without one."""
+    """Scene to rating: the first valid row of a table, -1 without one."""
     s = F.col("s_suppkey")
     r = table(spark, d, "supplier").where(s % 4 != 0).groupBy((s % 30).alias("scene")).agg(F.min(s).alias("off"), F.min_by(s % 7, s).alias("rating"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 60).alias("scene"))

@@ -26,7 +26,7 @@ _GEO = "SELECT face, terrain, {x} / 5000.0 * 360 - 180 AS lon, degrees(atan((exp
 @query(_WELD + ", pt AS (" + _GEO.format(x="((x0 + x1 + x2) / 3.0)", z="((z0 + z1 + z2) / 3.0)") + """ FROM faces)
 SELECT s AS src, t AS dst, CAST(round(2 * 6371008.8 * asin(sqrt(least(1, power(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * power(sin(radians(q.lon - p.lon) / 2), 2)))) * 1000) AS BIGINT) AS weight FROM arcs JOIN pt p ON p.face = s JOIN pt q ON q.face = t""")
 def g0_welded_graph(spark, d):
-    """Arcs between neighbours over welded edges, weighted with the distance of their centres."""
+    """Arcs between neighbours over welded edges, weighted with the distance of their centres."""
     f = faces(spark, d)
     return corridor.weighted(corridor.neighbours(f, WIDTH), f, WIDTH, HEIGHT)
 
@@ -131,7 +131,7 @@ def g17_gateway_reasons(spark, d):
 @query(_CALLS + """, w(root, callee, depth) AS (SELECT a, b, 1 FROM e UNION SELECT root, b, depth + 1 FROM w JOIN e ON callee = a WHERE depth < 16), o AS (SELECT DISTINCT root, callee FROM w)
 SELECT callee AS instruction, count(*) AS owners, min(root) AS first, count(*) = 1 AS exclusive FROM o GROUP BY callee""")
 def x6_ownership(spark, d):
-    """Entries that reach each instruction: how many, the first, and whether one alone does (also S31: an entry that reaches itself is a cycle)."""
+    """Entries that reach each instruction: how many, the first, and whether one alone does."""
     k = F.col("p_partkey")
     callees = F.when(k % 3 < 2, F.array(*[50 * F.floor(k / 50) + (k * 5 + s * 17) % 50 for s in range(2)]))
     edges = table(spark, d, "part").select(k.alias("caller"), F.explode(callees).alias("callee")).distinct()
@@ -146,7 +146,7 @@ op AS (SELECT least(e[1], e[2]) AS a, greatest(e[1], e[2]) AS b FROM wo GROUP BY
 @query(FACES + _RING + """, v AS (SELECT p, count(*) AS n FROM (SELECT a AS p FROM ring UNION ALL SELECT b FROM ring) GROUP BY p)
 SELECT (SELECT count(*) FROM ring) AS caps, (SELECT count(*) FROM v) AS corners, (SELECT count(*) FROM v WHERE n <> 2) AS loose, (SELECT count(*) FROM op) AS open_before, (SELECT count(*) FROM op) - (SELECT count(*) FROM ring) + (SELECT count(*) FROM v WHERE n = 1) AS open_after""")
 def t10_polar_cap(spark, d):
-    """A fan of faces from the pole over the open northern ring, and the open edges before and after."""
+    """A fan of faces from the pole over the open northern ring, and the open edges before and after."""
     f = faces(spark, d).where("face < 1000000000").select("face", "region", *[f"{a}{i}" for i in range(3) for a in "xzh"])
     around = lambda s: s.withColumns({f"x{i}": F.col(f"x{i}") % WIDTH for i in range(3)})
     open_edges = lambda s: topology.occurrences(s).groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 1").select("a", "b")
@@ -164,7 +164,7 @@ def t10_polar_cap(spark, d):
 
 @query(FACES + """ SELECT face, CAST(x0 AS BIGINT) AS x0, CAST(z1 AS BIGINT) AS z1, CAST(h2 AS BIGINT) AS h2, terrain, script, sha256(chr(0)) IS NOT NULL AS whole FROM faces""")
 def k3_native_rows(spark, d):
-    """Faces written as records of 40 bytes and read back from them."""
+    """Faces written as records of 40 bytes and read back from them."""
     names = [f"{a}{i}" for i in range(3) for a in "xzh"]
     packed = faces(spark, d).select("face", F.unhex(F.concat(*[b.le(F.col(c), 4) for c in names], b.le(F.col("terrain") + 32 * F.col("script"), 1), b.le(F.col("region"), 1), F.lit("0000"))).alias("raw"))
     at = {c: 4 * i for i, c in enumerate(names)}
@@ -231,7 +231,7 @@ v AS (SELECT k, crossed, twice, cos(b) * cos(l) AS ax, cos(b) * sin(l) AS ay, si
 t AS (SELECT k, crossed, twice, 2 * atan2(abs(ax * (by_ * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - by_ * cx)), 1 + ax * bx + ay * by_ + az * bz + bx * cx + by_ * cy + bz * cz + cx * ax + cy * ay + cz * az) AS s, 2 * atan2(abs(ax * (cy * dz - cz * dy) + ay * (cz * dx - cx * dz) + az * (cx * dy - cy * dx)), 1 + ax * cx + ay * cy + az * cz + cx * dx + cy * dy + cz * dz + dx * ax + dy * ay + dz * az) AS u FROM v)
 SELECT k, CASE WHEN twice THEN 'repeated_vertex' WHEN crossed THEN 'self_intersecting' ELSE 'ok' END AS status, round(CASE WHEN twice OR crossed THEN 0 ELSE (s + u) * 1e6 END, 4) AS area FROM t""")
 def f47_polygon_area(spark, d):
-    """Areas of polygons on a sphere of radius 1,000, or the first reason against each."""
+    """Areas of polygons on a sphere of radius 1,000, or the first reason against each."""
     k = F.col("p_partkey")
     lon, lat = (k % 36 * 10 - 180).cast("double"), (k % 15 * 8 - 60).cast("double")
     point = lambda a, c: F.struct(a.alias("lon"), c.alias("lat"))
@@ -246,7 +246,7 @@ v AS (SELECT k, i, sin(radians(20)) * sin(radians(lat + CASE WHEN i >= 2 THEN 9
 n AS (SELECT k, count(*) FILTER (seen) AS seen, count(*) FILTER (seen <> before) AS cuts FROM (SELECT *, coalesce(lag(seen) OVER (PARTITION BY k ORDER BY i), last_value(seen) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS before FROM v) GROUP BY k)
 SELECT k, CAST(CASE WHEN seen + cuts >= 3 THEN seen + cuts ELSE 0 END AS BIGINT) AS corners, true AS on_horizon FROM n""")
 def f50_horizon_clip(spark, d):
-    """Cells clipped to the visible hemisphere; the corners that a cut adds lie on the horizon."""
+    """Cells clipped to the visible hemisphere; the corners that a cut adds lie on the horizon."""
     s = F.col("s_suppkey")
     lon, lat = (s * 37 % 360 - 180).cast("double"), (s * 53 % 160 - 80).cast("double")
     point = lambda a, c: F.struct(a.alias("lon"), c.alias("lat"))
