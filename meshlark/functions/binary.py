@@ -47,9 +47,13 @@ CRC = _crc_table()
 def crc16(raw: Column, start: int = 0) -> Column:
     """CRC-16 (start value 0xFFFF, all bits turned at the end) of the bytes from ``start`` on."""
     table = F.split(F.lit(",".join(map(str, CRC))), ",").cast("array<int>")
-    step = lambda crc, i: F.element_at(table, F.shiftright(crc, 8).bitwiseXOR(u8(raw, i)) + 1).bitwiseXOR(F.shiftleft(crc, 8).bitwiseAND(0xFFFF))
-    places = F.when(F.length(raw) > start, F.sequence(F.lit(start), F.length(raw) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(0xFFFF), step).bitwiseXOR(0xFFFF)
+
+    def of(own: Column) -> Column:
+        step = lambda crc, i: F.element_at(table, F.shiftright(crc, 8).bitwiseXOR(u8(own, i)) + 1).bitwiseXOR(F.shiftleft(crc, 8).bitwiseAND(0xFFFF))
+        places = F.when(F.length(own) > start, F.sequence(F.lit(start), F.length(own) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.lit(0xFFFF), step).bitwiseXOR(0xFFFF)
+
+    return F.element_at(F.transform(F.array(raw), of), 1)  # the bytes are computed once, not for each step
 
 
 def wrap32(n: Column) -> Column:

@@ -276,12 +276,14 @@ def split_at_antimeridian(points: Column) -> Column:
     return F.aggregate(points, start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
 
 
-def polygon(ring: Column, radius: float = RADIUS) -> Column:
+def polygon(ring: Column, radius: float = RADIUS, hemisphere: bool = False) -> Column:
     """status and area of a simple polygon of (lon, lat) on the sphere.
 
     The first reason against it wins: vertex_count (3 to 512), repeated_vertex,
-    antipodal_edge, self_intersecting; the area is then 0.  The area is the sum of the
-    solid angles towards the middle direction of the corners, the smaller of both sides.
+    antipodal_edge, self_intersecting, and, if asked, no_hemisphere (corners that don't lie
+    within less than half the sphere around their middle); the area is then 0.  The area is
+    the sum of the solid angles towards the middle direction of the corners, the smaller of
+    both sides.
     """
     vectors = F.transform(ring, lambda p: F.struct(*[c.alias(n) for n, c in zip("xyz", vector(p["lon"], p["lat"]), strict=True)]))
     dot = lambda a, b: a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
@@ -309,7 +311,8 @@ def polygon(ring: Column, radius: float = RADIUS) -> Column:
         wedge = lambda m: F.aggregate(every, F.lit(0.0), lambda s, i: s + 2 * F.atan2(triple(m, at(i), at(i + 1)), 1 + dot(m, at(i)) + dot(at(i), at(i + 1)) + dot(at(i + 1), m)))
         excess = _once(middle, wedge)
         angle = F.abs(F.pmod(excess + 2 * math.pi, F.lit(4 * math.pi)) - 2 * math.pi)
-        status = F.when((n < 3) | (n > 512), "vertex_count").when(repeated, "repeated_vertex").when(opposite, "antipodal_edge").when(crossed, "self_intersecting").otherwise("ok")
+        wide = F.lit(hemisphere) & ((length <= 1e-12) | F.exists(v, lambda p: dot(p, middle) <= 1e-6))
+        status = F.when((n < 3) | (n > 512), "vertex_count").when(repeated, "repeated_vertex").when(opposite, "antipodal_edge").when(crossed, "self_intersecting").when(wide, "no_hemisphere").otherwise("ok")
         return _once(status, lambda s: F.struct(s.alias("status"), F.when(s == "ok", angle * radius * radius).otherwise(0.0).alias("area")))
 
     return _once(vectors, of)

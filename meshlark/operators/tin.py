@@ -128,9 +128,11 @@ def surfaces_at(faces: DataFrame, points: DataFrame, cell: int = 100) -> DataFra
     met = cells.join(at, ["level", "cx", "cz"]).where("px BETWEEN minx * q AND maxx * q AND pz BETWEEN minz * q AND maxz * q")
     met = met.withColumns({f"w{k}": turn((k + 1) % 3, (k + 2) % 3) * sign for k in range(3)}).where("w0 >= 0 AND w1 >= 0 AND w2 >= 0 AND (det <> 0 OR w0 = 0 AND w1 = 0 AND w2 = 0)")
     n, d = F.col("w0") * F.col("h0") + F.col("w1") * F.col("h1") + F.col("w2") * F.col("h2"), F.col("area2") * F.col("q")
-    plain = F.struct(n.cast("decimal(38,0)").alias("low"), n.cast("decimal(38,0)").alias("high"), d.cast("decimal(38,0)").alias("d"))
-    met = met.select("qid", "face", F.when(F.col("det") == 0, F.when(F.col("degenerate_3d"), "degenerate").otherwise("vertical")).when(F.least("w0", "w1", "w2") == 0, "boundary").otherwise("inside").alias("kind"), F.when(F.col("det") != 0, plain).otherwise(_wall()).alias("h"))
-    low, high = _reduced(F.col("h.low"), F.col("h.d")), _reduced(F.col("h.high"), F.col("h.d"))
+    kind = F.when(F.col("det") == 0, F.when(F.col("degenerate_3d"), "degenerate").otherwise("vertical")).when(F.least("w0", "w1", "w2") == 0, "boundary").otherwise("inside")
+    met = met.select("qid", "face", kind.alias("kind"), F.when(F.col("det") != 0, _reduced(n, d, "long")).alias("one"), F.when(F.col("det") == 0, _wall()).alias("h"))
+    # one height for a surface, an interval for the few others
+    low = F.when(F.col("h").isNull(), F.col("one")).otherwise(_reduced(F.col("h.low"), F.col("h.d")))
+    high = F.when(F.col("h").isNull(), F.col("one")).otherwise(_reduced(F.col("h.high"), F.col("h.d")))
     return met.select("qid", "face", "kind", low.alias("l"), high.alias("u")).select("qid", "face", "kind", F.col("l.n").alias("low_n"), F.col("l.d").alias("low_d"), F.col("u.n").alias("high_n"), F.col("u.d").alias("high_d"))
 
 
@@ -154,15 +156,16 @@ def _wall() -> Column:
     return F.struct(F.least(*found).alias("low"), F.greatest(*found).alias("high"), whole.alias("d"))
 
 
-def _reduced(n: Column, d: Column) -> Column:
-    """n / d > 0 in lowest terms, by as many steps of Euclid's algorithm as the denominator can need."""
-    one = F.array(F.struct(n.alias("n"), d.alias("d")))
+def _reduced(n: Column, d: Column, kind: str = "decimal(38,0)") -> Column:
+    """n / d > 0 in lowest terms, by as many steps of Euclid's algorithm as the denominator can need, in numbers of a kind."""
+    one = F.array(F.struct(n.cast(kind).alias("n"), d.cast(kind).alias("d")))
 
     def of(x: Column) -> Column:
         step = F.struct(F.abs(x["n"]).alias("a"), x["d"].alias("b"))
         most = F.ceil(1.45 * F.log2(x["d"].cast("double"))).cast("int") + 3
-        g = F.aggregate(F.sequence(F.lit(1), most), step, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).cast("decimal(38,0)").alias("b"))), lambda s: s["a"])
-        return F.struct((x["n"] / g).cast("long").alias("n"), (x["d"] / g).cast("long").alias("d"))
+        g = F.aggregate(F.sequence(F.lit(1), most), step, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).cast(kind).alias("b"))), lambda s: s["a"])
+        share = (lambda v: F.call_function("div", v, g)) if kind == "long" else (lambda v: (v / g).cast("long"))
+        return F.struct(share(x["n"]).alias("n"), share(x["d"]).alias("d"))
 
     return F.element_at(F.transform(one, of), 1)
 

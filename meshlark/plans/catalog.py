@@ -101,7 +101,7 @@ def f10_triangle_metrics(spark, d):
 
 @query(SLOPES + " SELECT face, round(slope, 6) AS slope, round(aspect, 6) AS aspect, coalesce(aspect_class, -1) AS aspect_class FROM slopes")
 def f12_slope_aspect(spark, d):
-    """Slope, aspect and the eight classes of aspect."""
+    """Slope, aspect and the eight classes of aspect."""
     return tin.slope_aspect(faces(spark, d)).select("face", F.round("slope", 6).alias("slope"), F.round("aspect", 6).alias("aspect"), F.coalesce("aspect_class", F.lit(-1)).alias("aspect_class"))
 
 
@@ -189,7 +189,7 @@ def t5_region_components(spark, d):
 @query(_recursive(EDGES) + _PARTS.format(seam=_SEAM) + """, c AS (SELECT label, any_value(region) AS region, count(*) AS n, sum(abs(det)) AS area2 FROM part_of JOIN faces USING (face) GROUP BY label)
 SELECT region, count(*) AS components, CAST(sum(n) AS BIGINT) AS faces, CAST(sum(area2) AS BIGINT) AS area2, arg_max(label, (n, -label)) AS largest, count(*) FILTER (n = 1) AS singletons FROM c GROUP BY region""")
 def a19_component_stats(spark, d):
-    """Components joined over the seam, rolled up by region (strategy B of T5)."""
+    """Components joined over the seam, rolled up by region (strategy B of T5; also O11)."""
     f, label = _parts(spark, d, True)
     c = tin.metrics(f).join(label.withColumnRenamed("node", "face"), "face").groupBy("label").agg(F.first("region").alias("region"), F.count("*").alias("n"), F.sum("area2").alias("area2"))
     return c.groupBy("region").agg(F.count("*").alias("components"), F.sum("n").alias("faces"), F.sum("area2").alias("area2"), F.max_by("label", F.struct("n", -F.col("label"))).alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"))

@@ -160,3 +160,16 @@ def fingerprint(files: DataFrame, known: dict[str, str] | None = None) -> DataFr
 def verified(written: DataFrame, meant: DataFrame) -> DataFrame:
     """Rows that a written table lacks or has too many of, as multisets: the columns, and lost or extra."""
     return meant.exceptAll(written).withColumn("status", F.lit("lost")).union(written.exceptAll(meant).withColumn("status", F.lit("extra")))
+
+
+def packed_archive(members: Column) -> Column:
+    """An archive (hex digits) of an array of (name, text), in order: head, table of contents, look-up, members."""
+    zeros = lambda n: F.repeat(F.lit("00"), n)
+    little = lambda v, size: F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(v.cast("long"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(size)])
+    named = lambda s: F.rpad(F.hex(s.cast("binary")), 2 * NAME, "0")
+    first = HEAD + F.size(members) * ENTRY + LOOKUP + 2
+    size = lambda m: F.octet_length(m["text"])
+    before = lambda i: F.aggregate(F.slice(members, 1, i), F.lit(0), lambda n, m: n + RECORD + size(m))
+    contents = F.array_join(F.transform(members, lambda m, i: F.concat(named(m["name"]), little(first + before(i), 4), zeros(F.lit(ENTRY - NAME - 4)))), "")
+    bodies = F.array_join(F.transform(members, lambda m: F.concat(named(m["name"]), little(size(m), 4), F.hex(m["text"].cast("binary")))), "")
+    return F.concat(zeros(F.lit(HEAD - 4)), little(F.size(members), 4), contents, zeros(F.lit(LOOKUP)), F.lit("0000"), bodies)
