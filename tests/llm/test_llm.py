@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -299,6 +302,107 @@ def test_mixture(spark):
     assert mixture.plan(docs.limit(0)).count() == 0
 
 
+def test_mixture_against_plain_python(spark):
+    """Targets by bisection on the water level, order and copies by running sums, positions by bisection on the integral."""
+    r = random.Random(5)
+    sources = [r.choice(["a"] * 30 + ["b"] * 8 + ["c", "d", None]) for _ in range(500)]
+    texts = [None if i % 80 == 0 else words(r.randint(0, 70), i) for i in range(500)]
+    rows = mixture.plan(docs_of(spark, texts, sources)).collect()
+    names = sorted(set(sources) - {None}) + [None]
+    sizes = {s: sum(x["size"] for x in rows if x["source"] == s) for s in names}
+    weight = {s: [1, 2, 3][i % 3] for i, s in enumerate(names)}
+    total, lo, hi = sum(sizes.values()), 0.0, 1e9
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(3 * sizes[s], level * weight[s]) for s in names) < total else (lo, level)
+    rates = [(1.0, 1.0), (1.5, 0.5), (0.5, 1.5)]
+
+    def moment(share, a, b):
+        left, right = 0.0, 1.0
+        for _ in range(80):
+            t = (left + right) / 2
+            left, right = (t, right) if (a * t + (b - a) * t * t / 2) / ((a + b) / 2) < min(1.0, share) else (left, t)
+        return left
+
+    for i, s in enumerate(names):
+        own = sorted((x for x in rows if x["source"] == s), key=lambda x: (x["print"] % 2**64, x["doc_id"]))
+        target = min(3 * sizes[s], hi * weight[s])
+        start, changed = 0, 0
+        for x in own:
+            assert abs(x["target"] - target) < 1e-3 and x["source_size"] == sizes[s]
+            plain = min(3, max(0, int((target - start - x["size"] / 2) // sizes[s] + 1))) if x["size"] else 0
+            changed += plain != x["copies"]
+            assert abs(plain - x["copies"]) <= 1
+            for e, at in enumerate(x["positions"]):
+                assert abs(at - moment((start + e * sizes[s]) / target, *rates[i % 3])) < 1e-6
+            start += x["size"]
+        assert changed <= 4 and abs(sum(x["taken"] for x in own) - target) <= 3
+
+
+def test_empty_tables(spark, tmp_path):
+    """Every query gives its columns and no rows of its table."""
+    import corpus_pipeline
+
+    for name in "documents embeddings pages benchmark labels conversations".split():
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, query in registry.QUERIES.items():
+        got, want = query(spark, str(tmp_path)), query(spark, DATA).schema
+        assert got.schema == want and got.count() == (1 if name.startswith("op3_") else 0), name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    """Columns with the names that the operators use inside change nothing, and a repeated row gets its own answer."""
+    names = "_mix_print _mix_at _mix_pos print its at position id key n label score rank words_of found items scored_text c0 c1 vector turn".split()
+    text = words(40, 1)
+    plain = docs_of(spark, [text, text, words(30, 2), None], ["a", "a", "b", "b"]).drop("score", "key")
+    plain = plain.union(plain.where("doc_id = 2"))
+    more = plain.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(names)])
+    bench = spark.createDataFrame([(1, words(12, 3))], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, toxic int")
+    runs = {
+        "mix": lambda d: mixture.mix(d).select("doc_id", "text"),
+        "benchmark": lambda d: decontaminate.decontaminate(d, bench).select("doc_id", "n_words", "n_hit"),
+        "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, labels)).select("doc_id", F.round("score", 9)),
+        "near": lambda d: near_dedup.near_duplicates(d),
+        "exact": lambda d: exact_dedup.repeated_strings(d).select("doc_id", "n_removed"),
+        "pii": lambda d: pii.find(d).select("doc_id", "spans"),
+    }
+    for name, run in runs.items():
+        a, b = (sorted(map(str, run(d).collect())) for d in (plain, more))
+        assert a == b and len(a) >= 5 - (name == "mix"), name
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn int, role string, text string")
+    assert chat_format.digests(chat_format.format_turns(turns.withColumns({c: F.lit("x") for c in ("segment", "part", "n", "key")}))).collect() == chat_format.digests(chat_format.format_turns(turns)).collect()
+    vectors = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    near = lambda v: sorted(map(str, ann.nearest(v, F.col("vec_id") % 50 == 0).collect()))
+    assert near(vectors) == near(vectors.withColumns({c: F.lit(1) for c in ("id", "vector", "asked", "shard", "block", "rank", "score")}))
+
+
+def test_very_long_texts_need_little_memory():
+    """A text of 20 MB goes through each worker function in well under a gigabyte."""
+    script = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from meshlark.llm import _text, exact_dedup, near_dedup, toxicity, decontaminate, token_files
+from meshlark.llm.queries import tokenizer_path
+text = " ".join(f"w{x}" for x in np.random.default_rng(1).integers(0, 500_000, 2_700_000))
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["id", "text"])
+data, offsets = _text.text_buffer(batch.column(1))
+what = sys.argv[1]
+if what == "exact":
+    for _ in exact_dedup._runs(200, 32)(iter([pa.RecordBatch.from_arrays([pa.array([b"k"]), pa.array([text])], names=["key", "text"])])): pass
+if what == "near": list(near_dedup._sketch(iter([batch])))
+if what == "terms": list(toxicity.term_counts(batch.column(1), np.sort(np.arange(1000, dtype=np.uint64))))
+if what == "tokens":
+    ids, _ = token_files.pieces(tokenizer_path()).encode_long(data)
+    words, _ = token_files.encode_words(ids)
+print(len(text), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    for what in ("exact", "near", "terms", "tokens"):
+        out = subprocess.run([sys.executable, "-c", script, what], capture_output=True, text=True, env=os.environ, check=True).stdout.split()
+        assert int(out[0]) > 15_000_000 and int(out[1]) < 1000, (what, out)
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(4)
     for n, common in ((500, 0.25), (500, 0.0), (64, 2.0), (7, 0.25)):
