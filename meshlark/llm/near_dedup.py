@@ -295,14 +295,16 @@ def near_duplicates(docs: DataFrame, *, similarity: int = 85, id_col: str = "doc
     links = materialise(_star_links(own, pairs, similarity, kind), "star-links")
     release(pairs)
     component = components(links)
-    further = _left_links(own, classes, component, similarity, kind)
-    if further is not None:
-        further = materialise(further, "left-links")
-        component = components(links.union(further))
-        release(further)
     release(links)
     of = classes.select("p1", "p2", "n", "rep")
     of = of.join(component, of["rep"] == component["id"], "left").select("p1", "p2", "n", F.coalesce("component", "rep").alias("component"))
+    further = _left_links(own, classes, component, similarity, kind)
+    if further is not None:
+        # links left over join components as a whole, a far smaller graph
+        named = component.select("id", F.col("component").alias("label"))
+        end = lambda rows, c: rows.join(named.withColumnRenamed("id", c), c, "left").select(*[x for x in rows.columns if x != c], F.coalesce("label", c).alias(c))
+        joined = components(end(end(materialise(further, "left-links"), "a"), "b")).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        of = of.join(joined, "component", "left").select("p1", "p2", "n", F.coalesce("whole", "component").alias("component"))
     out = sketched.select("id", "n", "p1", "p2").join(of, ["p1", "p2", "n"], "left")
     component_id = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(True)).alias("kept"))
