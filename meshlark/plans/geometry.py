@@ -98,13 +98,28 @@ def _segments(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("tid"), sx.alias("sx"), sz.alias("sz"), (sx + 60 + F.col("o_orderkey") % 90).alias("ex"), (sz + F.col("o_custkey") % 130).alias("ez"))
 
 
-@query(_TRACES + """ SELECT tid, face, round(t0, 8) AS t0, round(t1, 8) AS t1, round(h0 + ((sx + t0 * (ex - sx) - x0) * ((h1 - h0) * (z2 - z0) - (h2 - h0) * (z1 - z0)) + (sz + t0 * (ez - sz) - z0) * ((x1 - x0) * (h2 - h0) - (x2 - x0) * (h1 - h0))) / CAST(det AS DOUBLE) + 2e-7, 5) + 0.0 AS height FROM trace""")
+_WALLS = _TRACES + """, wl AS (SELECT tid, face, least((x0, z0), (x1, z1), (x2, z2)) AS a, greatest((x0, z0), (x1, z1), (x2, z2)) AS b, [x0, x1, x2] AS xs, [z0, z1, z2] AS zs, [h0, h1, h2] AS hs, sx, sz, ex - sx AS vx, ez - sz AS vz, (z1 - z0) * (h2 - h0) = (h1 - h0) * (z2 - z0) AND (h1 - h0) * (x2 - x0) = (x1 - x0) * (h2 - h0) AS flat
+  FROM seg JOIN faces ON det = 0 AND least(x0, x1, x2) <= ex AND greatest(x0, x1, x2) >= sx AND least(z0, z1, z2) <= ez AND greatest(z0, z1, z2) >= sz),
+wd AS (SELECT *, b[1] - a[1] AS dx, b[2] - a[2] AS dz, a[1] - sx AS ox, a[2] - sz AS oz FROM wl), wc AS (SELECT *, vx * dz - vz * dx AS c, ox * vz - oz * vx AS off, CAST(vx * vx + vz * vz AS DOUBLE) AS vv FROM wd),
+wt AS (SELECT *, (ox * dz - oz * dx) / CAST(c AS DOUBLE) AS t0, (ox * dz - oz * dx) / CAST(c AS DOUBLE) AS t1, off / CAST(c AS DOUBLE) AS s0, off / CAST(c AS DOUBLE) AS s1 FROM wc WHERE c <> 0
+  UNION ALL SELECT * EXCLUDE (ta, tb), CASE WHEN dx = 0 AND dz = 0 THEN 0 ELSE least((t0 - ta) / (tb - ta), (t1 - ta) / (tb - ta)) END, CASE WHEN dx = 0 AND dz = 0 THEN 0 ELSE greatest((t0 - ta) / (tb - ta), (t1 - ta) / (tb - ta)) END FROM (SELECT * EXCLUDE (ta, tb), greatest(0, least(ta, tb)) AS t0, least(1, greatest(ta, tb)) AS t1, ta, tb FROM (SELECT *, (ox * vx + oz * vz) / vv AS ta, ((ox + dx) * vx + (oz + dz) * vz) / vv AS tb FROM wc WHERE c = 0 AND off = 0 AND vv > 0))),
+wg AS (SELECT *, list_transform([1, 2, 3], lambda i: CASE WHEN dx <> 0 THEN (xs[i] - a[1]) / CAST(dx AS DOUBLE) WHEN dz <> 0 THEN (zs[i] - a[2]) / CAST(dz AS DOUBLE) ELSE 0.0 END) AS p FROM wt WHERE t0 <= t1 AND t0 >= 0 AND t1 <= 1 AND s0 >= 0 AND s1 <= 1),
+we AS (SELECT tid, face, unnest([1, 2, 3]) AS i FROM wg), wh AS (SELECT wg.tid, wg.face, hs[i] + 0.0 AS h FROM wg JOIN we USING (tid, face) WHERE p[i] >= s0 - 1e-12 AND p[i] <= s1 + 1e-12
+  UNION ALL SELECT wg.tid, wg.face, hs[i] + (hs[i % 3 + 1] - hs[i]) * (s0 - p[i]) / (p[i % 3 + 1] - p[i]) FROM wg JOIN we USING (tid, face) WHERE least(p[i], p[i % 3 + 1]) < s0 AND s0 < greatest(p[i], p[i % 3 + 1])
+  UNION ALL SELECT wg.tid, wg.face, hs[i] + (hs[i % 3 + 1] - hs[i]) * (s1 - p[i]) / (p[i % 3 + 1] - p[i]) FROM wg JOIN we USING (tid, face) WHERE least(p[i], p[i % 3 + 1]) < s1 AND s1 < greatest(p[i], p[i % 3 + 1])),
+wm AS (SELECT tid, face, min(h) AS low, max(h) AS high FROM wh GROUP BY ALL)"""
+
+
+@query(_WALLS + """ SELECT tid, face, 'surface' AS kind, round(t0, 8) AS t0, round(t1, 8) AS t1, round(h0 + ((sx + t0 * (ex - sx) - x0) * ((h1 - h0) * (z2 - z0) - (h2 - h0) * (z1 - z0)) + (sz + t0 * (ez - sz) - z0) * ((x1 - x0) * (h2 - h0) - (x2 - x0) * (h1 - h0))) / CAST(det AS DOUBLE) + 2e-7, 5) + 0.0 AS height, -1.0 AS top FROM trace
+UNION ALL SELECT tid, face, CASE WHEN flat THEN 'degenerate' ELSE 'vertical' END, round(t0, 8) + 0.0, round(t1, 8) + 0.0, round(low + 2e-7, 5) + 0.0, round(high + 2e-7, 5) FROM wg JOIN wm USING (tid, face)""")
 def j8_transects(spark, d):
-    """All stretches of surface along segments, with the height where each begins.
+    """All stretches of faces along segments: surfaces with the height where each begins, walls with their least and greatest.
 
     Heights are often halves of the last digit, hence the small shift before rounding.
     """
-    return transect.traces(faces(spark, d), _segments(spark, d), 2 * CELL).select("tid", "face", F.round("t0", 8).alias("t0"), F.round("t1", 8).alias("t1"), (F.round(F.col("h0") + 2e-7, 5) + 0.0).alias("height"))
+    rows = transect.traces(faces(spark, d), _segments(spark, d), 2 * CELL)
+    top = F.when(F.col("kind") == "surface", -1.0).otherwise(F.round(F.col("h1") + 2e-7, 5))
+    return rows.select("tid", "face", "kind", (F.round("t0", 8) + 0.0).alias("t0"), (F.round("t1", 8) + 0.0).alias("t1"), (F.round(F.col("h0") + 2e-7, 5) + 0.0).alias("height"), top.alias("top"))
 
 
 @query(_TRACES + """, o AS (SELECT tid, t0, t1, coalesce(max(t1) OVER (PARTITION BY tid ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM trace)

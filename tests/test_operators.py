@@ -6,7 +6,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from meshlark.functions import search, sphere
-from meshlark.operators import cfg, graph, multiset, ordered, tin
+from meshlark.operators import cfg, graph, multiset, ordered, tin, transect
 
 FACE = "face long, x0 long, z0 long, h0 long, x1 long, z1 long, h1 long, x2 long, z2 long, h2 long"
 
@@ -22,10 +22,23 @@ def test_flat_wall_and_collinear(spark):
 def test_exact_height_at_a_third(spark):
     faces = spark.createDataFrame([(0, 0, 0, 0, 4, 0, 4, 0, 4, 8)], FACE)
     points = spark.createDataFrame([(1, 1, 1, 3), (2, 12, 0, 3), (3, 13, 0, 3)], "qid long, px long, pz long, q long")
-    got = {r["qid"]: (r["kind"], Fraction(r["height_n"], r["height_d"])) for r in tin.surfaces_at(faces, points).collect()}
+    got = {r["qid"]: (r["kind"], Fraction(r["low_n"], r["low_d"])) for r in tin.surfaces_at(faces, points).collect()}
     assert got == {1: ("inside", Fraction(1)), 2: ("boundary", Fraction(4))}
 
 
+def test_walls_have_an_interval_of_heights(spark):
+    faces = spark.createDataFrame([(1, 0, 0, 0, 0, 0, 9, 0, 3, 3), (2, 0, 0, 1, 3, 0, 4, 6, 0, 7), (3, 0, 0, 5, 0, 0, 5, 0, 0, 8), (4, 0, 0, 0, 100_000, 0, 0, 0, 100_000, 0)], FACE)
+    points = spark.createDataFrame([(1, 0, 1, 1), (2, 4, 0, 1), (3, 0, 0, 1), (4, 1, 1, 1)], "qid long, px long, pz long, q long")
+    rows = tin.surfaces_at(faces, points).where("face <> 4").collect()
+    got = {(r["qid"], r["face"]): (r["kind"], Fraction(r["low_n"], r["low_d"]), Fraction(r["high_n"], r["high_d"])) for r in rows}
+    assert got == {
+        (1, 1): ("vertical", 1, 7), (2, 2): ("degenerate", 5, 5), (3, 1): ("vertical", 0, 9), (3, 2): ("degenerate", 1, 1), (3, 3): ("degenerate", 5, 8),
+    }
+    line = spark.createDataFrame([(1, -2, 1, 2, 1), (2, 0, -1, 0, 5)], "tid long, sx long, sz long, ex long, ez long")
+    cut = {(r["tid"], r["face"]): (r["kind"], round(r["t0"], 9), round(r["t1"], 9), r["h0"], r["h1"]) for r in transect.traces(faces, line, 10).where("face = 1").collect()}
+    assert cut[1, 1] == ("vertical", 0.5, 0.5, 1.0, 7.0) and cut[2, 1] == ("vertical", round(1 / 6, 9), round(4 / 6, 9), 0.0, 9.0)
+
+
 def test_weighted_paths(spark):
     arcs = [(0, 1, 2), (1, 2, 3), (0, 2, 9), (2, 3, 4)]
     arcs = spark.createDataFrame(arcs + [(b, a, w) for a, b, w in arcs], "src long, dst long, weight long")

@@ -33,7 +33,7 @@ def test_solved_projections(spark):
         l, p = math.radians(lon), math.radians(lat)
         t = solved_mollweide(p)
         want = (2 * math.sqrt(2) / math.pi * l * math.cos(t), math.sqrt(2) * math.sin(t))
-        assert got["mx"] == pytest.approx(want[0], abs=2e-6) and got["my"] == pytest.approx(want[1], abs=2e-6)
+        assert got["mx"] == pytest.approx(want[0], abs=2e-5) and got["my"] == pytest.approx(want[1], abs=2e-5)
         at = min(18.0, abs(lat) / 5)
         assert got["rx"] == pytest.approx(0.8487 * l * lagrange(sphere.ROBINSON_X, at), abs=1e-9)
         assert got["ry"] == pytest.approx(math.copysign(1.3523 * lagrange(sphere.ROBINSON_Y, at), lat), abs=1e-9)
