@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm._store import materialise
+from meshlark.llm._store import materialise, small
 
 KINDS = ("email", "ip", "card", "phone", "secret", "term", "drop")
 #: Kinds of the base, which come first; characters of a secret.
@@ -148,22 +148,27 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     n = base.agg(F.count("*").alias("rows")).join(copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("more")), F.lit(True)).select((F.col("rows") - F.col("more")).alias("n"))  # one row
     every = docs.select(*_keyed(text_col))
     # a text of m copies counts as m times 1/m
-    named = every.join(copies, "key", "left").select(F.explode(_terms(F.col("text"))).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    named = every.join(small(copies), "key", "left").select(F.explode(_terms(F.col("text"))).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
     terms = named.where(_TERM).groupBy("term").agg(F.round(F.sum("part")).alias("n_t"))
 
     own = materialise(entities(base), "pii-entities")
-    own = materialise(own.join(own.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entity"), "pii-often")
-    texts = materialise(every.join(own.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "pii-texts")
-    together = own.join(texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).where(_TERM), "key")
+    own = own.join(own.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entity")
+    # the entities of a text in one row, so that a text meets them once; a text holds no more of them than it has values
+    held = materialise(own.groupBy("key").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities")), "pii-often")
+    texts = materialise(every.join(small(held), "key").dropDuplicates(["key"]), "pii-texts")
+    each = texts.select("key", "entities", F.explode(_terms(F.col("text"))).alias("term")).where(_TERM)
+    together = each.select("key", "term", F.explode("entities").alias("e")).select("key", "term", "e.entity", "e.n_e")
     told = materialise(disclosing(together.select("entity", "n_e", "term"), terms, n), "pii-told")
-    marked = together.join(told, ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("d"))
+    marked = together.join(small(told), ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("d"))
 
-    cut = texts.select("key", pieces(F.col("text"), WORD).alias("p")).select("key", F.explode(spans("p")).alias("w"))
-    places = cut.select("key", F.lower("w.value").alias("term"), "w.start", "w.end").join(marked, ["key", "term"])
+    # the telling terms of a text in one row, and its words looked up there
+    told_of = marked.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("told"))
+    cover = base.where("size(found) > 0").dropDuplicates(["key"]).select("key", F.expr("transform(found, x -> struct(x.start AS start, x.end AS end))").alias("cover"))
+    words = texts.select("key", "text").join(told_of, "key").join(cover, "key").select("key", "told", "cover", pieces(F.col("text"), WORD).alias("p")).select("key", "told", "cover", spans("p").alias("w"))
     # words inside a base span are covered by it
-    held = base.where("size(found) > 0").dropDuplicates(["key"]).select("key", F.expr("transform(found, x -> struct(x.start AS start, x.end AS end))").alias("cover"))
-    places = places.join(held, "key").where("NOT exists(cover, x -> x.start <= start AND end <= x.end)")
-    extra = places.groupBy("key").agg(F.collect_list(F.struct("start", F.when(F.col("d") >= REMOVE, BASE + 2).otherwise(BASE + 1).alias("kind"), "end")).alias("extra"))
+    extra = words.select("key", F.expr(f"""transform(filter(w, x -> map_contains_key(told, lower(x.value)) AND NOT exists(cover, c -> c.start <= x.start AND x.end <= c.end)),
+        x -> struct(x.start AS start, CASE WHEN told[lower(x.value)] >= {REMOVE} THEN {BASE + 2} ELSE {BASE + 1} END AS kind, x.end AS end))""").alias("extra"))
+    extra = small(materialise(extra, "pii-extra"))
     own = base.select("id", "key", F.expr("transform(found, x -> struct(x.start AS start, x.kind AS kind, x.end AS end))").alias("found"))
     both = F.when(F.col("extra").isNull(), F.col("found")).otherwise(F.array_sort(F.concat("found", "extra")))
     return own.join(extra, "key", "left").select(F.col("id").alias(id_col), "key", F.expr(f"filter(found, x -> x.kind < {BASE})").alias("base"), both.alias("spans"))
