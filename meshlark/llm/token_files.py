@@ -19,7 +19,7 @@ are encoded independently: pieces are found for a whole column at once from char
 classes that are asked of the pre-tokenizer itself, and only pieces not yet seen by a
 worker go through the tokenizer.  Texts with other characters, or with the content of
 an added token, and tokenizers of another kind are encoded directly.  A very long text is
-cut before spaces between two letters, where every piece ends, and encoded part by part.
+cut before spaces between a letter or digit and a letter, where every piece ends, and encoded part by part.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows with
 the same id are ordered by text; other columns are ignored; an empty table gives no rows.
@@ -28,6 +28,7 @@ the same id are ordered by text; other columns are ignored; an empty table gives
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -129,14 +130,17 @@ def decode_words(words: np.ndarray) -> np.ndarray:
 
 
 def _between_letters(data: np.ndarray) -> np.ndarray:
+    """Places of spaces after an ASCII letter or digit and before a small letter."""
     small = (data >= 97) & (data <= 122)
-    return np.flatnonzero((data[1:-1] == 32) & small[:-2] & small[2:]) + 1 if len(data) > 2 else np.empty(0, np.int64)
+    before = small | ((data >= 65) & (data <= 90)) | ((data >= 48) & (data <= 57))
+    return np.flatnonzero((data[1:-1] == 32) & before[:-2] & small[2:]) + 1 if len(data) > 2 else np.empty(0, np.int64)
 
 
 class Pieces:
     """A tokenizer with the ids of the pieces met so far."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -177,7 +181,7 @@ class Pieces:
         return ids, np.array([len(ids)])
 
     def _cut(self, data: np.ndarray, at: int) -> int:
-        """The first place from ``at`` on where a space between two small letters stands, or the end; no added token may hold such a space."""
+        """The first place from ``at`` on where such a space stands, or the end; no added token may hold one."""
         if any(_between_letters(np.frombuffer(x, np.uint8)).size for x in self.added):
             return len(data)
         while at < len(data):
@@ -260,7 +264,10 @@ class Pieces:
         at = np.searchsorted(self.known, value)
         new = (at == len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != value) if len(self.known) else np.ones(len(value), dtype=bool)
         if new.any():
-            made = self.direct([raw[a:b].decode() for a, b in zip(lo[index[new]].tolist(), hi[index[new]].tolist(), strict=True)])
+            fresh, made = index[new], []
+            for at_once in range(0, len(fresh), 2048):  # the tokenizer's own results are many times larger than the ids
+                some = fresh[at_once : at_once + 2048]
+                made += self.direct([raw[a:b].decode() for a, b in zip(lo[some].tolist(), hi[some].tolist(), strict=True)])
             sizes = np.array([len(x) for x in made], dtype=np.int64)
             end = self.used + int(sizes.sum())
             if end > len(self.pool):
