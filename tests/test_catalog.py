@@ -9,6 +9,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark pages".split()
 #: Queries whose rounds or recursive SQL take long even here; tests/test_operators.py has small cases of their operators.
 SLOW = {"t5_region_components", "a19_component_stats", "g2_route", "g3_service_area", "g7_invalid_steps", "w8_csr_offsets", "j14_component_membership"}
+SLOW |= {"v6_two_versions", "s23_save_slots", "z14_section_rehash", "k2_csr_pack", "t3_face_edges", "p5_diagnostic_filters", "a10_surface_totals", "g15_evidence_chains", "x6_ownership", "s31_manifest_cycles", "j8_transects", "g1_eligible_components"}
 FAST = sorted(set(catalog.ORACLE) - SLOW)
 
 
