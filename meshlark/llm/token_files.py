@@ -50,7 +50,7 @@ BLOCK = 1024
 #: A row of a file is closed once it has this many ids (it then ends with a whole document).
 ROW_IDS = 1 << 18
 #: Pieces that a worker remembers (some 40 bytes each); beyond it the memory is emptied.
-MEMORY = 500_000
+MEMORY = 2_000_000
 #: Bytes of text that are encoded together, and ids that are packed or unpacked together.
 PART, PACKED = 1 << 19, 256 * BLOCK
 
