@@ -185,11 +185,20 @@ def project(name: str, lon: Column, lat: Column, lon0: float = 0.0, lat0: float
 
 def to_geographic(x: Column, z: Column, width: float, height: float) -> tuple[Column, Column]:
     """Longitude and latitude of map positions: x runs around once, z from north to south on a Mercator strip."""
-    return wrap(x / width * 360 - 180), F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * z / height))))
+    return wrap(x / width * 360 - 180), F.degrees(F.atan(F.sinh(isometric_latitude(z, height))))
 
 
-def from_geographic(lon: Column, lat: Column, width: float, height: float) -> tuple[Column, Column]:
-    return (wrap(lon) + 180) / 360 * width, (1 - F.asinh(F.tan(F.radians(lat))) / math.pi) / 2 * height
+def isometric_latitude(z: Column, height: float) -> Column:
+    """The latitude as the Mercator projection stretches it; it tells places near a pole apart whose latitudes are the same double."""
+    return math.pi * (1 - 2 * z / height)
+
+
+def from_geographic(lon: Column, lat: Column, width: float, height: float, isometric: Column | None = None) -> tuple[Column, Column]:
+    """Map positions of coordinates; a latitude alone is inverted as far as a double holds it, the isometric one at any distance."""
+    t = F.tan(F.radians(lat))
+    # by the absolute value, as asinh of a large negative number is minus infinity
+    stretched = F.signum(t) * F.asinh(F.abs(t)) if isometric is None else isometric
+    return (wrap(lon) + 180) / 360 * width, (1 - stretched / math.pi) / 2 * height
 
 
 def triangle_area(a: tuple[Column, ...], b: tuple[Column, ...], c: tuple[Column, ...], radius: float = RADIUS) -> Column:

@@ -79,3 +79,15 @@ def test_versions_are_whole_or_not_there(spark, tmp_path):
     assert sinks.current(spark, root).count() == 3
     (tmp_path / "table" / "CURRENT").unlink()
     assert sinks.current(spark, root).count() == 5
+
+
+def test_map_positions_far_beyond_the_strip_come_back(spark):
+    at = [(0, 0), (4999, 4000), (10, 120_000), (20, -120_000), (2500, 2_400_000)]
+    rows = spark.createDataFrame(at, "x long, z long")
+    lon, lat = sphere.to_geographic(F.col("x"), F.col("z"), 5000, 4000)
+    both = rows.select(lon.alias("lon"), lat.alias("lat"), sphere.isometric_latitude(F.col("z"), 4000).alias("i"))
+    x, z = sphere.from_geographic(F.col("lon"), F.col("lat"), 5000, 4000, F.col("i"))
+    assert [tuple(r) for r in both.select(F.round(x).cast("long"), F.round(z).cast("long")).collect()] == at
+    # a latitude alone stays finite at either pole
+    north, south = (both.select(sphere.from_geographic(F.lit(0.0), F.lit(v), 5000, 4000)[1].alias("z")).first()["z"] for v in (90.0, -90.0))
+    assert -30_000 < north < 0 and 4000 < south < 30_000
