@@ -58,19 +58,19 @@ def crc16(raw: Column, start: int = 0) -> Column:
 
 def wrap32(n: Column) -> Column:
     """A whole number as 32 bits with sign."""
-    return F.pmod(n + 2**31, F.lit(2**32)) - 2**31
+    return n.bitwiseAND(2**32 - 1).bitwiseXOR(2**31) - 2**31
 
 
 #: Binary operators of the bytecode, by opcode (fixed values).
 OPERATORS = {
-    0x30: lambda a, b: a * b, 0x40: lambda a, b: a + b, 0x41: lambda a, b: a - b, 0x50: lambda a, b: F.call_function("shiftleft", a, b.cast("int")), 0x51: lambda a, b: F.call_function("shiftright", a, b.cast("int")),
+    0x30: lambda a, b: wrap32(a) * wrap32(b), 0x40: lambda a, b: wrap32(a) + wrap32(b), 0x41: lambda a, b: wrap32(a) - wrap32(b), 0x50: lambda a, b: F.call_function("shiftleft", a, b.cast("int")), 0x51: lambda a, b: F.call_function("shiftright", a, b.cast("int")),
     0x60: lambda a, b: (a < b).cast("long"), 0x61: lambda a, b: (a > b).cast("long"), 0x62: lambda a, b: (a <= b).cast("long"), 0x63: lambda a, b: (a >= b).cast("long"), 0x70: lambda a, b: (a == b).cast("long"),
     0x71: lambda a, b: (a != b).cast("long"), 0x80: lambda a, b: a.bitwiseAND(b), 0xA0: lambda a, b: a.bitwiseOR(b), 0xB0: lambda a, b: ((a != 0) & (b != 0)).cast("long"), 0xC0: lambda a, b: ((a != 0) | (b != 0)).cast("long"),
 }
 
 
 def applied(op: Column, a: Column, b: Column) -> Column:
-    """The operator's value on two 32-bit numbers, wrapped to 32 bits; null for other opcodes and for shifts outside 0..31."""
+    """The operator's value on two whole numbers, wrapped to 32 bits; null for other opcodes and for shifts outside 0..31."""
     out = None
     for code, of in OPERATORS.items():
         hit = (op == code) & (b.between(0, 31) if code in (0x50, 0x51) else F.lit(True))

@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from meshlark.functions import sphere
+from meshlark.functions import binary, sphere
 from meshlark.operators import tin
 from meshlark.sources import sinks
 
@@ -91,3 +91,11 @@ def test_map_positions_far_beyond_the_strip_come_back(spark):
     # a latitude alone stays finite at either pole
     north, south = (both.select(sphere.from_geographic(F.lit(0.0), F.lit(v), 5000, 4000)[1].alias("z")).first()["z"] for v in (90.0, -90.0))
     assert -30_000 < north < 0 and 4000 < south < 30_000
+
+
+def test_operators_wrap_values_beyond_64_bits(spark):
+    a, b = 9_500_000_011, 6_300_000_017
+    rows = spark.createDataFrame([(0x30, a, b), (0x30, -a, b), (0x40, 2**63 - 1, 2**63 - 1), (0x41, -(2**63), 1), (0x50, a, 30), (0x50, 2**32 - 1, 31), (0x51, a, 3)], "op int, a long, b long")
+    wrapped = lambda n: (n + 2**31) % 2**32 - 2**31
+    want = [wrapped(n) for n in (a * b, -a * b, 2**64 - 2, -(2**63) - 1, a << 30, (2**32 - 1) << 31, a >> 3)]
+    assert [r["v"] for r in rows.select(binary.applied(F.col("op"), F.col("a"), F.col("b")).alias("v")).collect()] == want
