@@ -26,7 +26,11 @@ def _height(c, r):
 
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """face, three corners (x, z, h), terrain, region, script, chocobo."""
+    """face, three corners (x, z, h), terrain, region, script, chocobo.
+
+    The hint keeps what comes of the faces from being broadcast on its estimate: that is of a
+    compressed file and of one triangle a part, many times less than what the driver would hold.
+    """
     k = F.col("k")
     base = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 32).cast("int").alias("terrain"))
     c = k % COLUMNS
@@ -49,4 +53,4 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 103 == 0, triangle(2_000_000_000 + 2 * k, corner(0, 0, 0), corner(0, 0, 50), corner(0, 1, 25))),
         F.when(k % 107 == 0, triangle(3_000_000_000 + 2 * k, corner(0, 0), corner(0, 0), corner(1, 0))),
     )
-    return base.select("terrain", "region", "script", "chocobo", F.explode(made).alias("t")).where("t IS NOT NULL").select("t.*", "terrain", "region", "script", "chocobo")
+    return base.select("terrain", "region", "script", "chocobo", F.explode(made).alias("t")).where("t IS NOT NULL").select("t.*", "terrain", "region", "script", "chocobo").hint("merge")
