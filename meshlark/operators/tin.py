@@ -56,7 +56,7 @@ def with_duplicates(faces: DataFrame) -> DataFrame:
     """faces with dup_count; one shuffle on the corners, counted on the map side first."""
     keyed = faces.withColumn("k", corner_key())
     counts = keyed.groupBy("k").agg(F.count("*").alias("dup_count"))
-    return keyed.join(counts, "k").drop("k")
+    return keyed.join(counts, "k").drop("k").hint("merge")
 
 
 def cross_tab(faces: DataFrame) -> DataFrame:

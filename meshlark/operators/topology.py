@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meshlark.operators import tin
 
@@ -19,29 +20,35 @@ def occurrences(faces: DataFrame) -> DataFrame:
 
 
 def edges(faces: DataFrame, width: int) -> DataFrame:
-    """One row per edge: ends, incidence, flags (bits), side (west, east or null), seam status."""
-    occ = occurrences(tin.with_duplicates(faces))
-    per = occ.groupBy("a", "b", "face").agg(F.count("*").alias("times"), F.max("dup_count").alias("dup"), F.first("region").alias("region"))
-    e = per.groupBy("a", "b").agg(
-        F.sum("times").alias("incidence"), F.count("*").alias("faces"), F.max(F.col("times") > 1).alias("repeated"), F.max(F.col("dup") > 1).alias("duplicate"), F.min("face").alias("face"), F.max("face").alias("other"),
+    """One row per edge: ends, incidence, flags (bits), side (west, east or null), seam status, and of the faces there what joins them.
+
+    Rows are dealt once, by a hash of the edge (on the seam of what its two sides have in
+    common), and counted and paired where they are; nothing is joined, so nothing can be broadcast.
+    """
+    occ = occurrences(tin.metrics(tin.with_duplicates(faces)))
+    side = F.when(F.col("a.x") == F.col("b.x"), F.when(F.col("a.x") == 0, "west").when(F.col("a.x") == width, "east"))
+    # two sides of the seam fit if their ends agree in z and h
+    key = {"lo": F.least(F.struct("a.z", "a.h"), F.struct("b.z", "b.h")), "hi": F.greatest(F.struct("a.z", "a.h"), F.struct("b.z", "b.h"))}
+    dealt = occ.withColumn("deal", F.when(side.isNotNull(), F.xxhash64(key["lo"], key["hi"])).otherwise(F.xxhash64("a", "b"))).repartition("deal")
+    per = dealt.groupBy("deal", "a", "b", "face").agg(F.count("*").alias("times"), F.max("dup_count").alias("dup"), F.max("degenerate_3d").alias("degenerate"), F.first("region").alias("region"))
+    e = per.groupBy("deal", "a", "b").agg(
+        F.sum("times").alias("incidence"), F.count("*").alias("faces"), F.max(F.col("times") > 1).alias("repeated"), F.max(F.col("dup") > 1).alias("duplicate"), F.max("degenerate").alias("degenerate"), F.min("face").alias("face"), F.max("face").alias("other"),
         F.min_by("region", "face").alias("region"), F.max_by("region", "face").alias("other_region"), F.array_sort(F.collect_set("region")).alias("regions"),
     )
     collapsed = F.col("a") == F.col("b")
-    side = F.when(F.col("a.x") == F.col("b.x"), F.when(F.col("a.x") == 0, "west").when(F.col("a.x") == width, "east"))
     bits = lambda c, bit: F.when(c, bit).otherwise(0)
     e = e.withColumn("side", side).withColumn("ambiguous", collapsed | (F.col("incidence") > 2) | F.col("duplicate") | F.col("repeated"))
     e = e.withColumn("flags", bits(F.col("incidence") == 1, BOUNDARY) + bits(F.col("incidence") > 2, NONMANIFOLD) + bits(collapsed, COLLAPSED) + bits(F.col("duplicate"), DUPLICATE) + bits(F.col("side").isNotNull(), PERIODIC) + bits(F.col("repeated"), REPEATED))
-    # two sides of the seam fit if their ends agree in z and h
-    key = [F.least(F.struct("a.z", "a.h"), F.struct("b.z", "b.h")).alias("lo"), F.greatest(F.struct("a.z", "a.h"), F.struct("b.z", "b.h")).alias("hi")]
-    seam = e.where("side IS NOT NULL").select(*key, "side", "incidence", "ambiguous", "face")
-    west = seam.where("side = 'west'").select("lo", "hi", F.col("incidence").alias("wi"), F.col("ambiguous").alias("wa"), F.col("face").alias("wf"))
-    east = seam.where("side = 'east'").select("lo", "hi", F.col("incidence").alias("ei"), F.col("ambiguous").alias("ea"), F.col("face").alias("ef"))
-    met = west.join(east, ["lo", "hi"], "full").select("lo", "hi", "wf", "ef", F.when(F.col("wf").isNull() | F.col("ef").isNull(), "unmatched").when((F.col("wi") == 1) & (F.col("ei") == 1) & ~F.col("wa") & ~F.col("ea") & (F.col("wf") != F.col("ef")), "paired").otherwise("ambiguous").alias("seam"))
-    e = e.withColumns({"lo": key[0], "hi": key[1]}).join(met, ["lo", "hi"], "left")
-    status = F.when(F.col("side").isNull(), "none").otherwise(F.col("seam"))
-    partner = F.when(F.col("side") == "west", F.col("ef")).when(F.col("side") == "east", F.col("wf"))
+    # a key has one edge on each side at most
+    w = Window.partitionBy("deal", "lo", "hi")
+    own = F.struct(F.col("incidence").alias("i"), F.col("ambiguous").alias("a"), F.col("face").alias("f"), F.col("region").alias("r"), F.col("degenerate").alias("d"))
+    met = e.withColumns({n: F.when(F.col("side").isNotNull(), k) for n, k in key.items()}).withColumns({n: F.max(F.when(F.col("side") == n, own)).over(w) for n in ("west", "east")})
+    seam = F.when(F.expr("west IS NULL OR east IS NULL"), "unmatched").when(F.expr("west.i = 1 AND east.i = 1 AND NOT west.a AND NOT east.a AND west.f <> east.f"), "paired").otherwise("ambiguous")
+    met = met.withColumn("seam", F.when(F.col("side").isNull(), "none").otherwise(seam))
+    across = F.when(F.col("side") == "west", F.col("east")).when(F.col("side") == "east", F.col("west"))
     loose = F.col("ambiguous") | (F.col("side").isNotNull() & (F.col("seam") != "paired"))
-    return e.select("a", "b", "incidence", "faces", (F.col("flags") + bits(loose, AMBIGUOUS)).alias("flags"), "ambiguous", "side", status.alias("seam"), partner.alias("partner"), "face", "other", "region", "other_region", "regions")
+    out = met.select("a", "b", "incidence", "faces", (F.col("flags") + bits(loose, AMBIGUOUS)).alias("flags"), "ambiguous", "side", "seam", across["f"].alias("partner"), "face", "other", "region", "other_region", "regions", across["r"].alias("partner_region"), "degenerate", across["d"].alias("partner_degenerate"))
+    return out.hint("merge")
 
 
 def unique_raw() -> str:
@@ -59,24 +66,19 @@ def face_flags(faces: DataFrame, width: int) -> DataFrame:
 
 def adjacency(faces: DataFrame, width: int) -> DataFrame:
     """Pairs of regions: joining edges, their length, pairs over the seam."""
-    sound = tin.metrics(faces).select("face", "degenerate_3d", "region")
-    e = edges(faces, width)
-    degenerate = lambda name: sound.select(F.col("face").alias(name), F.col("degenerate_3d").alias(f"{name}_bad"))
-    strict = e.where(unique_raw()).join(degenerate("face"), "face").join(degenerate("other"), "other").where("NOT face_bad AND NOT other_bad AND region <> other_region")
-    length = F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.z") - F.col("b.z")) ** 2)
-    joined = strict.select(F.least("region", "other_region").alias("region_a"), F.greatest("region", "other_region").alias("region_b"), length.alias("length"), F.lit(0).alias("seam"))
-    west = e.where("side = 'west' AND seam = 'paired'").select("face", "region", "partner").join(sound.select(F.col("face").alias("partner"), F.col("region").alias("r2")), "partner").where("region <> r2")
-    over = west.select(F.least("region", "r2").alias("region_a"), F.greatest("region", "r2").alias("region_b"), F.lit(0.0).alias("length"), F.lit(1).alias("seam"))
-    return joined.union(over).groupBy("region_a", "region_b").agg(F.count_if(F.col("seam") == 0).alias("edges"), F.round(F.sum("length"), 6).alias("length"), F.sum("seam").cast("long").alias("seam_pairs"))
+    raw = F.expr(unique_raw() + " AND region <> other_region AND NOT degenerate")
+    over = F.expr("side = 'west' AND seam = 'paired' AND region <> partner_region")
+    # an edge of two faces is no pair of the seam, whose edges have one
+    e = edges(faces, width).where(raw | over).withColumn("over", F.col("incidence") == 1)
+    length = F.when(F.col("over"), 0.0).otherwise(F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.z") - F.col("b.z")) ** 2))
+    second = F.when(F.col("over"), F.col("partner_region")).otherwise(F.col("other_region"))
+    joined = e.select(F.least("region", second).alias("region_a"), F.greatest("region", second).alias("region_b"), length.alias("length"), "over")
+    return joined.groupBy("region_a", "region_b").agg(F.count_if(~F.col("over")).alias("edges"), F.round(F.sum("length"), 6).alias("length"), F.count_if("over").alias("seam_pairs"))
 
 
 def links(faces: DataFrame, width: int, seams: bool = False) -> DataFrame:
     """Pairs of faces of one region that a sound edge joins (and, if asked, the seam)."""
-    sound = tin.metrics(faces).where("NOT degenerate_3d").select("face", "region")
-    e = edges(faces, width)
-    first, second = sound.select(F.col("face").alias("src")), sound.select(F.col("face").alias("dst"))
-    found = e.where(unique_raw() + " AND region = other_region").select(F.col("face").alias("src"), F.col("other").alias("dst"))
-    if seams:
-        other = sound.select(F.col("face").alias("dst"), F.col("region").alias("r2"))
-        found = found.union(e.where("side = 'west' AND seam = 'paired' AND NOT ambiguous").select(F.col("face").alias("src"), F.col("partner").alias("dst"), "region").join(other, "dst").where("region = r2").select("src", "dst"))
-    return found.join(first, "src").join(second, "dst").select("src", "dst")
+    raw = F.expr(unique_raw() + " AND region = other_region AND NOT degenerate")
+    over = F.expr("side = 'west' AND seam = 'paired' AND region = partner_region AND NOT degenerate AND NOT partner_degenerate")
+    e = edges(faces, width).where(raw | over if seams else raw)
+    return e.select(F.col("face").alias("src"), F.when(F.col("incidence") == 1, F.col("partner")).otherwise(F.col("other")).alias("dst"))
