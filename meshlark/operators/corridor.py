@@ -27,7 +27,7 @@ def neighbours(faces: DataFrame, width: int) -> DataFrame:
     around = single.withColumns({f"x{i}": F.col(f"x{i}") % width for i in range(3)})
     e = topology.occurrences(around).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("face").alias("src"), F.max("face").alias("dst"), F.max("dup_count").alias("dup"))
     one = e.where("n = 2 AND src <> dst AND dup = 1 AND a <> b").select("src", "dst").distinct()
-    return one.union(one.select("dst", "src"))
+    return graph.both_ways(one)
 
 
 def weighted(arcs: DataFrame, faces: DataFrame, width: int, height: int) -> DataFrame:

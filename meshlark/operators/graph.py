@@ -24,7 +24,20 @@ def cut(df: DataFrame) -> DataFrame:
         named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/meshlark-shared"
     path = f"{named.rstrip('/')}/meshlark-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # a join's estimate of a compressed file is many times less than its rows in the driver
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
+
+
+def _few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table (that is computed already) to be broadcast where it has no more than ``most`` rows, as counted; beyond, joins shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    """links (src, dst and more) and the same from dst to src, in one pass."""
+    rest = [c for c in links.columns if c not in ("src", "dst")]
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return links.select(F.explode(ways).alias("way"), *rest).select("way.src", "way.dst", *rest)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -62,10 +75,11 @@ def _relaxed(arcs: DataFrame, starts: DataFrame, limit: int | None, targets: Dat
     """distances() over arcs that are computed already, as every round reads them; with targets, only as far as the nearest."""
     known = cut(starts.select("node", F.lit(0).cast("long").alias("distance"), F.col("node").alias("origin"), F.lit(0).alias("round")))
     done = 0
+    targets = targets if targets is None else _few(targets)
     while not known.where(F.col("round") == done).isEmpty():
-        front = known.where(F.col("round") == done)
+        front = _few(known.where(F.col("round") == done))
         done += 1
-        offered = front.join(arcs, front["node"] == arcs["src"]).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), "origin", F.lit(done).alias("round"))
+        offered = front.join(arcs, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), "origin", F.lit(done).alias("round"))
         if targets is not None:
             best = known.join(targets, "node").agg(F.min("distance").alias("d")).first()["d"]
             limit = best if limit is None or best is not None and best < limit else limit
@@ -85,7 +99,7 @@ def levels(arcs: DataFrame, start: int) -> DataFrame:
     level = 0
     while True:
         level += 1
-        offered = front.join(arcs, front["node"] == arcs["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array(F.col("slot").cast("int"))).alias("path"))
+        offered = _few(front).join(arcs, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.concat("path", F.array(F.col("slot").cast("int"))).alias("path"))
         new = offered.join(known.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
         front = cut(new.select("node", F.lit(level).alias("level"), "path"))
         if front.isEmpty():
@@ -103,18 +117,19 @@ def route(arcs: DataFrame, starts: DataFrame, targets: DataFrame, limit: int | N
     """
     arcs = cut(arcs.select("src", "dst", "weight"))
     known = _relaxed(arcs, starts, limit, targets)
-    end = known.join(targets, "node").agg(F.min(F.struct("distance", "node")).alias("x")).where("x IS NOT NULL").select("x.node")
-    near, far = known.select(F.col("node").alias("src"), F.col("distance").alias("d0")), known.select(F.col("node").alias("dst"), F.col("distance").alias("d1"))
+    end = known.join(_few(targets), "node").agg(F.min(F.struct("distance", "node")).alias("x")).where("x IS NOT NULL").select("x.node")
+    found = _few(known)
+    near, far = found.select(F.col("node").alias("src"), F.col("distance").alias("d0")), found.select(F.col("node").alias("dst"), F.col("distance").alias("d1"))
     tight = arcs.join(near, "src").join(far, "dst").where("d0 + weight = d1")
     up = cut(tight.groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("p")))
     on = cut(end)
     while True:
-        further = cut(on.join(up, on["node"] == up["v"]).select(F.col("p").alias("node")))
+        further = cut(_few(on).join(up, F.col("node") == F.col("v")).select(F.col("p").alias("node")))
         if further.isEmpty():
             break
         on = cut(on.union(further).distinct())
         up = cut(up.join(up.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p").select("v", F.col("pp").alias("p")))
-    return known.join(on, "node").select("node", "distance")
+    return known.join(_few(on), "node").select("node", "distance")
 
 
 def invalid_steps(steps: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -127,7 +142,7 @@ def calls(edges: DataFrame, roots: DataFrame, most: int = 16) -> DataFrame:
     first = roots.join(edges, roots["root"] == edges["caller"]).select("root", "callee", F.lit(1).alias("depth")).distinct()
     known = front = cut(first)
     for depth in range(2, most + 1):
-        step = front.select("root", F.col("callee").alias("caller")).join(edges, "caller").select("root", "callee").distinct()
+        step = _few(front).select("root", F.col("callee").alias("caller")).join(edges, "caller").select("root", "callee").distinct()
         front = cut(step.join(known, ["root", "callee"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break

@@ -201,7 +201,7 @@ _ARCS = """, ends AS (SELECT face AS s, other AS t FROM edges WHERE incidence =
 def _arcs(spark, d):
     e = topology.edges(faces(spark, d), WIDTH).where(F.expr(f"incidence = 2 AND faces = 2 AND flags & {topology.DUPLICATE} = 0"))
     one = e.select(F.col("face").alias("src"), F.col("other").alias("dst"), (1 + (31 * F.col("face") + 17 * F.col("other")) % 9).alias("weight"))
-    return one.union(one.select("dst", "src", "weight"))
+    return graph.both_ways(one)
 
 
 @query(EDGES + _ARCS + " SELECT s AS src, t AS dst, w AS weight FROM arcs")
