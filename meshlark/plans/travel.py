@@ -85,7 +85,7 @@ def g2_route(spark, d):
 def g7_invalid_steps(spark, d):
     """Steps of given routes that the graph doesn't have."""
     steps = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_partkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1 + F.col("l_linenumber") % 2).alias("dst"))
-    own = _arcs(spark, d)
+    own = graph.cut(_arcs(spark, d))
     return graph.invalid_steps(steps.join(own, ["src", "dst"], "left"), own).select("seq", "src", "dst")
 
 
