@@ -8,7 +8,7 @@ from meshlark.plans import every
 
 DATA = "/root/testdata/sf0.001"
 FACE = "face long, x0 long, z0 long, h0 long, x1 long, z1 long, h1 long, x2 long, z2 long, h2 long, region int"
-NAMES = "a20_region_adjacency g0_routing_arcs j11_seam_pairs j10_edge_neighbours g0_welded_graph a10_surface_totals g7_invalid_steps g1_eligible_components".split()
+NAMES = "a20_region_adjacency g0_routing_arcs j11_seam_pairs j10_edge_neighbours g0_welded_graph a10_surface_totals g7_invalid_steps g1_eligible_components a19_component_stats f24_height_delta g4_corridor_legs g5_route_profiles".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
