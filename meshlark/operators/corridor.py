@@ -50,17 +50,20 @@ def eligible_components(faces: DataFrame, arcs: DataFrame, eligible: Column) ->
     return label.select("node", "label").join(sums.drop("one").join(number, "label"), "label").select(F.col("node").alias("face"), "component", "faces", "area2")
 
 
-def legs(steps: DataFrame, faces: DataFrame, width: int, height: int) -> DataFrame:
+def legs(steps: DataFrame, faces: DataFrame, width: int, height: int, deal: str | None = None) -> DataFrame:
     """Two legs for each step (trip, seq, src, dst): from the first centre to the middle of the shared edge, and on to the second centre.
 
     Rows trip, seq, src, part (0, 1), face, status, distance (great circle) and the heights
     where the leg begins and ends.  A step between faces that don't share exactly two
     welded corners is no way along the surface: status error, without a distance.
+
+    Only the different pairs of faces meet the faces, and their ways are computed once: steps, of which there may be many times more,
+    get five numbers.  They are dealt by the column ``deal``, if one is given, while they are one row each.
     """
     corners = faces.select("face", *_CORNERS, welded(width).alias("ring"))
     a = corners.toDF("src", *[f"a{c}" for c in _CORNERS], "ring_a")
     b = corners.toDF("dst", *[f"b{c}" for c in _CORNERS], "ring_b")
-    met = steps.join(a, "src").join(b, "dst")
+    met = steps.select("src", "dst").distinct().join(a, "src").join(b, "dst")
     own = F.array(*[F.struct(F.col(f"ax{i}").alias("x"), F.col(f"az{i}").alias("z"), F.col(f"ah{i}").alias("h")) for i in range(3)])
     shared = F.filter(own, lambda p: F.array_contains(F.col("ring_b"), F.struct((p["x"] % width).alias("x"), p["z"].alias("z"), p["h"].alias("h"))))
     met = met.withColumn("shared", shared)
@@ -73,12 +76,14 @@ def legs(steps: DataFrame, faces: DataFrame, width: int, height: int) -> DataFra
     def distance(x1: Column, z1: Column, x2: Column, z2: Column) -> Column:
         return F.when(good, sphere.central_angle(*sphere.to_geographic(x1, z1, width, height), *sphere.to_geographic(x2, z2, width, height)) * sphere.RADIUS)
 
-    leg = lambda part, face, d, h0, h1: F.struct(F.lit(part).alias("part"), F.col(face).alias("face"), d.alias("distance"), h0.alias("from_h"), h1.alias("to_h"))
-    both = F.array(
-        leg(0, "src", distance(third("a", "x"), third("a", "z"), mid["x"], mid["z"]), third("a", "h"), mid["h"]),
-        leg(1, "dst", distance(mid["x"] + turn, mid["z"], third("b", "x"), third("b", "z")), mid["h"], third("b", "h")),
-    )
-    return met.select("trip", "seq", "src", F.when(good, "ok").otherwise("error").alias("status"), F.explode(both).alias("l")).select("trip", "seq", "src", "status", "l.*")
+    ways = met.select(
+        "src", "dst", F.when(good, "ok").otherwise("error").alias("status"), third("a", "h").alias("h0"), mid["h"].alias("h1"), third("b", "h").alias("h2"),
+        distance(third("a", "x"), third("a", "z"), mid["x"], mid["z"]).alias("d0"), distance(mid["x"] + turn, mid["z"], third("b", "x"), third("b", "z")).alias("d1"),
+    )
+    rows = steps.join(ways.hint("merge"), ["src", "dst"])
+    rows = rows.repartition(deal) if deal else rows
+    leg = lambda part, face: F.struct(F.lit(part).alias("part"), F.col(face).alias("face"), F.col(f"d{part}").alias("distance"), F.col(f"h{part}").alias("from_h"), F.col(f"h{part + 1}").alias("to_h"))
+    return rows.select("trip", "seq", "src", "status", F.explode(F.array(leg(0, "src"), leg(1, "dst"))).alias("l")).select("trip", "seq", "src", "status", "l.*")
 
 
 def running(rows: DataFrame) -> DataFrame:

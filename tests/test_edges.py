@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from meshlark.operators import graph, topology
+from meshlark.operators import corridor, graph, topology
 from meshlark.plans import every
 
 DATA = "/root/testdata/sf0.001"
@@ -42,3 +42,14 @@ def test_tables_that_are_read_again_are_not_broadcast(spark):
     other = spark.range(5).withColumnRenamed("id", "node").hint("merge")
     assert "BroadcastHashJoin" in other.join(few, "node")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in other.join(many, "node")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ways_are_computed_once_for_each_pair_of_faces(spark):
+    rows = [(0, 0, 0, 1, 4, 0, 1, 0, 4, 1, 1), (1, 4, 0, 1, 4, 4, 1, 0, 4, 1, 2), (2, 0, 8, 1, 4, 8, 1, 0, 12, 1, 2)]
+    faces = spark.createDataFrame(rows, FACE).hint("merge")
+    steps = spark.range(300).selectExpr("id AS trip", "explode(array(1L, 2L)) AS seq").selectExpr("trip", "seq", "seq - 1 AS src", "seq AS dst")
+    got = corridor.legs(steps, faces, 1000, 1000, "trip")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [src#" in plan and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    told = {(r["seq"], r["part"], r["face"], r["status"], r["distance"] is None, r["n"]) for r in got.groupBy("seq", "part", "face", "status", "distance").agg(F.count("*").alias("n")).collect()}
+    assert told == {(1, 0, 0, "ok", False, 300), (1, 1, 1, "ok", False, 300), (2, 0, 1, "error", True, 300), (2, 1, 2, "error", True, 300)}
