@@ -125,7 +125,8 @@ def surfaces_at(faces: DataFrame, points: DataFrame, cell: int = 100) -> DataFra
         return (F.col(f"x{j}") - F.col(f"x{i}")) * (F.col("pz") - F.col(f"z{i}") * F.col("q")) - (F.col(f"z{j}") - F.col(f"z{i}")) * (F.col("px") - F.col(f"x{i}") * F.col("q"))
 
     sign = F.when(F.col("det") < 0, -1).otherwise(1)
-    met = cells.join(at, ["level", "cx", "cz"]).where("px BETWEEN minx * q AND maxx * q AND pz BETWEEN minz * q AND maxz * q")
+    # points stream past the faces of their cell, which a sort-merge join holds in memory
+    met = at.join(cells, ["level", "cx", "cz"]).where("px BETWEEN minx * q AND maxx * q AND pz BETWEEN minz * q AND maxz * q")
     met = met.withColumns({f"w{k}": turn((k + 1) % 3, (k + 2) % 3) * sign for k in range(3)}).where("w0 >= 0 AND w1 >= 0 AND w2 >= 0 AND (det <> 0 OR w0 = 0 AND w1 = 0 AND w2 = 0)")
     n, d = F.col("w0") * F.col("h0") + F.col("w1") * F.col("h1") + F.col("w2") * F.col("h2"), F.col("area2") * F.col("q")
     kind = F.when(F.col("det") == 0, F.when(F.col("degenerate_3d"), "degenerate").otherwise("vertical")).when(F.least("w0", "w1", "w2") == 0, "boundary").otherwise("inside")

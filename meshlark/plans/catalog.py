@@ -268,9 +268,12 @@ def a27_height_counts(spark, d):
 SELECT a.qid, CAST(b.n * a.d - a.n * b.d AS BIGINT) AS delta_n, CAST(a.d * b.d AS BIGINT) AS delta_d, abs(CAST(b.n AS DOUBLE) / b.d - CAST(a.n AS DOUBLE) / a.d) < 200 AS passable FROM one a JOIN one b ON b.qid = a.qid + 1""")
 def f24_height_delta(spark, d):
     """Exact difference of heights from a point to the next, where each has one ordinary surface (also P17: less than 200)."""
-    one = tin.surfaces_at(faces(spark, d), _surface_points(spark, d)).groupBy("qid").agg(F.count("*").alias("hits"), F.first("kind").alias("kind"), F.first("low_n").alias("n"), F.first("low_d").alias("d")).where("hits = 1 AND kind IN ('inside', 'boundary')").select("qid", "n", "d")
-    after = one.select((F.col("qid") - 1).alias("qid"), F.col("n").alias("n2"), F.col("d").alias("d2"))
-    return one.join(after, "qid").select("qid", F.expr("n2 * d - n * d2").alias("delta_n"), F.expr("d * d2").alias("delta_d"), F.expr("abs(double(n2) / d2 - double(n) / d) < 200").alias("passable"))
+    plain = F.col("kind").isin("inside", "boundary")
+    one = tin.surfaces_at(faces(spark, d), _surface_points(spark, d)).groupBy("qid").agg(F.count("*").alias("hits"), *[F.max(F.when(plain, F.col(f"low_{x}"))).alias(x) for x in "nd"]).where("hits = 1 AND n IS NOT NULL")
+    # a point's height goes to its own row and to that of the point before: nothing is joined, so no surface is looked up twice
+    both = one.selectExpr("explode(array(struct(qid, n, d, NULL AS n2, NULL AS d2), struct(qid - 1 AS qid, NULL AS n, NULL AS d, n AS n2, d AS d2))) AS x").select("x.*")
+    met = both.groupBy("qid").agg(*[F.max(x).alias(x) for x in ("n", "d", "n2", "d2")]).where("n IS NOT NULL AND n2 IS NOT NULL")
+    return met.select("qid", F.expr("n2 * d - n * d2").alias("delta_n"), F.expr("d * d2").alias("delta_d"), F.expr("abs(double(n2) / d2 - double(n) / d) < 200").alias("passable"))
 
 
 @query(FACES + """, rule AS (SELECT face, region, terrain, CASE terrain WHEN 16 THEN 0 WHEN 24 THEN 8 ELSE terrain END AS t, least(region, 15) AS r FROM faces),

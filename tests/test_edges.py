@@ -53,3 +53,9 @@ def test_ways_are_computed_once_for_each_pair_of_faces(spark):
     assert "Aggregate [src#" in plan and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     told = {(r["seq"], r["part"], r["face"], r["status"], r["distance"] is None, r["n"]) for r in got.groupBy("seq", "part", "face", "status", "distance").agg(F.count("*").alias("n")).collect()}
     assert told == {(1, 0, 0, "ok", False, 300), (1, 1, 1, "ok", False, 300), (2, 0, 1, "error", True, 300), (2, 1, 2, "error", True, 300)}
+
+
+def test_heights_are_looked_up_once(spark):
+    # the only join is that of points with the faces over them
+    plan = every.QUERIES["f24_height_delta"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "SortAggregate" not in plan
