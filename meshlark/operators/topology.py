@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,6 +59,12 @@ def unique_raw() -> str:
     return "incidence = 2 AND faces = 2 AND NOT ambiguous"
 
 
+def on_seam(faces: DataFrame, width: int) -> DataFrame:
+    """Faces with a side on the seam: all that edges() needs for the edges there, as duplicates have the same sides."""
+    along = [F.col(f"x{i}") == F.col(f"x{(i + 1) % 3}") for i in range(3)]
+    return faces.where(reduce(or_, [c & F.col(f"x{i}").isin(0, width) for i, c in enumerate(along)]))
+
+
 def face_flags(faces: DataFrame, width: int) -> DataFrame:
     """Per face the flags of its edges, and the duplicate flag of its own."""
     occ = occurrences(tin.with_duplicates(faces)).select("face", "a", "b", "dup_count")

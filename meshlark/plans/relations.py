@@ -120,7 +120,7 @@ def j12_adjacency_against_arcs(spark, d):
 SELECT lo[1] AS z, west, east, good FROM p""")
 def j11_seam_pairs(spark, d):
     """Sides of the seam that fit together, and whether the pair is confirmed."""
-    e = topology.edges(faces(spark, d), WIDTH).where("side IS NOT NULL AND seam <> 'unmatched'")
+    e = topology.edges(topology.on_seam(faces(spark, d), WIDTH), WIDTH).where("side IS NOT NULL AND seam <> 'unmatched'")
     return e.where("side = 'west'").select(F.least("a.z", "b.z").alias("z"), F.col("face").alias("west"), F.col("partner").alias("east"), (F.col("seam") == "paired").alias("good"))
 
 

@@ -38,8 +38,11 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = base.select("k", "terrain", c.alias("c"), r.alias("r"), (r % 18).cast("int").alias("region"), F.when(k % 97 == 0, 3).otherwise(0).alias("script"), (k % 11 == 0).alias("chocobo"))
     c, r = F.col("c"), F.col("r")
 
+    # heights are computed once a cell: written out in every corner they make code too long to be compiled at run time
+    base = base.withColumns({f"h{dc}{dr}": _height(c + dc, r + dr) for dc in (0, 1) for dr in (0, 1)})
+
     def corner(dc: int, dr: int, h=None):
-        return ((c + dc) * CELL, (r + dr) * CELL, _height(c + dc, r + dr) if h is None else F.lit(h).cast("long"))
+        return ((c + dc) * CELL, (r + dr) * CELL, F.col(f"h{dc}{dr}") if h is None else F.lit(h).cast("long"))
 
     def triangle(identity, *corners):
         flat = [v for point in corners for v in point]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from meshlark.operators import corridor, graph, topology
 from meshlark.plans import every
+from meshlark.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 FACE = "face long, x0 long, z0 long, h0 long, x1 long, z1 long, h1 long, x2 long, z2 long, h2 long, region int"
@@ -59,3 +60,19 @@ def test_heights_are_looked_up_once(spark):
     # the only join is that of points with the faces over them
     plan = every.QUERIES["f24_height_delta"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 1 and "SortAggregate" not in plan
+
+
+def test_heights_of_the_surface_leave_code_that_is_compiled(spark):
+    # the virtual machine leaves methods of more than 8,000 bytes to its interpreter
+    plan = tables.faces(spark, DATA)._jdf.queryExecution().executedPlan()
+    stats = getattr(spark.sparkContext._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$").codegenStringSeq(plan)
+    assert stats.size() > 0 and max(stats.apply(i)._3().maxMethodCodeSize() for i in range(stats.size())) < 8000
+
+
+def test_edges_of_the_seam_need_its_faces_only(spark):
+    f = tables.faces(spark, DATA)
+    near = topology.on_seam(f, tables.WIDTH)
+    told = lambda e: sorted(map(str, e.where("side IS NOT NULL").collect()))
+    assert 0 < near.count() < f.count() / 10 and told(topology.edges(near, tables.WIDTH)) == told(topology.edges(f, tables.WIDTH))
+    plan = every.QUERIES["j11_seam_pairs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "5000" in plan.split("Generate explode(array(struct(slot")[1]
