@@ -65,6 +65,17 @@ def on_seam(faces: DataFrame, width: int) -> DataFrame:
     return faces.where(reduce(or_, [c & F.col(f"x{i}").isin(0, width) for i, c in enumerate(along)]))
 
 
+def neighbours(faces: DataFrame) -> DataFrame:
+    """face_a < face_b that share exact edges, and how many: pairs of their sides.
+
+    Equal sides of a face are one row with their number before they meet the others of the edge, so repeated rows don't multiply each other.
+    """
+    occ = occurrences(faces.select("face", *[f"{a}{i}" for i in range(3) for a in "xzh"]))
+    n = occ.repartition("a", "b").groupBy("a", "b", "face").agg(F.count("*").alias("n")).hint("merge")
+    met = n.toDF("a", "b", "face_a", "n_a").join(n.toDF("a", "b", "face_b", "n_b"), ["a", "b"]).where("face_a < face_b")
+    return met.groupBy("face_a", "face_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("shared"))
+
+
 def face_flags(faces: DataFrame, width: int) -> DataFrame:
     """Per face the flags of its edges, and the duplicate flag of its own."""
     occ = occurrences(tin.with_duplicates(faces)).select("face", "a", "b", "dup_count")

@@ -159,9 +159,7 @@ def a20_region_adjacency(spark, d):
 @query(EDGES + " SELECT least(o.face, p.face) AS face_a, greatest(o.face, p.face) AS face_b, count(*) AS shared FROM occ o JOIN occ p ON o.a = p.a AND o.b = p.b AND o.face < p.face GROUP BY ALL")
 def j10_edge_neighbours(spark, d):
     """Faces that share an exact edge."""
-    occ = topology.occurrences(faces(spark, d).select("face", *[f"{a}{i}" for i in range(3) for a in "xzh"]))
-    other = occ.select("a", "b", F.col("face").alias("face_b"))
-    return occ.select("a", "b", F.col("face").alias("face_a")).join(other, ["a", "b"]).where("face_a < face_b").groupBy("face_a", "face_b").agg(F.count("*").alias("shared"))
+    return topology.neighbours(faces(spark, d))
 
 
 _PARTS = """, pairs AS (

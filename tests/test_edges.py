@@ -76,3 +76,12 @@ def test_edges_of_the_seam_need_its_faces_only(spark):
     assert 0 < near.count() < f.count() / 10 and told(topology.edges(near, tables.WIDTH)) == told(topology.edges(f, tables.WIDTH))
     plan = every.QUERIES["j11_seam_pairs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "5000" in plan.split("Generate explode(array(struct(slot")[1]
+
+
+def test_equal_sides_are_counted_before_they_meet(spark):
+    # face 0 comes five times, face 1 three times and has a side twice
+    rows = [(0, 0, 0, 1, 4, 0, 1, 0, 4, 1, 1)] * 5 + [(1, 0, 0, 1, 4, 0, 1, 4, 0, 1, 2)] * 3
+    faces = spark.createDataFrame(rows, FACE)
+    assert [tuple(r) for r in topology.neighbours(faces).collect()] == [(0, 1, 30)]
+    plan = topology.neighbours(faces)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a#" in plan.split("Join")[1] and every.QUERIES["j10_edge_neighbours"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
