@@ -21,29 +21,32 @@ def centre(a: str) -> Column:
     return (F.col(f"{a}0") + F.col(f"{a}1") + F.col(f"{a}2")) / 3.0
 
 
-def neighbours(faces: DataFrame, width: int) -> DataFrame:
-    """Arcs src, dst (both ways) between two faces that alone share a welded edge, neither with a duplicate."""
-    single = tin.with_duplicates(faces.select("face", *_CORNERS))
+def neighbours(faces: DataFrame, width: int, *carried: str) -> DataFrame:
+    """Pairs src < dst of faces that alone share a welded edge, neither with a duplicate.
+
+    Columns of the faces that are carried come as name_src and name_dst, so pairs need not be joined with the faces again.
+    """
+    single = tin.with_duplicates(faces.select("face", *_CORNERS, *carried))
     around = single.withColumns({f"x{i}": F.col(f"x{i}") % width for i in range(3)})
-    e = topology.occurrences(around).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("face").alias("src"), F.max("face").alias("dst"), F.max("dup_count").alias("dup"))
-    one = e.where("n = 2 AND src <> dst AND dup = 1 AND a <> b").select("src", "dst").distinct()
-    return graph.both_ways(one)
+    ends = [pick(c, "face").alias(f"{c}_{end}") for c in carried for pick, end in ((F.min_by, "src"), (F.max_by, "dst"))]
+    e = topology.occurrences(around).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("face").alias("src"), F.max("face").alias("dst"), F.max("dup_count").alias("dup"), *ends)
+    return e.where("n = 2 AND src <> dst AND dup = 1 AND a <> b").select("src", "dst", *[f"{c}_{end}" for c in carried for end in ("src", "dst")]).distinct()
 
 
-def weighted(arcs: DataFrame, faces: DataFrame, width: int, height: int) -> DataFrame:
-    """Arcs with the great-circle distance of the faces' centres in whole millimetres."""
+def weighted(faces: DataFrame, width: int, height: int) -> DataFrame:
+    """Arcs (both ways) between neighbours with the great-circle distance of their centres in whole millimetres."""
     lon, lat = sphere.to_geographic(centre("x"), centre("z"), width, height)
-    at = faces.select("face", lon.alias("lon"), lat.alias("lat"))
-    a, b = at.toDF("src", "lon1", "lat1"), at.toDF("dst", "lon2", "lat2")
-    d = sphere.haversine(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
-    return arcs.join(a, "src").join(b, "dst").select("src", "dst", F.round(d * 1000).cast("long").alias("weight"))
+    pairs = neighbours(faces.withColumns({"lon": lon, "lat": lat}), width, "lon", "lat")
+    # the distance is the same both ways, to the last digit
+    d = sphere.haversine(F.col("lon_src"), F.col("lat_src"), F.col("lon_dst"), F.col("lat_dst"))
+    return graph.both_ways(pairs.select("src", "dst", F.round(d * 1000).cast("long").alias("weight")))
 
 
-def eligible_components(faces: DataFrame, arcs: DataFrame, eligible: Column) -> DataFrame:
+def eligible_components(faces: DataFrame, width: int, eligible: Column) -> DataFrame:
     """face, component (numbered from 0 in order of the smallest face), faces and doubled area of the component, among eligible faces."""
     own = tin.metrics(faces).where(eligible).select(F.col("face").alias("node"), "area2")
     ends = own.select("node")
-    links = arcs.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi")
+    links = neighbours(faces.withColumn("may", F.coalesce(eligible, F.lit(False))), width, "may").where("may_src AND may_dst")
     label = graph.cut(own.join(graph.components(ends, links), "node"))
     sums = label.groupBy("label").agg(F.count("*").alias("faces"), F.sum("area2").alias("area2"), F.lit(1).cast("long").alias("one"))
     number = ordered.offsets(sums.select("label", "one"), "label", "one").select("label", F.col("offset").alias("component"))

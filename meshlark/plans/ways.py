@@ -27,8 +27,7 @@ _GEO = "SELECT face, terrain, {x} / 5000.0 * 360 - 180 AS lon, degrees(atan((exp
 SELECT s AS src, t AS dst, CAST(round(2 * 6371008.8 * asin(sqrt(least(1, power(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * power(sin(radians(q.lon - p.lon) / 2), 2)))) * 1000) AS BIGINT) AS weight FROM arcs JOIN pt p ON p.face = s JOIN pt q ON q.face = t""")
 def g0_welded_graph(spark, d):
     """Arcs between neighbours over welded edges, weighted with the distance of their centres."""
-    f = faces(spark, d)
-    return corridor.weighted(corridor.neighbours(f, WIDTH), f, WIDTH, HEIGHT)
+    return corridor.weighted(faces(spark, d), WIDTH, HEIGHT)
 
 
 @query(_recursive(_WELD) + """, ok AS (SELECT face, abs(det) AS area2 FROM faces WHERE terrain < 11), la AS (SELECT s, t FROM arcs JOIN ok x ON x.face = s JOIN ok y ON y.face = t), r AS (SELECT face AS v, face AS w FROM ok UNION SELECT r.v, la.t FROM r JOIN la ON r.w = la.s),
@@ -36,8 +35,7 @@ l AS (SELECT v AS face, min(w) AS label FROM r GROUP BY v), c AS (SELECT label,
 SELECT l.face, component, faces, area2 FROM l JOIN c USING (label)""")
 def g1_eligible_components(spark, d):
     """Components among the faces a profile may enter, numbered by their first face, with size and area."""
-    f = faces(spark, d)
-    return corridor.eligible_components(f, corridor.neighbours(f, WIDTH), F.col("terrain") < 11)
+    return corridor.eligible_components(faces(spark, d), WIDTH, F.col("terrain") < 11)
 
 
 _LEGS = FACES + """, st AS (SELECT l_orderkey AS trip, l_linenumber AS seq, 2 * l_partkey AS src, 2 * l_partkey + 1 + CASE WHEN l_linenumber = 5 THEN 2 ELSE 0 END AS dst FROM lineitem),

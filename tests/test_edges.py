@@ -85,3 +85,14 @@ def test_equal_sides_are_counted_before_they_meet(spark):
     assert [tuple(r) for r in topology.neighbours(faces).collect()] == [(0, 1, 30)]
     plan = topology.neighbours(faces)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [a#" in plan.split("Join")[1] and every.QUERIES["j10_edge_neighbours"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
+
+
+def test_centres_come_with_the_pairs(spark):
+    # the only join is that of faces with the number of their duplicates
+    plan = every.QUERIES["g0_welded_graph"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1
+    rows = [(0, 0, 0, 1, 4, 0, 1, 0, 4, 1, 1), (1, 4, 0, 1, 4, 4, 1, 0, 4, 1, 2), (2, 4, 4, 1, 0, 4, 1, 4, 8, 1, None)]
+    faces = spark.createDataFrame(rows, FACE).hint("merge")
+    assert sorted(map(tuple, corridor.neighbours(faces, 1000, "region").collect())) == [(0, 1, 1, 2), (1, 2, 2, None)]
+    got = corridor.eligible_components(faces, 1000, F.col("region") < 3)
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 2, 32), (1, 0, 2, 32)]
