@@ -28,9 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
-def _few(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A table (that is computed already) to be broadcast where it has no more than ``most`` rows, as counted; beyond, joins shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+def _few(df: DataFrame, most: int = 100_000, rows: int | None = None) -> DataFrame:
+    """A table (that is computed already) to be broadcast where it has no more than ``most`` rows, as counted (here, or by the caller); beyond, joins shuffle."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
 def both_ways(links: DataFrame) -> DataFrame:
@@ -76,8 +76,8 @@ def _relaxed(arcs: DataFrame, starts: DataFrame, limit: int | None, targets: Dat
     known = cut(starts.select("node", F.lit(0).cast("long").alias("distance"), F.col("node").alias("origin"), F.lit(0).alias("round")))
     done = 0
     targets = targets if targets is None else _few(targets)
-    while not known.where(F.col("round") == done).isEmpty():
-        front = _few(known.where(F.col("round") == done))
+    while rows := (front := known.where(F.col("round") == done)).count():
+        front = _few(front, rows=rows)
         done += 1
         offered = front.join(arcs, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), "origin", F.lit(done).alias("round"))
         if targets is not None:

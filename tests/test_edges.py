@@ -96,3 +96,14 @@ def test_centres_come_with_the_pairs(spark):
     assert sorted(map(tuple, corridor.neighbours(faces, 1000, "region").collect())) == [(0, 1, 1, 2), (1, 2, 2, None)]
     got = corridor.eligible_components(faces, 1000, F.col("region") < 3)
     assert sorted(map(tuple, got.collect())) == [(0, 0, 2, 32), (1, 0, 2, 32)]
+
+
+def test_rounds_ask_once_and_of_what_is_written(spark, monkeypatch):
+    path = spark.range(8).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).cast("long").alias("weight"))
+    nodes = spark.range(9).withColumnRenamed("id", "node")
+    asked = []
+    for name in ("isEmpty", "count"):
+        monkeypatch.setattr(type(nodes), name, lambda df, real=getattr(type(nodes), name): asked.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    far = graph.distances(path, nodes.where("node = 0"))
+    assert len(asked) == 10
+    assert sorted(r["distance"] for r in far.collect()) == list(range(9))
