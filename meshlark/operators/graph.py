@@ -51,11 +51,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     while not left.isEmpty():
         ends = left.union(left.select("dst", "src"))
         parent = cut(ends.groupBy(F.col("src").alias("v")).agg(F.least(F.first("src"), F.min("dst")).alias("p")))
-        while True:
-            further = parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p")
-            if further.where("pp <> p").isEmpty():
-                break
-            parent = cut(further.select("v", F.col("pp").alias("p")))
+        moved = True
+        while moved:
+            # each step is joined once and written; whether it moved a pointer is read from there
+            further = cut(parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p"))
+            moved = not further.where("pp <> p").isEmpty()
+            parent = further.select("v", F.col("pp").alias("p"))
         label = cut(label.join(parent, label["label"] == parent["v"], "left").select("node", F.coalesce("p", "label").alias("label")))
         a, b = parent.select(F.col("v").alias("src"), F.col("p").alias("pa")), parent.select(F.col("v").alias("dst"), F.col("p").alias("pb"))
         left = cut(left.join(a, "src").join(b, "dst").where("pa <> pb").select(F.least("pa", "pb").alias("src"), F.greatest("pa", "pb").alias("dst")).distinct())

@@ -104,6 +104,9 @@ def test_rounds_ask_once_and_of_what_is_written(spark, monkeypatch):
     asked = []
     for name in ("isEmpty", "count"):
         monkeypatch.setattr(type(nodes), name, lambda df, real=getattr(type(nodes), name): asked.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    label = graph.components(nodes, path)
+    assert asked and not any("Join" in plan for plan in asked)
+    asked.clear()
     far = graph.distances(path, nodes.where("node = 0"))
     assert len(asked) == 10
-    assert sorted(r["distance"] for r in far.collect()) == list(range(9))
+    assert {r["label"] for r in label.collect()} == {0} and sorted(r["distance"] for r in far.collect()) == list(range(9))
