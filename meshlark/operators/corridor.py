@@ -53,7 +53,7 @@ def eligible_components(faces: DataFrame, width: int, eligible: Column) -> DataF
     return label.select("node", "label").join(sums.drop("one").join(number, "label"), "label").select(F.col("node").alias("face"), "component", "faces", "area2")
 
 
-def legs(steps: DataFrame, faces: DataFrame, width: int, height: int, deal: str | None = None) -> DataFrame:
+def legs(steps: DataFrame, faces: DataFrame, width: int, height: int, deal: str | None = None, heights: bool = True) -> DataFrame:
     """Two legs for each step (trip, seq, src, dst): from the first centre to the middle of the shared edge, and on to the second centre.
 
     Rows trip, seq, src, part (0, 1), face, status, distance (great circle) and the heights
@@ -61,7 +61,7 @@ def legs(steps: DataFrame, faces: DataFrame, width: int, height: int, deal: str
     welded corners is no way along the surface: status error, without a distance.
 
     Only the different pairs of faces meet the faces, and their ways are computed once: steps, of which there may be many times more,
-    get five numbers.  They are dealt by the column ``deal``, if one is given, while they are one row each.
+    get five numbers, or two without the heights.  They are dealt by the column ``deal``, if one is given, while they are one row each.
     """
     corners = faces.select("face", *_CORNERS, welded(width).alias("ring"))
     a = corners.toDF("src", *[f"a{c}" for c in _CORNERS], "ring_a")
@@ -80,12 +80,12 @@ def legs(steps: DataFrame, faces: DataFrame, width: int, height: int, deal: str
         return F.when(good, sphere.central_angle(*sphere.to_geographic(x1, z1, width, height), *sphere.to_geographic(x2, z2, width, height)) * sphere.RADIUS)
 
     ways = met.select(
-        "src", "dst", F.when(good, "ok").otherwise("error").alias("status"), third("a", "h").alias("h0"), mid["h"].alias("h1"), third("b", "h").alias("h2"),
+        "src", "dst", F.when(good, "ok").otherwise("error").alias("status"), *([third("a", "h").alias("h0"), mid["h"].alias("h1"), third("b", "h").alias("h2")] if heights else []),
         distance(third("a", "x"), third("a", "z"), mid["x"], mid["z"]).alias("d0"), distance(mid["x"] + turn, mid["z"], third("b", "x"), third("b", "z")).alias("d1"),
     )
     rows = steps.join(ways.hint("merge"), ["src", "dst"])
     rows = rows.repartition(deal) if deal else rows
-    leg = lambda part, face: F.struct(F.lit(part).alias("part"), F.col(face).alias("face"), F.col(f"d{part}").alias("distance"), F.col(f"h{part}").alias("from_h"), F.col(f"h{part + 1}").alias("to_h"))
+    leg = lambda part, face: F.struct(F.lit(part).alias("part"), F.col(face).alias("face"), F.col(f"d{part}").alias("distance"), *([F.col(f"h{part}").alias("from_h"), F.col(f"h{part + 1}").alias("to_h")] if heights else []))
     return rows.select("trip", "seq", "src", "status", F.explode(F.array(leg(0, "src"), leg(1, "dst"))).alias("l")).select("trip", "seq", "src", "status", "l.*")
 
 

@@ -110,3 +110,8 @@ def test_rounds_ask_once_and_of_what_is_written(spark, monkeypatch):
     far = graph.distances(path, nodes.where("node = 0"))
     assert len(asked) == 10
     assert {r["label"] for r in label.collect()} == {0} and sorted(r["distance"] for r in far.collect()) == list(range(9))
+
+
+def test_legs_without_heights_carry_none(spark):
+    plan = every.QUERIES["g4_corridor_legs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_h" not in plan and "h1#" not in plan.split("Join", 1)[0]
